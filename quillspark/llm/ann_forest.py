@@ -122,7 +122,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     target = max(least, math.ceil(share * n), trees * (2 * k + 2))
     levels = spark.sparkContext.broadcast((directory, groups))
 
-    sized = spark.createDataFrame([(t, b, int(groups[t, b])) for t, b in zip(*np.nonzero(groups > 1))] or [], "tree int, block bigint, parts int") if (groups > 1).any() else None
+    sized = spark.createDataFrame([(int(t), int(b), int(groups[t, b])) for t, b in zip(*np.nonzero(groups > 1))], "tree int, block bigint, parts int") if (groups > 1).any() else None
     if sized is not None:
         forest = forest.join(F.broadcast(sized), ["tree", "block"], "left").withColumn("part", F.pmod(F.xxhash64("entry"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     else:
