@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches again, cut so that no slice holds many more than `limit` bytes of text."""
     for batch in batches:
-        start, held = 0, 0
-        for i, n in enumerate(batch.column(column).cast(pa.large_binary()).to_pylist()):
-            size = len(n) if n else 0
-            if held and held + size > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:

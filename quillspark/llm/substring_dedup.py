@@ -27,8 +27,8 @@ from .common import texts
 from .words import windows, words
 
 #: Bytes of text in a block, and seeds in a bucket, on average.
-BLOCK_BYTES = 8 << 20
-BUCKET_SEEDS = 2_000_000
+BLOCK_BYTES = 4 << 20
+BUCKET_SEEDS = 1_000_000
 #: A seed takes this many bytes of text or more.
 SEED_BYTES = 4
 

@@ -32,12 +32,26 @@ def _to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+#: Bytes that are hashed at once; the tables of powers are as long.
+_STEP = 1 << 18
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of bytes: differences of one running polynomial."""
-    power, inverse = _to(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the spans of bytes, which are in order: differences of a running polynomial, made relative to where
+    each span starts. A hash doesn't depend on where the span stands."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + _STEP, side="right")))
+        part = data[low : int(ends[stop - 1])]
+        power, inverse = _to(len(part) + 1)
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=run[1:])
+        first, last = starts[at:stop] - low, ends[at:stop] - low
+        out[at:stop] = (run[last] - run[first]) * inverse[first] + (last - first).astype(np.uint64)
+        at = stop
+    return mix(out)
 
 
 @dataclass
