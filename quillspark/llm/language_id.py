@@ -76,11 +76,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     counts = picked.mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["label"].unique().tolist())
+    if not languages:
+        return Model([], np.zeros((0, len(ORDERS) << BITS), np.float32), np.zeros(0))
     total = np.zeros((len(languages), (len(ORDERS) << BITS) + 1))
     total[[languages.index(x) for x in counts["label"]], counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     seen, priors = total[:, :-1].reshape(len(languages), len(ORDERS), -1) + 0.1, total[:, -1]
     weights = np.log(seen / seen.sum(axis=2, keepdims=True)).reshape(len(languages), -1)
-    return Model(languages, np.ascontiguousarray(weights, np.float32), np.log(priors / max(1, priors.sum())) if len(languages) else priors)
+    return Model(languages, np.ascontiguousarray(weights, np.float32), np.log(priors / priors.sum()))
 
 
 def scores(model: Model, batch: list[bytes | None]) -> np.ndarray:

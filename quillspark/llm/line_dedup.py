@@ -37,19 +37,19 @@ def line_keys(text: bytes | None, shortest: int) -> list[bytes]:
     return keys
 
 
-def positions(hashes: np.ndarray) -> np.ndarray:
-    """Bits of each hash, by hash function."""
+def positions(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Bits of each hash in the filter, by hash function."""
     low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) % np.uint64(FILTER_BITS) for i in range(HASHES)])
+    return np.stack([(low + np.uint64(i) * high) % np.uint64(8 * len(bits)) for i in range(HASHES)])
 
 
 def add(bits: np.ndarray, hashes: np.ndarray) -> None:
-    at = positions(hashes).ravel()
+    at = positions(bits, hashes).ravel()
     np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = positions(hashes)
+    at = positions(bits, hashes)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).all(axis=0)
 
 
@@ -59,17 +59,18 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 
 def repeats_filter(docs: DataFrame, text_col: str, shortest: int) -> np.ndarray:
     """The filter of keys that were seen in a second document, over all of docs."""
-    step = FILTER_BITS // 8 // SEGMENTS
+    size, segments = FILTER_BITS // 8, SEGMENTS
+    step = size // segments
 
     def fill(batches):
-        once, twice = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8, np.uint8)
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in slices(batches, text_col):
             each = [_hashes(list(set(line_keys(t, shortest)) - {b""})) for t in texts(batch, text_col)]
             found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
             add(twice, found[(n > 1) | holds(once, found)])
             add(once, found)
         pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId()
-        for s in range(SEGMENTS):
+        for s in range(segments):
             a, b = once[s * step : (s + 1) * step], twice[s * step : (s + 1) * step]
             if a.any():
                 yield pa.record_batch({"segment": pa.array([s], pa.int32()), "part": pa.array([part], pa.int32()), "once": pa.array([pack(a.tobytes())]), "twice": pa.array([pack(b.tobytes())])})
@@ -90,7 +91,7 @@ def repeats_filter(docs: DataFrame, text_col: str, shortest: int) -> np.ndarray:
     while left > 1:
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("segment", "part").applyInArrow(merge, schema)
         left = -(-left // FAN_IN)
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    whole = np.zeros(size, np.uint8)
     for row in parts.select("segment", "twice").toLocalIterator():
         whole[row["segment"] * step : (row["segment"] + 1) * step] |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["twice"])), np.uint8)
     return whole
