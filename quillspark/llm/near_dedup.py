@@ -2,39 +2,56 @@
 
 1. Each text's set of shingles is hashed; its sketch is the SKETCH smallest hashes. Texts with equal sets form a class, which
    the smallest id represents.
-2. Inverted lists of retained values generate candidates. Two sets as similar as asked share at least LEAST_SHARED of the
-   values that their union retains, so that of each sketch only the rarest values, all but LEAST_SHARED - 1, are listed:
-   similar sets meet in one of these lists, and passages that many texts share don't make long lists.
+2. Inverted lists of retained values generate candidates. Two sets as similar as asked share at least T of the values that
+   their union retains (but for a probability of MISSED), so that of each sketch only the rarest values, all but T - 1, are
+   listed: similar sets meet in one of these lists, and passages that many texts share don't make long lists.
 3. In each list, every class is paired with the list's first one; the pair's union sketch (the smallest hashes of both) must
    suggest enough similarity. Pairs that pass are verified on the full sets, and linked classes get a common component.
 4. Lists whose classes are now in several components are finished exactly: all their pairs of different components are
-   compared by sketch, block of a list by block of it, and verified as before.
+   compared by sketch, block of a list by block of it, each pair in the first list that it shares, and verified as before.
 
 Long lists are never gathered in one task, and groups of copies cost one pair a class rather than all pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, texts, written
 from .words import mix, words
 
-SKETCH = 32
-#: Of the 32 smallest values of the union, two sets of Jaccard similarity 0.8 share 14 or fewer with a probability of
-#: 7e-6, and of 0.85 with one of 8e-8.
-LEAST_SHARED = 15
-#: Pairs whose union sketch shows less than the threshold by this much aren't verified (four standard deviations).
-SLACK = 0.25
+SKETCH = 64
+#: Probability that two sets of just the similarity asked for share no list.
+MISSED = 1e-6
+#: Pairs whose union sketch shows less than the threshold by this many standard deviations aren't verified.
+DEVIATIONS = 4.0
 #: Classes of a list that are compared in one block.
 BLOCK = 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+def least_shared(threshold: float) -> int:
+    """T: two sets of this similarity share fewer of the SKETCH smallest values of their union with probability MISSED at
+    most, as each of these is in both with the similarity as probability."""
+    below, t = 0.0, 0
+    while True:
+        below += math.comb(SKETCH, t) * threshold**t * (1 - threshold) ** (SKETCH - t)
+        if below > MISSED:
+            return max(1, t)
+        t += 1
+
+
+def slack(threshold: float) -> float:
+    return DEVIATIONS * math.sqrt(threshold * (1 - threshold) / SKETCH)
+
+
 def shingle_sets(batch: list[bytes | None], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text. With fewer words than size, the whole sequence is the one shingle."""
     found = words(batch, lower=True)
@@ -66,23 +83,46 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
 
 
 def _plausible(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, threshold: float) -> bool:
-    return min(n_a, n_b) >= threshold * max(n_a, n_b) and union_estimate(a, b)[1] >= threshold - SLACK
+    return min(n_a, n_b) >= threshold * max(n_a, n_b) and union_estimate(a, b)[1] >= threshold - slack(threshold)
 
 
-def components(nodes_edges: DataFrame) -> DataFrame:
-    """id, component of every node of the edges (a, b): the smallest id reachable. Large-star and small-star steps halve the
-    paths, each step's edges are written, and the loop ends when a step changes nothing."""
-    edges = written(nodes_edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def components(links: DataFrame) -> DataFrame:
+    """id, component of every node of the edges (a, b): the smallest id reachable. Large-star and small-star steps shorten
+    the paths, each step's edges are written, and the loop ends when a step changes nothing."""
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
     while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        after = written(small, "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("a").alias("id"), F.col("b").alias("component")).union(after.select("b", F.col("b")).distinct())
-        edges = after
+        edges = written(small, "edges")
+        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if after == before:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", F.col("b")).distinct())
+        before = after
+
+
+def open_pairs(value: int, one_block: bool, members: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Of the list's members in two blocks (or in one) the pairs of different components that are plausible, if this is the
+    first list that they share."""
+    members.sort(key=lambda m: m["class_id"])
+    sketches = [np.array(m["sketch"], np.int64).view(np.uint64) for m in members]
+    sizes, component, own = (np.array([m[c] for m in members]) for c in ("n", "component", "own"))
+    values, at = np.unique(np.concatenate(sketches), return_inverse=True)
+    held = np.zeros((len(members), len(values)), np.float32)
+    held[np.repeat(np.arange(len(members)), [len(s) for s in sketches]), at] = 1
+    shared = held @ held.T
+    wanted = np.floor((threshold - slack(threshold)) * np.minimum.outer(held.sum(axis=1), held.sum(axis=1)))
+    good = (shared >= wanted) & (component[:, None] != component) & (np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes))
+    if not one_block:
+        good &= own[:, None] != own
+    out = []
+    for p, q in zip(*np.nonzero(np.triu(good, 1))):
+        if min(set(members[p]["listed"]) & set(members[q]["listed"])) == value and _plausible(sketches[p], sketches[q], sizes[p], sizes[q], threshold):
+            out.append((members[p]["class_id"], members[q]["class_id"]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -118,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         values = held.join(shared, "value").groupBy("class_id").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
         # the values that no other class has are the rarest and come first; they have no lists
         # a set this small is a sketch in full, and so are all that are similar to it
-        least = F.when(F.col("k") < int(threshold * SKETCH), F.ceil(F.col("k") * F.lit(threshold) - 1e-9)).otherwise(F.lit(LEAST_SHARED)).cast("int")
+        least = F.when(F.col("k") < int(threshold * SKETCH), F.ceil(F.col("k") * F.lit(threshold) - 1e-9)).otherwise(F.lit(least_shared(threshold))).cast("int")
         prefix = F.greatest(F.lit(0), F.col("k") - F.greatest(F.lit(1), least) + 1 - (F.col("k") - F.size("v")))
         return values.select("class_id", F.explode(F.slice("v", F.lit(1), prefix.cast("int"))).alias("v")).select("class_id", F.col("v.value").alias("value"), F.col("v.df").alias("df"))
 
@@ -129,21 +169,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         full = plain.join(wanted, "id")
 
-        def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(texts(batch, "text"), shingle)
-            return pa.record_batch({"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "shingles": pa.array([s.tobytes() for s in sets])})
+        def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found, pack = texts(batch, "text"), zstandard.ZstdCompressor(level=3).compress
+            sets = shingle_sets(found, shingle)
+            return pa.record_batch({"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "z": pa.array([pack(t or b"") for t in found])})
 
-        whole_sets = map_slices(full, "text", whole, "id bigint, n int, digest binary, shingles binary").groupBy("id").agg(F.max_by("shingles", F.struct("n", "digest")).alias("shingles"))
-        whole_sets = written(whole_sets, "sets")
-        met = pairs.join(whole_sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(whole_sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        # whole texts, compressed, are smaller than their sets
+        whole = map_slices(full, "text", packed, "id bigint, n int, digest binary, z binary").groupBy("id").agg(F.max_by("z", F.struct("n", "digest")).alias("z"))
+        whole = written(whole, "texts")
+        met = pairs.join(whole.select(F.col("id").alias("b"), F.col("z").alias("y")), "b").join(whole.select(F.col("id").alias("a"), F.col("z").alias("x")), "a")
 
         def verify(batches):
+            read = zstandard.ZstdDecompressor().decompress
+            last, held = None, None
             for batch in batches:
                 good = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(round(threshold * 1e6) * (len(x) + len(y) - both) <= both * 10**6)
+                for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
+                    if a != last:
+                        last, held = a, shingle_sets([read(x.as_py())], shingle)[0]
+                    other = shingle_sets([read(y.as_py())], shingle)[0]
+                    both = len(np.intersect1d(held, other, assume_unique=True))
+                    good.append(round(threshold * 1e6) * (len(held) + len(other) - both) <= both * 10**6)
                 yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(good, pa.bool_()))
 
         return written(met.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links")
@@ -171,24 +217,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     to_pairs = open_lists.withColumn("blocks", blocks).withColumn("own", own).select("value", "class_id", "component", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     to_pairs = to_pairs.select("value", "class_id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    meeting = to_pairs.join(small, "class_id").groupBy("value", "i", "j").agg(F.collect_list(F.struct("class_id", "component", "own", "n", "sketch")).alias("members"))
+    listed = lists.groupBy("class_id").agg(F.collect_list("value").alias("listed"))
+    members_of = to_pairs.join(small.join(listed, "class_id"), "class_id")
+    meeting = members_of.groupBy("value", "i", "j").agg(F.collect_list(F.struct("class_id", "component", "own", "n", "sketch", "listed")).alias("members"))
 
     def across(batches):
         for batch in batches:
-            pairs = set()
-            for i, j, members in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("members").to_pylist()):
-                members.sort(key=lambda m: m["class_id"])
-                s = [np.array(m["sketch"], np.int64).view(np.uint64) for m in members]
-                n = np.array([m["n"] for m in members])
-                for p, m in enumerate(members):
-                    near = np.flatnonzero((np.minimum(n[p], n) >= threshold * np.maximum(n[p], n)) & (np.arange(len(n)) > p)).tolist()
-                    for q in near:
-                        o = members[q]
-                        if o["component"] != m["component"] and (i == j or o["own"] != m["own"]) and union_estimate(s[p], s[q])[1] >= threshold - SLACK:
-                            pairs.add((m["class_id"], o["class_id"]))
+            pairs = []
+            for value, i, j, members in zip(*(batch.column(c).to_pylist() for c in ("value", "i", "j", "members"))):
+                pairs += open_pairs(value, i == j, members, threshold)
             yield pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    rest = written(meeting.select("i", "j", "members").mapInArrow(across, "a bigint, b bigint").distinct(), "rest")
+    rest = written(meeting.select("value", "i", "j", "members").mapInArrow(across, "a bigint, b bigint").distinct(), "rest")
     if not rest.isEmpty():
         more = checked(rest)
         links = links.union(more)
