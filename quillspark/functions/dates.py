@@ -120,7 +120,8 @@ def precedence_rank(precedence: Column, calendar_type: Column, rule: Column, day
 
 def days_since(stamp: Column, now: Column) -> Column:
     """Whole days between dates, 0 at least; a stamp that is no date gives null."""
-    return F.greatest(F.lit(0), F.datediff(F.to_date(now), F.try_to_date(F.substring(stamp, 1, 10), "yyyy-MM-dd")))
+    days = F.datediff(F.to_date(now), F.try_to_date(F.substring(stamp, 1, 10), "yyyy-MM-dd"))
+    return F.when(days < 0, 0).otherwise(days)
 
 
 def iso_time(stamp: Column) -> Column:

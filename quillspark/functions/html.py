@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lazy import arrow_function
+from .text import optional
 
 # Tags whose text isn't content, and tags that part blocks.
 HIDDEN = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"}
@@ -20,7 +21,7 @@ LINKS = {"a": "href", "frame": "src", "iframe": "src"}
 
 def raw_title(c: Column) -> Column:
     """What stands in <title>, entities as they are; null without one."""
-    return F.nullif(F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return optional(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def meta_content(c: Column, attribute: str, value: str) -> Column:

@@ -84,10 +84,9 @@ def match_phrases(title: Column) -> Column:
     derived = [F.when(title.startswith(p) & (F.length(title) > len(p)), strip(F.substring(title, len(p) + 1, 1 << 20))) for p in PHRASE_PREFIXES]
     inner = F.nullif(strip(F.regexp_extract(title, r"\(([^)]+)\)", 1)), F.lit(""))
     long = [F.when(F.length(d) >= 6, d) for d in [*derived, inner]]
-    every = F.array_compact(F.array(whole, *long))
     # of equal ones in different case, the first stays
-    keys = F.transform(every, F.lower)
-    return F.filter(every, lambda p, i: F.array_position(keys, F.lower(p)) == i + 1)
+    first = lambda every: let(F.transform(every, lambda p: F.lower(p)), lambda keys: F.filter(every, lambda p, i: F.array_position(keys, F.lower(p)) == i + 1))
+    return let(F.array_compact(F.array(whole, *long)), first)
 
 
 def phrase_in(phrase: Column, text: Column) -> Column:
@@ -108,9 +107,13 @@ def canonical_url(url: Column) -> Column:
 
 def canonical_url_untracked(url: Column) -> Column:
     """As canonical_url, without tracking parameters."""
-    base = F.regexp_extract(canonical_url(url), r"^([^?]*)", 1)
-    params = F.filter(F.split(F.regexp_extract(canonical_url(url), r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING_PARAMS))
-    return F.when(F.size(params) > 0, F.concat(base, F.lit("?"), F.array_join(params, "&"))).otherwise(base)
+
+    def bare(whole):
+        base = F.regexp_extract(whole, r"^([^?]*)", 1)
+        params = F.filter(F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING_PARAMS))
+        return let(params, lambda ps: F.when(F.size(ps) > 0, F.concat(base, F.lit("?"), F.array_join(ps, "&"))).otherwise(base))
+
+    return let(canonical_url(url), bare)
 
 
 def hostname(url: Column) -> Column:
@@ -143,9 +146,13 @@ def cache_path(url: Column) -> Column:
     path, query = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"\?([^#]*)", 1)
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(F.when(F.regexp_like(s, F.lit(r"^\.+$")), F.lit("__dot__")).otherwise(s), r"[^a-zA-Z0-9\-_.]", "_"))
     tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("__q"), F.substring(F.sha2(query, 256), 1, 8)))
-    last = F.element_at(parts, -1)
-    name = F.when(F.size(parts) == 0, F.concat(F.lit("index"), tail, F.lit(".html"))).when(F.regexp_like(F.lower(last), F.lit(r"\.html?$")), F.concat(last, tail)).otherwise(F.concat(last, tail, F.lit(".html")))
-    return F.array_join(F.concat(F.array(host), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(name)), "/")
+
+    def named(parts):
+        last = F.try_element_at(parts, F.lit(-1))
+        name = F.when(F.size(parts) == 0, F.concat(F.lit("index"), tail, F.lit(".html"))).when(F.regexp_like(F.lower(last), F.lit(r"\.html?$")), F.concat(last, tail)).otherwise(F.concat(last, tail, F.lit(".html")))
+        return F.array_join(F.concat(F.array(host), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(name)), "/")
+
+    return let(parts, named)
 
 
 def episode_title(c: Column) -> Column:
@@ -214,10 +221,14 @@ def author_title(folder: Column) -> Column:
     raw = F.regexp_replace(F.translate(folder, "꞉", ":"), NARRATOR_BRACKET, "")
     raw = F.regexp_replace(strip(F.regexp_replace(raw, TRAILING_BRACKET, "")), CODEC_SUFFIX, "")
     raw = strip(F.regexp_replace(F.translate(raw, "_", " "), " {2,}", " "))
-    m = r"^(.+?)\s+-\s+(.+)$"
-    left, right = strip(F.regexp_extract(raw, m, 1)), strip(F.regexp_extract(raw, m, 2))
-    named = (left != "") & F.regexp_like(left, F.lit(r"[\s,]|^[A-Z]"))
-    return F.struct(F.when(named, left).alias("author"), F.when(named, right).otherwise(raw).alias("title"))
+
+    def parted(raw):
+        m = r"^(.+?)\s+-\s+(.+)$"
+        left, right = strip(F.regexp_extract(raw, m, 1)), strip(F.regexp_extract(raw, m, 2))
+        named = (left != "") & F.regexp_like(left, F.lit(r"[\s,]|^[A-Z]"))
+        return F.struct(F.when(named, left).alias("author"), F.when(named, right).otherwise(raw).alias("title"))
+
+    return let(raw, parted)
 
 
 def file_label(c: Column) -> Column:
@@ -230,41 +241,52 @@ def file_label(c: Column) -> Column:
 def metadata_value(c: Column) -> Column:
     """White space collapsed; null if blank or a placeholder."""
     clean = F.nullif(strip(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
-    return F.when(~F.lower(strip(clean, r"\[\](){}")).isin(UNKNOWN_METADATA), clean)
+    return let(clean, lambda v: F.when(~F.lower(strip(v, r"\[\](){}")).isin(UNKNOWN_METADATA), v))
 
 
 def looks_like_author(c: Column) -> Column:
     """Whether a label is probably a person's name."""
-    bare = file_label(c)
-    odd = F.regexp_like(F.lower(bare), F.lit(r"isbn|annas archive|z-library|library genesis")) | F.regexp_like(bare, F.lit(r"[/\\@\d]")) | (F.length(bare) > 100) | F.regexp_like(F.lower(bare), F.lit("^[0-9a-f]{8,}$"))
-    n = F.regexp_count(bare, F.lit(r"[A-Za-z][A-Za-z'.]*"))
-    return F.coalesce(metadata_value(bare).isNotNull() & ~odd & n.between(2, 10) & F.regexp_like(bare, F.lit(r"\p{Lu}")), F.lit(False))
+
+    def judged(bare):
+        odd = F.regexp_like(F.lower(bare), F.lit(r"isbn|annas archive|z-library|library genesis")) | F.regexp_like(bare, F.lit(r"[/\\@\d]")) | (F.length(bare) > 100) | F.regexp_like(F.lower(bare), F.lit("^[0-9a-f]{8,}$"))
+        n = F.regexp_count(bare, F.lit(r"[A-Za-z][A-Za-z'.]*"))
+        return F.coalesce(metadata_value(bare).isNotNull() & ~odd & n.between(2, 10) & F.regexp_like(bare, F.lit(r"\p{Lu}")), F.lit(False))
+
+    return let(file_label(c), judged)
 
 
 def name_case(c: Column) -> Column:
     """Of a name all in capitals: title case, small words lower. (An apostrophe doesn't start a word here.)"""
-    titled = F.initcap(F.lower(c))
-    for w in ("And", "Of", "The", "A", "An", "De", "Da", "Van", "Von"):
-        titled = F.regexp_replace(titled, rf"\b{w}\b", w.lower())
-    return F.when(F.regexp_like(c, F.lit(r"\p{L}")) & ~F.regexp_like(c, F.lit(r"\p{Ll}")), titled).otherwise(c)
+
+    def cased(name):
+        titled = F.initcap(F.lower(name))
+        for w in ("And", "Of", "The", "A", "An", "De", "Da", "Van", "Von"):
+            titled = F.regexp_replace(titled, rf"\b{w}\b", w.lower())
+        return F.when(F.regexp_like(name, F.lit(r"\p{L}")) & ~F.regexp_like(name, F.lit(r"\p{Ll}")), titled).otherwise(name)
+
+    return let(c, cased)
 
 
 def book_label(c: Column) -> Column:
     """struct<title, author> of `Title -- Author` or `Author - Title`, if the author looks like a name."""
-    label = file_label(c)
-    twice = F.split(label, r"\s+--\s+")
-    title2, author2 = file_label(F.get(twice, F.lit(0))), name_case(file_label(F.get(twice, F.lit(1))))
-    m = r"^(.+?)\s+-\s+(.+)$"
-    author1, title1 = name_case(file_label(F.regexp_extract(label, m, 1))), file_label(F.regexp_extract(label, m, 2))
-    return F.when((F.size(twice) >= 2) & looks_like_author(author2), F.struct(title2.alias("title"), author2.alias("author"))).when(looks_like_author(author1), F.struct(title1.alias("title"), author1.alias("author")))
+
+    def parted(label):
+        twice, m = F.split(label, r"\s+--\s+"), r"^(.+?)\s+-\s+(.+)$"
+        found = F.struct(file_label(F.get(twice, F.lit(0))).alias("t2"), name_case(file_label(F.get(twice, F.lit(1)))).alias("a2"), name_case(file_label(F.regexp_extract(label, m, 1))).alias("a1"), file_label(F.regexp_extract(label, m, 2)).alias("t1"))
+        return let(found, lambda s: F.when(looks_like_author(s["a2"]), F.struct(s["t2"].alias("title"), s["a2"].alias("author"))).when(looks_like_author(s["a1"]), F.struct(s["t1"].alias("title"), s["a1"].alias("author"))))
+
+    return let(file_label(c), parted)
 
 
 def book_metadata(file_stem: Column, title: Column, author: Column) -> Column:
     """struct<title, author>: what was extracted, else what the file's name says, else what the title says."""
-    named, t, a = book_label(file_stem), metadata_value(title), metadata_value(author)
-    a1, t1 = F.coalesce(a, named["author"]), F.coalesce(t, named["title"])
-    split = F.when(a1.isNull(), book_label(t1))
-    return F.struct(F.coalesce(split["title"], t1).alias("title"), F.coalesce(a1, split["author"]).alias("author"))
+    told = F.struct(book_label(file_stem).alias("named"), metadata_value(title).alias("title"), metadata_value(author).alias("author"))
+
+    def chosen(s):
+        both = F.struct(F.coalesce(s["title"], s["named"]["title"]).alias("title"), F.coalesce(s["author"], s["named"]["author"]).alias("author"))
+        return let(both, lambda b: let(F.when(b["author"].isNull(), book_label(b["title"])), lambda of: F.struct(F.coalesce(of["title"], b["title"]).alias("title"), F.coalesce(b["author"], of["author"]).alias("author"))))
+
+    return let(told, chosen)
 
 
 def video_title(c: Column) -> Column:
@@ -276,9 +298,13 @@ def video_title(c: Column) -> Column:
 def video_name(c: Column) -> Column:
     """struct<title, year, season, episode> of a release name."""
     bare = F.regexp_replace(F.regexp_replace(strip(c), r"(?i)\.(mkv|mp4|avi|m4v|mov|wmv|mpg|mpeg|ts)$", ""), r"^\s*\[[^\]]+\]\s*", "")
-    number = lambda m, g: F.nullif(F.regexp_extract(bare, m, g), F.lit("")).cast("int")
-    title = strip(F.regexp_replace(F.translate(video_title(bare), "._", "  "), r"\s+", " "))
-    return F.struct(F.regexp_replace(title, r"\s*[\[(]+$", "").alias("title"), number(r"\b((?:19|20)\d{2})\b", 1).alias("year"), number(r"(?i)\bS(\d{2})", 1).alias("season"), number(r"(?i)\bS\d{2}E(\d{2})\b", 1).alias("episode"))
+
+    def parted(bare):
+        number = lambda m, g: F.nullif(F.regexp_extract(bare, m, g), F.lit("")).cast("int")
+        title = strip(F.regexp_replace(F.translate(video_title(bare), "._", "  "), r"\s+", " "))
+        return F.struct(F.regexp_replace(title, r"\s*[\[(]+$", "").alias("title"), number(r"\b((?:19|20)\d{2})\b", 1).alias("year"), number(r"(?i)\bS(\d{2})", 1).alias("season"), number(r"(?i)\bS\d{2}E(\d{2})\b", 1).alias("episode"))
+
+    return let(bare, parted)
 
 
 def derived_title(c: Column, fallback: Column, longest: int = 80) -> Column:

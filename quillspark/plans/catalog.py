@@ -11,8 +11,10 @@ from ..functions import dates, html, text, vectors
 from ..functions import json as js
 from ..operators import calendar, chunks, dedupe, matching, reports, search, threads
 from ..operators import jobs as job_ops
+from ..session import shared_folder
 from ..sources.readers import table
-from .views import JOBS_SQL, NOW, jobs
+from ..streaming import events as streams
+from .views import JOBS_SQL, NOW, as_jobs, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,3 +486,29 @@ def precedence_winner(spark, folder):
 def year_calendar(spark, folder):
     """A century of calendars with transfers."""
     return calendar.year_calendar(_feasts(spark), _years(spark))
+
+
+# Streams
+
+
+def _event_stream(spark, folder):
+    return streams.stream(spark, f"{folder}/events.parquet", table(spark, folder, "events"), "ts")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_throughput(spark, folder):
+    hourly = streams.throughput(_event_stream(spark, folder), "ts", "event_type")
+    return streams.available(hourly, shared_folder(spark), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM g GROUP BY user_id, g""")
+def stream_sessions(spark, folder):
+    found = streams.available(streams.sessions(_event_stream(spark, folder), "ts", "user_id"), shared_folder(spark), "complete")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {JOBS_SQL} SELECT user_id, coalesce(arg_min(status, {{'a': created_at, 'b': job_id}}) FILTER (status IN ('complete', 'failed')), arg_max(status, {{'a': created_at, 'b': job_id}})) AS status, count(*) AS events FROM jobs GROUP BY 1""")
+def stream_job_states(spark, folder):
+    return streams.available(streams.states(as_jobs(_event_stream(spark, folder))), shared_folder(spark), "update", ["user_id"])

@@ -12,7 +12,10 @@ KINDS = ["ingest_library", "ingest_article", "ingest_podcast", "ingest_capture",
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
     """events as a job table: k of the payload gives kind and durations, the event's type gives the status."""
-    e = table(spark, folder, "events")
+    return as_jobs(table(spark, folder, "events"))
+
+
+def as_jobs(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.get(F.array(*[F.lit(x) for x in KINDS]), k % len(KINDS))
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("complete")
