@@ -492,7 +492,8 @@ def year_calendar(spark, folder):
 
 
 def _event_stream(spark, folder):
-    return streams.stream(spark, f"{folder}/events.parquet", table(spark, folder, "events"), "ts")
+    # a pattern, as a stream's plain path must be a folder, and a table may be one file
+    return streams.stream(spark, f"{folder}/[e]vents.parquet", table(spark, folder, "events"), "ts")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
