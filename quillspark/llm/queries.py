@@ -56,7 +56,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, threshold=0.85)
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "'[^\\x20\\x09-\\x0D]+'"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: DuckDB SQL for the rows of the queries that SQL can express on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM s JOIN f USING (g) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1),
+k AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.j) AS kept FROM t ANTI JOIN c ON t.doc_id = c.doc_id AND t.j = c.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op6_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM l),
+g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last IS NOT NULL AND doc_id <> last) AS n_dropped,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256 FROM k LEFT JOIN g USING (key) GROUP BY doc_id""",
+    "op9_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END)) AS s FROM w),
+c AS (SELECT min(doc_id) AS class_id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT class_id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS n, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.class_id < b.class_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p WHERE 100 * n >= 85 * (na + nb - n)), u AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+r AS (SELECT class_id AS id, class_id AS root FROM c UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b),
+m AS (SELECT id, min(root) AS component FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(m.component, s.doc_id) = s.doc_id AS kept, coalesce(c.class_id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.id = c.class_id""",
+}
