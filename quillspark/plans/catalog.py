@@ -12,6 +12,7 @@ from ..functions import json as js
 from ..operators import calendar, chunks, dedupe, matching, reports, search, threads
 from ..operators import jobs as job_ops
 from ..session import shared_folder
+from ..sources import sinks
 from ..sources.readers import table
 from ..streaming import events as streams
 from .views import JOBS_SQL, NOW, as_jobs, jobs
@@ -513,3 +514,72 @@ def stream_sessions(spark, folder):
 @query(f"""WITH {JOBS_SQL} SELECT user_id, coalesce(arg_min(status, {{'a': created_at, 'b': job_id}}) FILTER (status IN ('complete', 'failed')), arg_max(status, {{'a': created_at, 'b': job_id}})) AS status, count(*) AS events FROM jobs GROUP BY 1""")
 def stream_job_states(spark, folder):
     return streams.available(streams.states(as_jobs(_event_stream(spark, folder))), shared_folder(spark), "update", ["user_id"])
+
+
+# Hydration, rendering and matching
+
+
+@query(f"""WITH h AS (SELECT e.vec_id AS doc_id, {_DISTANCE} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2, 1 LIMIT 50)
+SELECT h.doc_id, round(distance, 6) AS distance, d.source, d.lang, CAST(l.quality AS INT) AS quality, substr(d.text, 1, 100) AS chunk_text FROM h JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)""")
+def hydrated_hits(spark, folder):
+    hits = search.nearest(table(spark, folder, "embeddings"), _question(spark, folder), 50, "vec_id").select(F.col("vec_id").alias("doc_id"), F.round("distance", 6).alias("distance"))
+    meta = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 100).alias("chunk_text"))
+    return docs.join(hits, "doc_id").join(meta, "doc_id", "left").select("doc_id", "distance", "source", "lang", "quality", "chunk_text")
+
+
+@query("SELECT conv_id, arg_min(text, turn) AS chunk_text FROM conversations GROUP BY 1")
+def first_chunks(spark, folder):
+    return search.first_chunk(table(spark, folder, "conversations").withColumnRenamed("turn", "chunk_index"), "conv_id")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def reassembled_texts(spark, folder):
+    return chunks.reassembled(table(spark, folder, "conversations").withColumnRenamed("turn", "chunk_index"), "conv_id")
+
+
+@query("""SELECT page_id, 'Title: ' || trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) || chr(10) || 'URL: ' || url || chr(10) || chr(10) AS header,
+sha256(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) || chr(10) || url) AS content_hash FROM pages""")
+def embed_headers(spark, folder):
+    p = table(spark, folder, "pages").select("page_id", "url", html.raw_title(F.col("html")).alias("title"))
+    return p.select("page_id", text.labelled_header([("Title", F.col("title")), ("Author", F.lit(None).cast("string")), ("URL", F.col("url"))]).alias("header"), text.content_hash(F.col("title"), F.col("url")).alias("content_hash"))
+
+
+@query("""SELECT doc_id, '---' || chr(10) || 'source: "' || source || '"' || chr(10) || 'lang: "' || lang || '"' || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) AS markdown FROM documents""")
+def markdown_documents(spark, folder):
+    body = sinks.markdown([("source", F.col("source")), ("author", F.lit(None).cast("string")), ("lang", F.col("lang"))], F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", body.alias("markdown"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_distinct(flatten(list_transform(list_filter(string_split(lower(p_name || 's of the ' || p_type || ' 007'), ' '), lambda t: t NOT IN ('a', 'an', 'the', 'of', 'for', 'to', 'and')),
+lambda t: CASE WHEN t = '007' THEN ['7'] WHEN length(t) > 3 AND ends_with(t, 's') AND NOT ends_with(t, 'ss') THEN [t, t[1:length(t) - 1]] ELSE [t] END))).list_sort(), ' ') AS tokens FROM part""")
+def matcher_tokens(spark, folder):
+    title = F.concat("p_name", F.lit("s of the "), "p_type", F.lit(" 007"))
+    return table(spark, folder, "part").select("p_partkey", F.array_join(F.array_sort(text.matcher_tokens(title)), " ").alias("tokens"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM events""")
+def rolling_hour(spark, folder):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = Window.partitionBy("event_type").orderBy(micros).rangeBetween(-3_600_000_000, 0)
+    return table(spark, folder, "events").select("event_id", F.count("*").over(order).alias("last_hour"))
+
+
+@query("""WITH e AS (SELECT DATE '2025-04-20' AS e) SELECT 'anglican' AS tradition, e - 46 AS ash_wednesday, e - 7 AS palm_sunday, e - 1 AS holy_saturday, e + 6 AS easter_saturday, e + 8 AS week_after_second_sunday FROM e
+UNION ALL SELECT 'byzantine', e - 46, e - 7, e - 1, e + 6, e + 8 FROM e""")
+def season_dates(spark, folder):
+    both = spark.createDataFrame([("anglican",), ("byzantine",)], "tradition string")  # the two Easters of 2025 fall on one day
+    s = both.withColumn("s", dates.season(dates.easter(F.lit(2025), F.col("tradition"))))
+    return s.select("tradition", "s.ash_wednesday", "s.palm_sunday", "s.holy_saturday", "s.easter_saturday", "s.week_after_second_sunday")
+
+
+@query("SELECT * FROM (VALUES (2, DATE '2025-04-20'), (4, DATE '2025-04-25'), (13, DATE '2025-04-20'), (14, DATE '2025-04-23')) t(id, day)")
+def feasts_in_range(spark, folder):
+    found = calendar.in_range(_feasts(spark), F.lit(2025), F.lit("2025-04-01").cast("date"), F.lit("2025-04-30").cast("date"))
+    return found.select(F.col("id").cast("int").alias("id"), "day")
+
+
+@query("SELECT o_orderkey, o_totalprice, round(greatest(0, least(1, 1 - o_totalprice / 1000000)), 4) AS similarity FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderpriority ILIKE '%urg%'")
+def predicates(spark, folder):
+    asked = search.all_of([F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"), search.like_pattern(F.col("o_orderpriority"), "urg"), None])
+    return table(spark, folder, "orders").filter(asked).select("o_orderkey", "o_totalprice", F.round(vectors.similarity(F.col("o_totalprice") / 1000000), 4).alias("similarity"))
