@@ -7,8 +7,9 @@
    listed: similar sets meet in one of these lists, and passages that many texts share don't make long lists.
 3. In each list, every class is paired with the list's first one; the pair's union sketch (the smallest hashes of both) must
    suggest enough similarity. Pairs that pass are verified on the full sets, and linked classes get a common component.
-4. Lists whose classes are now in several components are finished exactly: all their pairs of different components are
-   compared by sketch, block of a list by block of it, each pair in the first list that it shares, and verified as before.
+4. Lists whose classes are now in several components are finished exactly: all their pairs of different components and
+   similar sizes are compared by sketch, the classes outside the list's largest component against all, block by block, each
+   pair in the first list that it shares; and verified as before.
 
 Long lists are never gathered in one task, and groups of copies cost one pair a class rather than all pairs.
 """
@@ -104,25 +105,25 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def open_pairs(value: int, one_block: bool, members: list[dict], threshold: float) -> list[tuple[int, int]]:
-    """Of the list's members in two blocks (or in one) the pairs of different components that are plausible, if this is the
-    first list that they share."""
-    members.sort(key=lambda m: m["class_id"])
+def plausible_pairs(value: int, members: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of a class that asks and one that doesn't, of different components, that the sketches find plausible, if this
+    is the first list that they share."""
     sketches = [np.array(m["sketch"], np.int64).view(np.uint64) for m in members]
-    sizes, component, own = (np.array([m[c] for m in members]) for c in ("n", "component", "own"))
+    ids, sizes, component, asks = (np.array([m[c] for m in members]) for c in ("class_id", "n", "component", "asks"))
+    if asks.all() or not asks.any():
+        return []
     values, at = np.unique(np.concatenate(sketches), return_inverse=True)
     held = np.zeros((len(members), len(values)), np.float32)
     held[np.repeat(np.arange(len(members)), [len(s) for s in sketches]), at] = 1
-    shared = held @ held.T
-    wanted = np.floor((threshold - slack(threshold)) * np.minimum.outer(held.sum(axis=1), held.sum(axis=1)))
+    shared, kept = held @ held.T, held.sum(axis=1)
+    wanted = np.floor((threshold - slack(threshold)) * np.minimum.outer(kept, kept))
     good = (shared >= wanted) & (component[:, None] != component) & (np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes))
-    if not one_block:
-        good &= own[:, None] != own
-    out = []
-    for p, q in zip(*np.nonzero(np.triu(good, 1))):
+    good &= asks[:, None] & ~asks
+    out = set()
+    for p, q in zip(*np.nonzero(good)):
         if min(set(members[p]["listed"]) & set(members[q]["listed"])) == value and _plausible(sketches[p], sketches[q], sizes[p], sizes[q], threshold):
-            out.append((members[p]["class_id"], members[q]["class_id"]))
-    return out
+            out.add((int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
+    return sorted(out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -208,27 +209,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checked(met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(plausible, "a bigint, b bigint"))
     found = components(links)
 
-    # lists that several components still meet in
-    labelled = lists.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("value", "class_id", "df", F.coalesce("component", "class_id").alias("component"))
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    # lists that several components still meet in: a pair of them has a class outside the list's largest component
+    labelled = lists.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("value", "class_id", F.coalesce("component", "class_id").alias("component"))
+    held_by = labelled.groupBy("value", "component").agg(F.count("*").alias("members"))
+    mixed = held_by.groupBy("value").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("members").alias("size"))
     # a list of two was compared in full; longer ones only against their first class
-    open_lists = labelled.join(mixed.filter("lo <> hi and size > 2").select("value", "size"), "value")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    to_pairs = open_lists.withColumn("blocks", blocks).withColumn("own", own).select("value", "class_id", "component", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    to_pairs = to_pairs.select("value", "class_id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    open_lists = labelled.join(mixed.filter("parts > 1 and size > 2").select("value", "largest"), "value")
+    # similar sets are of the same range of sizes or of the next one
+    sized = open_lists.join(classes.select("class_id", "n"), "class_id").withColumn("range", F.floor(F.log("n") / -math.log(threshold)).cast("int")).drop("n")
+    outside = sized.filter("component <> largest").select("value", "class_id", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"))
+    keys = ["value", "range"]
+    counts = outside.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).join(sized.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), keys)
+    block, chunk = (F.pmod(F.xxhash64("class_id"), F.col(c)).cast("int") for c in ("blocks", "chunks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    insiders = sized.join(counts, keys).select(*keys, "class_id", block.alias("block"), each("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    askers = outside.join(counts, keys).select(*keys, "class_id", each("blocks").alias("block"), chunk.alias("chunk"), F.lit(True).alias("asks"))
     listed = lists.groupBy("class_id").agg(F.collect_list("value").alias("listed"))
-    members_of = to_pairs.join(small.join(listed, "class_id"), "class_id")
-    meeting = members_of.groupBy("value", "i", "j").agg(F.collect_list(F.struct("class_id", "component", "own", "n", "sketch", "listed")).alias("members"))
+    component_of = sized.select("class_id", "component").distinct()
+    facts = component_of.join(small, "class_id").join(listed, "class_id")
+    members = F.collect_list(F.struct("class_id", "component", "asks", "n", "sketch", "listed"))
+    meeting = insiders.union(askers).join(facts, "class_id").groupBy(*keys, "block", "chunk").agg(members.alias("members"))
 
     def across(batches):
         for batch in batches:
             pairs = []
-            for value, i, j, members in zip(*(batch.column(c).to_pylist() for c in ("value", "i", "j", "members"))):
-                pairs += open_pairs(value, i == j, members, threshold)
+            for value, members in zip(batch.column("value").to_pylist(), batch.column("members").to_pylist()):
+                pairs += plausible_pairs(value, members, threshold)
             yield pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    rest = written(meeting.select("value", "i", "j", "members").mapInArrow(across, "a bigint, b bigint").distinct(), "rest")
+    rest = written(meeting.select("value", "members").mapInArrow(across, "a bigint, b bigint").distinct(), "rest")
     if not rest.isEmpty():
         more = checked(rest)
         links = links.union(more)
