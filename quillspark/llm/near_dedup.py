@@ -34,7 +34,7 @@ MISSED = 1e-6
 #: Pairs whose union sketch shows less than the threshold by this many standard deviations aren't verified.
 DEVIATIONS = 4.0
 #: Classes of a list that are compared in one block.
-BLOCK = 64
+BLOCK = 192
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -119,9 +119,15 @@ def plausible_pairs(value: int, members: list[dict], threshold: float) -> list[t
     wanted = np.floor((threshold - slack(threshold)) * np.minimum.outer(kept, kept))
     good = (shared >= wanted) & (component[:, None] != component) & (np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes))
     good &= asks[:, None] & ~asks
+    # lists of smaller values that two classes share
+    lower = [[v for v in m["listed"] if v < value] for m in members]
+    below, at = np.unique(np.array([v for vs in lower for v in vs], np.int64), return_inverse=True)
+    earlier = np.zeros((len(members), len(below)), np.float32)
+    earlier[np.repeat(np.arange(len(members)), [len(vs) for vs in lower]), at] = 1
+    good &= earlier @ earlier.T == 0
     out = set()
     for p, q in zip(*np.nonzero(good)):
-        if min(set(members[p]["listed"]) & set(members[q]["listed"])) == value and _plausible(sketches[p], sketches[q], sizes[p], sizes[q], threshold):
+        if _plausible(sketches[p], sketches[q], sizes[p], sizes[q], threshold):
             out.add((int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
     return sorted(out)
 
