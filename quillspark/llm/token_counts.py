@@ -11,16 +11,19 @@ saves most calls of the library.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_slices, per_worker, texts
+from .common import fresh_path, map_slices, per_worker, slices, texts
 
 #: Words kept in each Python worker's table; it is emptied when full.
-WORD_TABLE = 400_000
+WORD_TABLE = 100_000
+#: Words that the library encodes at once; its encodings are large.
+ENCODED_AT_ONCE = 2_000
 
 CACHE_SCHEMA = "text_sha binary, tokenizer_sha binary, n_tokens bigint"
 
@@ -30,9 +33,9 @@ def tokenizer_digest(path: str) -> bytes:
         return hashlib.sha256(f.read()).digest()
 
 
-def normalised(text):
+def normalised(text: bytes | None) -> bytes:
     """Null is empty. White space between words doesn't count for this tokenizer, so that runs and ends don't matter."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\r]+", " "))
+    return b" ".join((text or b"").split())
 
 
 #: In texts of Latin-1 characters without apostrophes and special strings, a run of letters is a piece of its own.
@@ -56,6 +59,7 @@ class WordCounter:
     """Counts of whole texts as sums over parts, each part encoded by the library once while kept."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -69,8 +73,9 @@ class WordCounter:
         if len(known) > WORD_TABLE:
             known.clear()
         new = [w for w in {w for ws in words for w in ws} if w not in known]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = len(e)
+        for i in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[i : i + ENCODED_AT_ONCE]
+            known.update(zip(some, map(len, self.library.encode_batch_fast(some, add_special_tokens=False))))
         return [sum(map(known.__getitem__, ws)) for ws in words]
 
 
@@ -88,17 +93,34 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_sha") == version)
 
-    text = normalised(docs[text_col])
-    keyed = docs.select(docs[id_col].alias("id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("text_sha"))
-    contents = docs.select(F.unhex(F.sha2(text, 256)).alias("text_sha"), text.alias("content"))
-    misses = contents.join(cache, "text_sha", "left_anti").groupBy("text_sha").agg(F.first("content").alias("content"))
+    kind = dict(docs.dtypes)[id_col]
+    narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("content"))
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = texts(batch, "content")
+        return pa.record_batch({"id": batch.column("id"), "n_bytes": pa.array([len(t or b"") for t in found], pa.int64()), "text_sha": pa.array([hashlib.sha256(normalised(t)).digest() for t in found], pa.binary())})
+
+    def contents(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Each content of a slice once, so that copies don't travel."""
+        found = {hashlib.sha256(t).digest(): t for t in map(normalised, texts(batch, "content"))}
+        return pa.record_batch({"text_sha": pa.array(list(found), pa.binary()), "content": pa.array([t.decode() for t in found.values()], pa.string())})
+
+    each = map_slices(narrow.select("content"), "content", contents, "text_sha binary, content string")
+    # equal digests meet in one partition, where the first is encoded
+    misses = each.join(cache, "text_sha", "left_anti").repartition("text_sha")
     counter = per_worker(lambda: WordCounter(tokenizer_path))
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = counter().counts([t.decode() for t in texts(batch, "content")])
-        return pa.record_batch({"text_sha": batch.column("text_sha"), "n_tokens": pa.array(found, pa.int64())})
+    def encode(batches):
+        done: set[bytes] = set()
+        for batch in slices(batches, "content", 1 << 20):
+            shas = batch.column("text_sha").to_pylist()
+            new = [i for i, sha in enumerate(shas) if sha not in done and not done.add(sha)]
+            found = texts(batch, "content")
+            counts = counter().counts([found[i].decode() for i in new])
+            yield pa.record_batch({"text_sha": pa.array([shas[i] for i in new], pa.binary()), "n_tokens": pa.array(counts, pa.int64())})
 
-    fresh = map_slices(misses, "content", encode, "text_sha binary, n_tokens bigint")
+    fresh = misses.select("text_sha", "content").mapInArrow(encode, "text_sha binary, n_tokens bigint")
     fresh.select("text_sha", version.alias("tokenizer_sha"), "n_tokens").write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_sha") == version).groupBy("text_sha").agg(F.max("n_tokens").alias("n_tokens"))
+    keyed = map_slices(narrow, "content", digests, f"id {kind}, n_bytes bigint, text_sha binary")
     return keyed.join(stored, "text_sha", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
