@@ -265,6 +265,19 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def leaks(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(frame(spark, list(enumerate(docs))), bench).collect()}
+
+
+def test_decontamination_of_items_dense_in_slots(spark):
+    items = ["3 1 4 1 5 9 2 6 5 3 5 8 9 7", "what is 12 plus 37 minus 8 times 4 plus 190 minus 3", "17 km 4 hours", "present were Anna Smith Tom Jones Mary Brown Joe White Sue Black", "12 kg 7 m"]
+    docs = ["see " + item + ", and so on" for item in items] + ["3 1 4 1 5 0 2 6 5 3 0 8 9 7", "18 km 4 hours"]
+    found = leaks(spark, items, docs)
+    assert set(found) == {(i, i) for i in range(len(items))}
+    assert all(r.coverage == 1 and not r.reparameterised for r in found.values())
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 7)
     rnd = random.Random(12)
