@@ -278,6 +278,28 @@ def test_decontamination_of_items_dense_in_slots(spark):
     assert all(r.coverage == 1 and not r.reparameterised for r in found.values())
 
 
+def test_decontamination_of_several_occurrences(spark):
+    form = "so {0} has {1} blue marbles and buys {2} more, how many marbles does {0} have then"
+    items = [form.format("Anna", 3, 4)]
+    one, two, three = form.format("Zoe", 8, 5), form.format("Bea", 9, 1), form.format("Bea", 7, 6)
+    broken = lambda text: text.replace("and buys", "and then buys")
+    docs = [one + ". " + two, two + ". " + three + ". " + form.format("Bea", 2, 9) + ". " + items[0], broken(one), broken(one) + ". " + broken(two)]
+    found = leaks(spark, items, docs)
+    assert set(found) == {(i, 0) for i in range(4)}
+    assert found[0, 0].coverage == 1 and found[1, 0].coverage == 1
+    assert [found[i, 0].reparameterised for i in range(4)] == [True, False, True, True]
+
+
+def test_best_occurrence():
+    w = lambda shift, at, own: {"size": 8, "at": at + shift, "item_at": at, "slots": own, "item_slots": ["anna", "3"]}
+    copies = [w(0, 0, ["zoe", "3"]), w(0, 1, ["zoe", "3"]), w(40, 0, ["anna", "9"]), w(40, 1, ["anna", "9"])]
+    assert decontaminate.consistent(9, copies) == (0, 0.0, False)
+    assert decontaminate.best_occurrence(9, copies) == (2, 1.0, True)
+    assert decontaminate.best_occurrence(9, [*copies, w(80, 0, ["anna", "3"]), w(80, 1, ["anna", "3"])]) == (2, 1.0, False)
+    # a word put in between the halves
+    assert decontaminate.best_occurrence(30, [w(0, 0, ["zoe", "3"]), w(1, 12, ["zoe", "3"]), w(100, 0, ["bea", "4"]), w(101, 12, ["bea", "4"])]) == (2, 16 / 30, True)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 7)
     rnd = random.Random(12)
