@@ -278,6 +278,17 @@ def test_decontamination_of_items_dense_in_slots(spark):
     assert all(r.coverage == 1 and not r.reparameterised for r in found.values())
 
 
+def test_decontamination_of_other_case_and_lines(spark):
+    items = ["What is the boiling point of pure water", "If Anna and Tom meet Sue in Rome with 3 pears then Bob and Ann in Bonn eat 5 of them before Joe does", "Can Anna reach the town in 3 hours"]
+    docs = ["they asked What is the boiling point of pure water", "- What is the boiling point of pure water", "so WHAT IS THE BOILING POINT OF PURE WATER"]
+    docs += ["so " + items[1].lower(), "so " + items[1].upper(), items[1].replace(" ", "\n"), items[1].upper().replace("3", "4")]
+    docs += ["- Can Mary reach the town in 7 hours", "Will Mary reach the town in 7 hours"]
+    found = leaks(spark, items, docs)
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2)}
+    assert all(found[d, i].coverage == 1 for d, i in found)
+    assert {d for (d, _), r in found.items() if r.reparameterised} == {6, 7}
+
+
 def test_decontamination_of_several_occurrences(spark):
     form = "so {0} has {1} blue marbles and buys {2} more, how many marbles does {0} have then"
     items = [form.format("Anna", 3, 4)]
