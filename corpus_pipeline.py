@@ -16,9 +16,11 @@ from quillspark.llm.queries import PIECE_BPE, documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go, whether or not there were labels to learn from."""
     model = language_id.train(docs)
     columns = docs.columns
+    if not model.languages:
+        return language_id.with_letters(docs)
     return language_id.identify(docs, model, keep=columns).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*columns)
 
 

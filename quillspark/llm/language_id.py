@@ -107,6 +107,16 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and any(map(str.isalpha, text.decode()))
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter, which are those that identify() gives a language if the model learned one."""
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([has_letter(t) for t in texts(batch, text_col)], pa.bool_()))
+
+    return map_slices(docs, text_col, pick, schema)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: id, lang_pred, score, and the columns in keep.
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import sentencepiece
 from public_tokenizers import path
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import queries
@@ -99,3 +100,12 @@ def test_pipeline(spark, sf_dir, docs):
             break
         assert found.columns == columns and {d: r.text for d, r in rows.items()} == kept, name
         held = found
+
+
+def test_pipeline_without_labels(spark):
+    rows = [(1, "a clean text", None), (2, None, None), (3, "", None), (4, "12 !?", None), (5, "7 \u00e9", None), (None, "no id", None)]
+    held = spark.createDataFrame([(*r, "web", 12) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.identify_language(spark, held, "")
+    assert found.columns == held.columns and {tuple(r) for r in found.collect()} == {(*rows[i], "web", 12) for i in (0, 4, 5)}
+    labelled = held.withColumn("lang", F.when(F.col("doc_id").isNull(), "en"))  # the label's row is held out
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, labelled, "").collect()} == {1, 5, None}
