@@ -22,8 +22,6 @@ from .words import mix
 
 #: Labelled documents that training takes at most; a hash of the id picks them.
 TRAINING_ROWS = 8_000
-#: Lexicon words at most, the commonest in toxic texts.
-LEXICON = 100
 #: Characters of context on either side of a hit.
 WINDOW = 60
 # Words of report and of address, in the languages of the corpus.
@@ -44,7 +42,7 @@ class Automaton:
     def __init__(self, lexicon: list[str]):
         self.lexicon = lexicon
         letters = sorted(set("".join(lexicon)))
-        self.classes = np.zeros(1 << 16, np.uint8)
+        self.classes = np.zeros(1 << 16, np.uint16)
         for i, c in enumerate(letters):
             if ord(c) < len(self.classes):
                 self.classes[ord(c)] = i + 1
@@ -138,6 +136,7 @@ class Model:
 
 FEATURES = 6
 _letter: list[np.ndarray] = []
+_space: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
@@ -146,6 +145,12 @@ def _letters() -> np.ndarray:
     return _letter[0]
 
 
+def _spaces() -> np.ndarray:
+    if not _space:
+        _space.append(np.array([chr(i).isspace() for i in range(1 << 16)]))
+    return _space[0]
+
+
 def quoted(text: str, start: int, end: int) -> tuple[bool, bool]:
     """Whether the window around a hit shows a quotation, and whether it addresses someone."""
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
@@ -166,8 +171,15 @@ def features(model: Model, batch: list[bytes | None]) -> np.ndarray:
     edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     state = automaton.read(points, starts, ends - starts)
-    hits = np.flatnonzero(automaton.word[state] >= 0)
     n_words = np.diff(np.searchsorted(starts, at))
+    # one digit or symbol between letters can stand for a letter, or be put in: words on both sides of it are read as one
+    # too (with more than one, it is more than one edit), unless one of them is a hit by itself
+    hit = automaton.word[state] >= 0
+    joins = np.flatnonzero((starts[1:] - ends[:-1] == 1) & ~hit[:-1] & ~hit[1:]) if len(starts) else starts
+    joins = joins[~_spaces()[np.minimum(points[ends[joins]], (1 << 16) - 1)]]
+    joined = automaton.read(points, starts[joins], ends[joins + 1] - starts[joins])
+    starts, ends, state = np.concatenate([starts, starts[joins]]), np.concatenate([ends, ends[joins + 1]]), np.concatenate([state, joined])
+    hits = np.flatnonzero(automaton.word[state] >= 0)
     of = np.searchsorted(at, starts[hits], side="right") - 1
     counts = np.zeros((len(batch), 4))
     for h, text in zip(hits.tolist(), of.tolist()):
@@ -182,8 +194,8 @@ def features(model: Model, batch: list[bytes | None]) -> np.ndarray:
     return np.column_stack([np.ones(len(batch)), np.log1p(counts), np.log1p(rate)])
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> list[str]:
-    """Words of toxic texts. Near copies count once: a text counts by the least hash of its runs of five words."""
+def learn_lexicon(rows: DataFrame) -> list[str]:
+    """Words of toxic texts, all that are significantly commoner there than in others. Near copies count once: a text counts by the least hash of its runs of five words."""
 
     def distinct(batches):
         for batch in batches:
@@ -199,13 +211,13 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> list[str]:
             yield pa.record_batch({"word": pa.array(word, pa.string()), "toxic": pa.array(toxic, pa.int32()), "sign": pa.array(sign, pa.int64())})
 
     seen = rows.mapInArrow(distinct, "word string, toxic int, sign bigint").distinct()
-    counted = seen.filter(F.length("word") >= 4).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+    counted = seen.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     totals = seen.agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sign"))).alias("bad"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("sign"))).alias("good")).first()
     bad, good = max(1, totals["bad"]), max(1, totals["good"])
     share, rest = F.col("bad") / bad, (F.col("good") + 0.5) / good
     even = (F.col("bad") + F.col("good") + 0.5) / (bad + good)
-    telling = (F.col("bad") >= 3) & (share >= 0.02) & (share >= 5 * rest) & ((share - rest) / F.sqrt(even * (1 - even) * (1 / bad + 1 / good)) >= 4)
-    return sorted(r["word"] for r in counted.filter(telling).orderBy(F.desc("bad"), "word").limit(most).collect())
+    telling = (F.col("bad") >= 3) & (share >= 5 * rest) & ((share - rest) / F.sqrt(even * (1 - even) * (1 / bad + 1 / good)) >= 4)
+    return sorted(r["word"] for r in counted.filter(telling).select("word").collect())
 
 
 def hash_of(word: str) -> int:

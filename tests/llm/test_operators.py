@@ -226,6 +226,23 @@ def test_levenshtein_automaton():
         assert (machine.edits[s] if machine.word[s] >= 0 else None) == want
 
 
+def test_misspelled_with_digits_and_symbols():
+    model = toxicity.Model(["idiot", "moron", "pathetic"])
+    hit = ["m0ron", "a id*ot!", "(p@thetic)", "mo-ron", "mo_ron", "moro7n"]
+    clean = ["m0r0n", "mo ron", "m\nron", "id**ot", "m", "", None, "7", "a-b"]
+    x = toxicity.features(model, [t.encode() if t is not None else None for t in [*hit, *clean, "moron-idiot", "moron"]])
+    assert np.expm1(x[:, 2]).round().tolist() == [1] * len(hit) + [0] * (len(clean) + 2)
+    assert np.expm1(x[:, 1]).round().tolist() == [0] * (len(hit) + len(clean)) + [2, 1]
+
+
+def test_lexicon_of_rare_short_and_many_words(spark):
+    rnd = random.Random(14)
+    terms = ["zut", *("q" + chr(97 + i // 26) + chr(97 + i % 26) + "xj" for i in range(109))]
+    text = lambda *more: " ".join([*rnd.choices(WORDS, k=12), *more])
+    rows = [(text(terms[i % len(terms)], "end"), 1) for i in range(440)] + [(text("end"), 0) for _ in range(4000)]
+    assert toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")) == sorted(terms)
+
+
 def test_language_id(spark):
     rnd = random.Random(11)
     alphabets = {"aa": "abcde ", "bb": "vwxyz ", "cc": "éèàùô "}
