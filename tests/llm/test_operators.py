@@ -114,6 +114,50 @@ def test_near_dedup_chains_and_large_groups(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == sorted(brute.near_dedup(docs))
 
 
+def around_the_threshold(n, seed):
+    """Variants of one text, most of them just below the threshold to each other (0.85 of 3-word shingles), some above."""
+    rnd = random.Random(seed)
+    base, out = [f"w{i}" for i in range(120)], []
+    for i in range(n):
+        own = list(base)
+        for at in rnd.sample(range(0, 120, 4), rnd.choice([1, 3, 4, 4, 4])):
+            own[at] = f"x{rnd.randrange(40)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("block, sketch", [(2048, 64), (16, 64), (64, None)])
+def test_near_dedup_variants_around_the_threshold(spark, monkeypatch, block, sketch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    docs = around_the_threshold(250, 9)
+    found = near_dedup.near_duplicates(spark.createDataFrame(docs, EMPTY), shingle=3, threshold=0.85, sketch=sketch).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == sorted(brute.near_dedup(docs))
+
+
+def test_near_dedup_links_of_just_the_threshold(spark):
+    """Pairs with 85 of 100 shingles of their union in common, many times: none may be lost."""
+    docs = []
+    for i in range(300):
+        # 85 shared shingles, 7 and 8 of either side's own
+        shared = [f"s{i}_{k}" for k in range(87)]
+        docs += [(2 * i, " ".join(shared + [f"a{i}_{k}" for k in range(7)])), (2 * i + 1, " ".join(shared + [f"b{i}_{k}" for k in range(8)]))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(docs, EMPTY), shingle=3, threshold=0.85).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in found) and len(found) == 600
+
+
+def test_block_links_join_components_only_once():
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    text = [f"w{i}" for i in range(40)]
+    members = [{"class_id": i, "component": i, "asks": i > 0, "z": pack(" ".join(text + [f"v{i}"]).encode())} for i in range(5)]
+    members += [{**m, "asks": False} for m in members[1:]]
+    members.append({"class_id": 9, "component": 9, "asks": False, "z": pack(b"something else altogether")})
+    links = near_dedup.block_links(members, 3, 0.85)
+    assert len(links) == 4 and {i for link in links for i in link} == set(range(5))
+    assert near_dedup.block_links(members[:1], 3, 0.85) == []
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
     docs = [(1, None), (2, ""), (3, "same text"), (4, "Same  TEXT"), (None, "same text"), (4, "Same  TEXT")]
