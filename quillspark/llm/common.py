@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a filter of wanted ids at most.
+FILTER_BITS = 1 << 25
 #: Text bytes that one slice of an Arrow batch holds at most (a single longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 
@@ -91,3 +94,44 @@ class _Once:
 def held_out(doc_id, mod: int = 4, fold: int = 2):
     """Whether crc32 of the id as text falls in the held-out fold; an id that is null is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == fold, F.lit(True))
+
+
+def among(ids: DataFrame, column: str = "id"):
+    """A condition on a column that holds for all values in the written table `ids` and few others: a filter of one hash,
+    sized by their number. Its size is bounded; where they are too many for that, it holds for every value. A join after it
+    shuffles only rows that pass."""
+    n = ids.count()
+    if 4 * n > FILTER_BITS:
+        return lambda c: F.lit(True)
+    bits = max(64, min(FILTER_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    table = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[table["word"].to_numpy(np.int64)] = table["set"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def holds(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series(shared.value[x >> 6] >> (x & 63) & 1 == 1)
+
+    return lambda c: holds(F.pmod(F.xxhash64(c), F.lit(bits)))
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable]:
+    """docs with the columns called like one of the names (in any case) renamed to names that nothing has, and a function
+    that gives a frame's columns their own names again."""
+    taken, moved = {c.lower() for c in docs.columns} | {c.lower() for c in names}, {}
+    for c in docs.columns:
+        if c.lower() in {x.lower() for x in names}:
+            moved[c] = unused(c, taken)
+            taken.add(moved[c].lower())
+    return docs.withColumnsRenamed(moved), lambda frame: frame.withColumnsRenamed({new: old for old, new in moved.items()})
+
+
+def unused(name: str, columns) -> str:
+    """The name, with marks put before it until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

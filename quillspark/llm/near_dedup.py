@@ -20,14 +20,13 @@ import math
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts, written
+from .common import among, map_slices, texts, written
 from .words import mix, words
 
 SKETCH = 64
@@ -35,8 +34,6 @@ SKETCH = 64
 MISSED = 1e-6
 #: Classes on either side of a block at most, and their shingles.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
-#: Bits of the filter of wanted ids at most.
-FILTER_BITS = 1 << 25
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -136,27 +133,6 @@ def block_links(members: list[dict], shingle: int, threshold: float) -> list[tup
     return out
 
 
-def among(ids: DataFrame):
-    """A condition on a column of ids that holds for all in the written table `ids` (column id) and few others: a filter of
-    one hash, sized by their number. Its size is bounded; where they are too many for that, it holds for every id."""
-    n = ids.count()
-    if 4 * n > FILTER_BITS:
-        return lambda column: F.lit(True)
-    bits = max(64, min(FILTER_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    table = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toPandas()
-    words_ = np.zeros(bits // 64, np.int64)
-    words_[table["word"].to_numpy(np.int64)] = table["set"].to_numpy(np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(words_)
-
-    @F.pandas_udf("boolean")
-    def holds(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64)
-        return pd.Series(shared.value[x >> 6] >> (x & 63) & 1 == 1)
-
-    return lambda column: holds(F.pmod(F.xxhash64(column), F.lit(bits)))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, sketch: int | None = SKETCH) -> DataFrame:
     """One row per distinct id of docs: id, n_shingles, class_id (the smallest id with the same shingles), n_links (links of
     this id's class that were confirmed; those that join nothing new aren't looked for), component_id (the smallest id
