@@ -2,8 +2,8 @@
 
 In the BPE models meant here no piece holds a white-space mark after another character, so pieces cannot cross from one
 marked word into the next. Every slice of documents is cut into chunks (a run of marks and the word after it), each
-distinct chunk is segmented once, and ids are joined back to the documents by position, as numpy gathers over a flat
-table. Chunks met before stay in a bounded table of the Python worker. Nothing is shuffled. A model in which pieces do
+distinct chunk is segmented once and its ids are decoded once, and both are joined back to the documents by position, ids
+as numpy gathers over a flat table. Chunks met before stay in a bounded table of the Python worker. Nothing is shuffled. A model in which pieces do
 cross marks, or that normalises its input, is run on whole texts instead.
 """
 
@@ -37,8 +37,6 @@ class ChunkCodec:
         whole = self.model.encode(probe)
         self.free = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.decode(whole) == probe and self.model.encode("a", out_type=str)[0].startswith(MARK)
         self.marked = np.array([p.startswith(MARK) for p in pieces])
-        #: With byte pieces each character has ids, and an encoded chunk decodes to itself.
-        self.whole = all(self.model.piece_to_id(f"<0x{i:02X}>") != self.model.unk_id() for i in range(256))
         self.known: dict[str, int] = {}
         self._reset()
 
@@ -63,9 +61,10 @@ class ChunkCodec:
         self.known.update(zip(words + odd, range(len(self.known), len(self.known) + len(chunks))))
         self.flat, old = np.concatenate([self.flat, ids, *(np.array(x, np.uint32) for x in more)]), len(self.flat)
         self.starts = np.concatenate([self.starts, old + np.array(ends, np.int64)])
-        if not self.whole:
-            at = self.starts[-len(ends) - 1 :].tolist()
-            self.surfaces += [" " + self.model.decode(self.flat[i:j].tolist()) for i, j in zip(at, at[1:])]
+        # the library takes the mark off that it puts before a text
+        at = self.starts[-len(ends) - 1 :].tolist()
+        flat = self.flat.tolist()
+        self.surfaces += [" " + x for x in self.model.decode([flat[i:j] for i, j in zip(at, at[1:])], num_threads=1)]
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids and decoded text of each text."""
@@ -88,7 +87,7 @@ class ChunkCodec:
                 step[0] = first[0]
                 step[ends[:-1]] = first[1:] - (first[:-1] + size[:-1] - 1)
             ids = np.concatenate([[self.bos], self.flat[np.cumsum(step)], [self.eos]]).astype(np.uint32)
-            out.append((ids, "".join(cs if self.whole else map(self.surfaces.__getitem__, at.tolist()))[1:]))
+            out.append((ids, "".join(map(self.surfaces.__getitem__, at.tolist()))[1:]))
         return out
 
     @staticmethod
