@@ -1,16 +1,19 @@
 """Token counts with a digest cache.
 
-Each text is normalised (runs of white space become one blank, which the tokenizer does itself) and digested. Digests,
-together with a digest of the tokenizer file, are joined to the cache of stored counts; only distinct digests that the
-cache lacks are encoded, and what they give is appended to the cache, from which all counts are then joined.
-
-Tokens never cross white space, so a text's count is the sum over its words; a bounded table of words counted before
-saves most calls of the library.
+Each text is normalised, as far as the tokenizer does so itself, and digested. Digests, together with a digest of the
+tokenizer file, are joined to the cache of stored counts; only distinct digests that the cache lacks are encoded, and what
+they give is appended to the cache, from which all counts are then joined. Contents travel only where their digest is
+missing.
+
+A tokenizer whose file says that it lower-cases, joins white space and splits at it (SPLITTING) is counted by words: runs of
+white space don't matter, and a text's count is the sum over its words; a bounded table of words counted before saves most
+calls of the library. Any other tokenizer gets whole texts as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_slices, per_worker, slices, texts
+from .common import among, fresh_path, map_slices, per_worker, slices, texts, written
 
 #: Words kept in each Python worker's table; it is emptied when full.
 WORD_TABLE = 100_000
@@ -33,9 +36,23 @@ def tokenizer_digest(path: str) -> bytes:
         return hashlib.sha256(f.read()).digest()
 
 
-def normalised(text: bytes | None) -> bytes:
-    """Null is empty. White space between words doesn't count for this tokenizer, so that runs and ends don't matter."""
-    return b" ".join((text or b"").split())
+# The settings of a tokenizer file under which tokens don't cross white space, and case doesn't matter.
+SPLITTING = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
+def splits_at_white_space(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    plain = all(not (a.get("lstrip") or a.get("rstrip") or a.get("single_word")) and not any(c.isspace() for c in a["content"]) and a["content"].startswith("<|") for a in told["added_tokens"])
+    return plain and (told["normalizer"], told["pre_tokenizer"]) == SPLITTING
+
+
+def normalised(text: bytes | None, splitting: bool) -> bytes:
+    """Null is empty. Where the tokenizer splits at white space, its runs and ends don't matter."""
+    return b" ".join((text or b"").split()) if splitting else text or b""
 
 
 #: In texts of Latin-1 characters without apostrophes and special strings, a run of letters is a piece of its own.
@@ -62,12 +79,15 @@ class WordCounter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
+        self.splitting = splits_at_white_space(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, int] = {}
 
     def counts(self, batch: list[str]) -> list[int]:
+        if not self.splitting:
+            return [len(self.library.encode(text, add_special_tokens=False)) for text in batch]
         words = [parts(text) for text in batch]
         known = self.known
         if len(known) > WORD_TABLE:
@@ -88,7 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     only, whatever their length.
     """
     spark = docs.sparkSession
-    version = F.lit(tokenizer_digest(tokenizer_path))
+    version, splitting = F.lit(tokenizer_digest(tokenizer_path)), splits_at_white_space(tokenizer_path)
     cache_path = cache_path or fresh_path(spark, "token-counts")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_sha") == version)
@@ -98,16 +118,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = texts(batch, "content")
-        return pa.record_batch({"id": batch.column("id"), "n_bytes": pa.array([len(t or b"") for t in found], pa.int64()), "text_sha": pa.array([hashlib.sha256(normalised(t)).digest() for t in found], pa.binary())})
+        return pa.record_batch({"id": batch.column("id"), "n_bytes": pa.array([len(t or b"") for t in found], pa.int64()), "text_sha": pa.array([hashlib.sha256(normalised(t, splitting)).digest() for t in found], pa.binary())})
 
     def contents(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Each content of a slice once, so that copies don't travel."""
-        found = {hashlib.sha256(t).digest(): t for t in map(normalised, texts(batch, "content"))}
+        found = {hashlib.sha256(t).digest(): t for t in (normalised(t, splitting) for t in texts(batch, "content"))}
         return pa.record_batch({"text_sha": pa.array(list(found), pa.binary()), "content": pa.array([t.decode() for t in found.values()], pa.string())})
 
+    keyed = written(map_slices(narrow, "content", digests, f"id {kind}, n_bytes bigint, text_sha binary"), "digests")
+    missing = written(keyed.select("text_sha").distinct().join(cache, "text_sha", "left_anti"), "missing")
     each = map_slices(narrow.select("content"), "content", contents, "text_sha binary, content string")
-    # equal digests meet in one partition, where the first is encoded
-    misses = each.join(cache, "text_sha", "left_anti").repartition("text_sha")
+    # contents that are cached stay where they are; equal ones meet in one partition, where the first is encoded
+    misses = each.filter(among(missing, "text_sha")("text_sha")).repartition("text_sha").join(missing, "text_sha", "left_semi")
     counter = per_worker(lambda: WordCounter(tokenizer_path))
 
     def encode(batches):
@@ -122,5 +144,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     fresh = misses.select("text_sha", "content").mapInArrow(encode, "text_sha binary, n_tokens bigint")
     fresh.select("text_sha", version.alias("tokenizer_sha"), "n_tokens").write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_sha") == version).groupBy("text_sha").agg(F.max("n_tokens").alias("n_tokens"))
-    keyed = map_slices(narrow, "content", digests, f"id {kind}, n_bytes bigint, text_sha binary")
+    # as a table of its own, so that a very common text's rows can be split in the join
+    stored = written(stored, "counts")
     return keyed.join(stored, "text_sha", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
