@@ -65,29 +65,29 @@ FAMILIES = [
 ]
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
-_TAGGED = re.compile(r"spdx[^a-z0-9\n]{0,3}license[^a-z0-9\n]{0,3}identifier[ \t]*:?[ \t]*([^\n]*)", re.IGNORECASE)
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
+#: An expression stands on the tag's line, or where nothing more is on that, on the next one.
+_REST = re.compile(rb"[ \t]*:?[ \t]*(?:\r?\n[^0-9A-Za-z(\n]*)?([^\n]*)")
 #: Bytes that part words, and A-Z, as the contract's pattern has them.
 _TO_WORDS = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
 
 
 def postfix(expression: str) -> list[str] | None:
-    """The expression's identifiers and operators in postfix order; None if it is malformed."""
+    """The expression's identifiers and operators in postfix order, up to where prose begins; None if it is malformed."""
     out: list[str] = []
     waiting: list[str] = []
     operand = True  # whether an operand is due
-    for token in _TOKEN.findall(expression):
-        word = token.lower()
+    for found in _TOKEN.finditer(expression):
+        token, word = found[0], found[0].lower()
         if token == "(":
             if not operand:
-                return None
+                break
             waiting.append(token)
         elif token == ")":
-            if operand:
+            if operand or "(" not in waiting:
                 return None
-            while waiting and waiting[-1] != "(":
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
         elif word in _BINDS:
             if operand:
@@ -96,16 +96,26 @@ def postfix(expression: str) -> list[str] | None:
                 out.append(waiting.pop())
             waiting.append(word)
             operand = True
-        elif operand:
-            out.append(token)
+        elif operand and identifier(token):
+            out.append(token.rstrip(".:"))
+            operand = False
+        elif operand and waiting and waiting[-1] in _BINDS:  # "or" and the like begin the prose after the expression
+            waiting.pop()
             operand = False
-        else:  # prose after the expression
+            break
+        else:
             break
     if operand or "(" in waiting:
         return None
     return out + waiting[::-1]
 
 
+def identifier(token: str) -> bool:
+    """Whether a token is a licence's identifier rather than a word of prose: of a known family, or with a digit, a hyphen
+    or a capital."""
+    return family(token)[1] < 5 or any(c.isdigit() or c == "-" or c.isupper() for c in token)
+
+
 def family(identifier: str) -> tuple[str, int]:
     """Label and demands of a licence identifier; an unknown one stands for itself and asks the most."""
     name = identifier.lower()
@@ -148,10 +158,10 @@ class Scanner:
         places: list[int] = []
         base: set[str] = set()
         labels: set[str] = set()
-        tagged, counted, at = False, 0, 0
+        tags, counted, at = [], 0, 0
         for end, (phrase, label, is_base) in self.found.iter(line):
             if label is None:
-                tagged = True
+                tags.append(line.count(" ", 0, end) - 1)  # the tag's last word
                 continue
             labels.add(label)
             if is_base:
@@ -160,9 +170,10 @@ class Scanner:
                 places.append(counted)
                 base.add(label)
         asks, parsed = None, 0
-        if tagged:
-            for m in _TAGGED.finditer(text.decode()):
-                if got := evaluate(m[1]):
+        if tags:
+            ends = [m.end() for m in _WORD.finditer(text)]
+            for last in tags:
+                if got := evaluate(_REST.match(text, ends[last])[1].decode(errors="replace")):
                     parsed += 1
                     labels |= got[0]
                     asks = max(asks or 0, got[1])
@@ -179,8 +190,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     largest word position, from 0), base_labels, labels (distinct, sorted, comma-joined), score (0 to 1, more with more
     evidence), expression_demands (of the strictest licence expression; null without one).
 
-    A null text counts as empty: no words, empty labels, score 0, null positions. Equal labels count once. A malformed
-    expression adds nothing. Repeated rows and null ids keep their rows; an empty table gives an empty result; other
+    A null text counts as empty: no words, empty labels, score 0, null positions. Equal labels count once. An expression
+    follows a tag on its line or, if nothing more stands there, on the next, and ends where prose begins; a malformed one
+    adds nothing. Repeated rows and null ids keep their rows; an empty table gives an empty result; other
     columns of docs are dropped, so that names cannot clash. Long texts are scanned whole.
     """
     scanner = per_worker(Scanner)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_slices, texts, written
+from .common import held_out, map_slices, slices, texts, written
 from .words import mix
 
 #: Labelled documents that training takes at most; a hash of the id picks them.
@@ -198,7 +198,7 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     """Words of toxic texts, all that are significantly commoner there than in others. Near copies count once: a text counts by the least hash of its runs of five words."""
 
     def distinct(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             word, toxic, sign = [], [], []
             for text, label in zip(texts(batch, "text"), batch.column("toxic").to_pylist()):
                 own = _WORD.findall(text.decode().lower()) if text else []
