@@ -1,10 +1,11 @@
 """Line dedup with two Bloom filters.
 
 A first pass over the texts fills two filters in each partition: hashes of line keys seen in one document, and seen in a
-second one. The partitions' filters are merged in a tree of Spark groups; their size is fixed, however large the corpus, so
-the merged second filter can be broadcast. A second pass shuffles only lines whose key is in that filter: there, the keys
-themselves are compared (a false positive of a filter costs a shuffled row, never a wrong result), documents are counted
-and the occurrence that stays is chosen. Documents then meet the list of keys that they lose.
+second one. The partitions' filters are merged in a tree of Spark groups; their size follows the bytes of text up to
+FILTER_BITS, so that the merged second filter can be broadcast. A second pass shuffles only lines whose key is in that
+filter: there, the keys themselves are compared (a false positive of a filter costs a shuffled row, never a wrong result),
+documents are counted and the occurrence that stays is chosen. Only documents with such a line are shuffled to meet the list
+of keys that they lose; all others are done where they are read.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices, texts
+from .common import map_slices, slices, texts, unused, written
 
-#: Bits of a filter, in segments that are merged apart from each other.
-FILTER_BITS = 1 << 26
+#: Bits of a filter at most (64 MB), in segments that are merged apart from each other. Beyond some 60 million lines that
+#: count, more and more lines are suspects that aren't repeated, and are shuffled for nothing.
+FILTER_BITS = 1 << 29
 SEGMENTS = 32
+#: Bits of a filter for each line that the texts have room for.
+LINE_BITS = 8
 HASHES = 4
 #: Partial filters that one merge takes.
 FAN_IN = 64
@@ -59,7 +63,9 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 
 def repeats_filter(docs: DataFrame, text_col: str, shortest: int) -> np.ndarray:
     """The filter of keys that were seen in a second document, over all of docs."""
-    size, segments = FILTER_BITS // 8, SEGMENTS
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    room = LINE_BITS * (total // (shortest + 1) + 1)
+    size, segments = min(FILTER_BITS, max(1 << 16, 1 << room.bit_length())) // 8, SEGMENTS
     step = size // segments
 
     def fill(batches):
@@ -109,38 +115,52 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
     kept = [id_col, *(c for c in keep or [] if c not in (id_col, "n_lines", "n_dropped", "kept"))]
+    columns = list(dict.fromkeys([*kept, text_col]))
     repeated = spark.sparkContext.broadcast(repeats_filter(docs.filter(docs[id_col].isNotNull()), text_col, shortest))
-    id_kind = kinds[id_col]
 
-    def suspects(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def suspects(batch: pa.RecordBatch, ids: str) -> tuple[list[int], list[bytes]]:
+        """Rows and keys of the suspected lines of documents with an id."""
         rows, keys = [], []
-        for i, t in enumerate(texts(batch, text_col)):
-            own = list(set(line_keys(t, shortest)) - {b""})
+        for i, (t, d) in enumerate(zip(texts(batch, text_col), batch.column(ids).is_valid().to_pylist())):
+            own = set(line_keys(t, shortest)) - {b""} if d else ()
             rows += [i] * len(own)
             keys += own
-        some = np.flatnonzero(holds(repeated.value, _hashes(keys))) if keys else np.zeros(0, np.int64)
-        return pa.record_batch({"id": batch.column("id").take(pa.array([rows[i] for i in some], pa.int64())), "key": pa.array([keys[i].decode() for i in some], pa.string())})
-
-    held = map_slices(docs.filter(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias(text_col)), text_col, suspects, f"id {id_kind}, key string")
-    confirmed = held.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= least_docs).select("key", "last")
-    lost = held.distinct().join(confirmed, "key").filter(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_list("key").alias("lost_keys"))
-
-    def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines, dropped, left = [], [], []
-        for text, lost in zip(texts(batch, text_col), batch.column("lost_keys").to_pylist()):
+        some = np.flatnonzero(holds(repeated.value, _hashes(keys))).tolist() if keys else []
+        return [rows[i] for i in some], [keys[i] for i in some]
+
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, keys = suspects(batch, "id")
+        return pa.record_batch({"id": batch.column("id").take(pa.array(rows, pa.int64())), "key": pa.array([k.decode() for k in keys], pa.string())})
+
+    held = written(map_slices(docs.select(docs[id_col].alias("id"), docs[text_col].alias(text_col)), text_col, lines, f"id {kinds[id_col]}, key string"), "suspects")
+    counted = held.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"))
+    confirmed = written(counted.filter(F.col("n") >= least_docs).select("key", "last"), "repeats")
+    own_id, lost_keys = unused("lost_id", columns), unused("lost_keys", columns)
+    # a common key's rows can be split in this join, as both sides are tables
+    lost = held.distinct().join(confirmed, "key").filter(F.col("id") < F.col("last")).groupBy(F.col("id").alias(own_id)).agg(F.collect_list("key").alias(lost_keys))
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in kept) + "n_lines bigint, n_dropped bigint, kept string"
+
+    def told(batch: pa.RecordBatch, lost: list) -> pa.RecordBatch:
+        n, dropped, left = [], [], []
+        for text, gone in zip(texts(batch, text_col), lost):
             own = (text or b"").split(b"\n")
-            lines.append(len(own))
-            if lost:
-                gone = {k.encode() for k in lost}
-                stay = [line for line in own if line.strip(_STRIP).lower() not in gone]
-                dropped.append(len(own) - len(stay))
-                left.append(b"\n".join(stay).decode())
-            else:
-                dropped.append(0)
-                left.append(None if text is None else text.decode())
-        out = {c: batch.column(c) for c in kept}
-        return pa.record_batch(out | {"n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(left, pa.string())})
-
-    columns = list(dict.fromkeys([*kept, text_col]))
-    met = docs.select(*columns).join(lost.withColumnRenamed("id", "lost_id"), docs[id_col] == F.col("lost_id"), "left").select(*columns, "lost_keys")
-    return map_slices(met, text_col, drop, "".join(f"`{c}` {kinds[c]}, " for c in kept) + "n_lines bigint, n_dropped bigint, kept string")
+            gone = {k.encode() for k in gone or ()}
+            stay = [line for line in own if line.strip(_STRIP).lower() not in gone] if gone else own
+            n.append(len(own))
+            dropped.append(len(own) - len(stay))
+            left.append(None if text is None else b"\n".join(stay).decode())
+        return pa.record_batch({c: batch.column(c) for c in kept} | {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(left, pa.string())})
+
+    def clear(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Documents without a suspect."""
+        stay = np.ones(batch.num_rows, bool)
+        stay[suspects(batch, id_col)[0]] = False
+        batch = batch.filter(pa.array(stay))
+        return told(batch, [None] * batch.num_rows)
+
+    def unclear(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.take(pa.array(sorted(set(suspects(batch, id_col)[0])), pa.int64()))
+
+    some = map_slices(docs.select(*columns), text_col, unclear, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    met = some.join(lost, some[id_col] == lost[own_id], "left").select(*columns, lost_keys)
+    return map_slices(docs.select(*columns), text_col, clear, schema).union(map_slices(met, text_col, lambda batch: told(batch, batch.column(lost_keys).to_pylist()), schema))
