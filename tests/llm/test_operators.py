@@ -439,3 +439,148 @@ def test_ann_forest_blocks(spark, monkeypatch):
             s[q] = -np.inf
             hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
         assert len(found) == 100 and hits / 100 >= (0.9 if share == 0.7 else 0.6)
+
+
+@pytest.mark.parametrize("clusters", [250, 0])
+def test_ann_forest_finds_how_many_candidates_it_needs(spark, clusters):
+    """5,000 vectors in clusters, which need few candidates, and evenly spread ones, which need most rows."""
+    rnd = np.random.default_rng(15)
+    x = rnd.standard_normal((5000, 24))
+    if clusters:
+        x = 0.35 * x + (rnd.standard_normal((clusters, 24)) * 2)[rnd.integers(0, clusters, 5000)]
+    x = x.astype(np.float32).astype(np.float64)
+    rows = vectors_frame(spark, [(i, v.tolist(), 0, 0) for i, v in enumerate(x)])
+    found = ann_forest.search(rows, "vec_id % 50 = 0", k=10).collect()
+    hits = 0
+    for q in range(0, 5000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-s)[:10].tolist()))
+    assert len(found) == 1000 and hits / 1000 >= 0.9
+
+
+def test_spread_vectors_need_more_candidates_than_clusters(spark):
+    rnd, wanted = np.random.default_rng(20), []
+    for clusters in (250, 0):
+        x = rnd.standard_normal((5000, 24))
+        if clusters:
+            x = 0.35 * x + (rnd.standard_normal((clusters, 24)) * 2)[rnd.integers(0, clusters, 5000)]
+        entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entry long, v array<double>")
+        planes = ann_forest.Planes(rnd.standard_normal((16, 64, 25)), np.zeros((16, 64)), float((x * x).sum(axis=1).max()))
+        queries = entries.filter("entry % 50 = 0").withColumnRenamed("entry", "query")
+        wanted.append(ann_forest.enough(entries, queries, spark.sparkContext.broadcast(planes), 24, 5000, 10, 0.95, 64))
+    assert 2 * wanted[0] < wanted[1] < 16 * 5000
+
+
+def test_ann_forest_many_queries_in_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ann_forest, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann_forest, "BLOCK_QUERIES", 16)
+    rnd = np.random.default_rng(16)
+    x = rnd.standard_normal((300, 8)).astype(np.float32).astype(np.float64)
+    x[:100] = x[0] + 0.01 * x[:100]
+    found = ann_forest.search(vectors_frame(spark, [(i, v.tolist(), 0, 0) for i, v in enumerate(x.astype(np.float32).astype(float))]), "vec_id < 120", k=5, share=16.0).collect()
+    held = x.astype(np.float32).astype(np.float64)
+    for q in range(120):
+        s = held @ held[q]
+        s[q] = -np.inf
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(300), -s))[:5].tolist()
+
+
+def test_token_counts_of_a_tokenizer_that_keeps_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = list(enumerate([None, "", "two  blanks", "Upper CASE\n\n lines ", "it's <|endoftext|> é ①", "word " * 3000, "two  blanks"]))
+    found = token_counts.count_tokens(frame(spark, docs), path).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in found) == [(d, len(library.encode(t or "", add_special_tokens=False))) for d, t in docs]
+    assert token_counts.splits_at_white_space(public_tokenizers.path("word_bpe_49k.json")) and not token_counts.splits_at_white_space(path)
+
+
+def test_license_labels_against_a_plain_scan(spark):
+    rnd = random.Random(17)
+    phrases = {**license_scan.MORE, **license_scan.BASE}
+    docs = []
+    for i in range(120):
+        parts = [rnd.choice([*phrases, *WORDS, "license", "cc", "by"]) for _ in range(rnd.randrange(12))]
+        docs.append((i, rnd.choice([" ", "-", "\n", ", "]).join(p.upper() if rnd.random() < 0.3 else p for p in parts)))
+    docs += [(500, docs[3][1]), (500, docs[3][1]), (None, docs[4][1])]
+    rows = license_scan.scan_licenses(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        text = dict(docs)[r.doc_id]
+        ws = brute.LICENSE_WORD.findall(brute.ascii_lower(text))
+        labels = {label for p, label in phrases.items() if any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))}
+        assert r.labels == ",".join(sorted(labels)) and r.score == (1 - 0.3 ** min(len(labels), 8) if labels else 0)
+
+
+def test_license_tags(spark):
+    texts = ["SPDX-License-Identifier:\nMIT OR ISC", "// SPDX-License-Identifier: MIT or any later version", "/* SPDX-License-Identifier: (GPL-2.0-only AND Zlib)\n * rest */", "SPDX License Identifier", "é spdx-license-identifier: Apache-2.0\nx\nSPDX-License-Identifier: BSD-3-Clause this file is"]
+    found = {r.doc_id: (r.labels, r.expression_demands) for r in license_scan.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    assert found == {0: ("isc,mit", 1), 1: ("mit", 1), 2: ("gpl,zlib", 5), 3: ("", None), 4: ("apache,bsd", 1)}
+
+
+def test_decontamination_of_many_items_of_one_template(spark):
+    form = "so {0} has {1} blue marbles and buys {2} more, how many marbles does {0} have then"
+    names = ["Anna", "Bea", "Zoe", "Tom", "Joe", "Sue"]
+    items = [form.format(names[i % 6], i + 2, 3 * i + 5) for i in range(60)]
+    docs = [*items, form.format("Kim", 500, 501)]
+    found = leaks(spark, items, docs)
+    assert {(i, i) for i in range(60)} <= set(found) and (60, 0) in found
+    assert all(not found[i, i].reparameterised and found[i, i].coverage == 1 for i in range(60)) and found[60, 0].reparameterised
+    assert len(found) < 61 * 8 and found[60, 0].n_items == 60
+
+
+def test_decontamination_of_repeated_rows(spark):
+    item = "what is the boiling point of pure water at sea level then"
+    docs = [(1, "so " + item), (1, "so " + item), (2, item), (None, item)]
+    found = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame([(7, item), (8, item), (7, item), (None, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in found) == [(d, i, 1.0) for d in (1, 2) for i in (7, 8)]
+
+
+def test_quotation_and_abuse():
+    model = toxicity.Model(["moron"])
+    score = lambda text: toxicity.features(model, [text.encode()])[0][1:5] > 0  # noqa: E731  exact, misspelled, quoted, to someone
+    assert score("you are a moron").tolist() == [True, False, False, True]
+    assert score("a morron there").tolist() == [False, True, False, False]
+    assert score('the word "moron" in a dictionary').tolist() == [False, False, True, False]
+    assert score("he said moron to them").tolist() == [False, False, True, False]
+    assert score("nothing of the kind").tolist() == [False] * 4
+    assert toxicity.features(model, [("calm sounds " * 20000 + "you moron").encode()])[0][1] > 0
+
+
+def plain_toxic_hits(lexicon, text):
+    """Words within the allowed edits of a lexicon word, by comparing each with each."""
+    return sum(any(levenshtein(w, x) <= toxicity.edits(x) for x in lexicon) for w in toxicity._WORD.findall(text.lower()))
+
+
+def test_toxicity_against_a_plain_lexicon():
+    rnd = random.Random(18)
+    lexicon = ["horrid", "nasty", "idiot", "vile"]
+    model = toxicity.Model(lexicon)
+    texts = []
+    for _ in range(150):
+        ws = [rnd.choice([*WORDS, *lexicon]) for _ in range(rnd.randrange(1, 15))]
+        ws = [w if rnd.random() < 0.6 else w[: (k := rnd.randrange(len(w)))] + rnd.choice(["", "x", w[k]]) + w[k + 1 :] for w in ws]
+        texts.append(" ".join(w for w in ws if w))
+    counts = np.expm1(toxicity.features(model, [t.encode() for t in texts])[:, 1:4]).sum(axis=1)
+    assert counts.round().astype(int).tolist() == [plain_toxic_hits(lexicon, t) for t in texts]
+
+
+def test_language_id_against_plain_bayes(spark):
+    """Log-probabilities summed n-gram by n-gram; ties go to the first language."""
+    rnd = random.Random(19)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "xyzwé"}
+    docs = [(i, " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randrange(1, 8))) for _ in range(rnd.randrange(1, 30))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(d)
+    for text in [t for _, t, _ in docs[:40]] + ["abc " * 30000]:
+        points, _ = language_id.joined([text.encode()])
+        plain = model.priors.copy()
+        for order in language_id.ORDERS:
+            for b in language_id.buckets(points, order).tolist():
+                plain = plain + model.weights[:, b]
+        odds = np.exp(plain - plain.max())
+        assert np.allclose(language_id.scores(model, [text.encode()])[0], odds / odds.sum(), atol=1e-4)
+    tied = language_id.Model(["aa", "bb"], np.zeros((2, 3 << language_id.BITS), np.float32), np.log([0.5, 0.5]))
+    assert [tuple(r) for r in language_id.identify(spark.createDataFrame([(1, "x"), (1, "x")], EMPTY), tied).collect()] == [(1, "aa", 0.5)] * 2
