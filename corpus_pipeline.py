@@ -11,32 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, language_id, line_dedup, near_dedup, sentencepiece_codec
-from quillspark.llm.common import written
+from quillspark.llm.common import set_aside, unused, written
 from quillspark.llm.queries import PIECE_BPE, documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go, whether or not there were labels to learn from."""
     model = language_id.train(docs)
-    columns = docs.columns
     if not model.languages:
         return language_id.with_letters(docs)
-    return language_id.identify(docs, model, keep=columns).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*columns)
+    own, back = set_aside(docs, ["lang_pred", "score"])
+    found = language_id.identify(own, model, keep=own.columns).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    return back(found.select(*own.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more that five documents hold stay in the last one only; emptied documents stay, empty."""
-    columns = docs.columns
-    found = line_dedup.dedup_lines(docs, keep=[c for c in columns if c != "text"])
-    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*columns)
+    own, back = set_aside(docs, ["kept", "n_lines", "n_dropped"])
+    found = line_dedup.dedup_lines(own, keep=[c for c in own.columns if c != "text"])
+    length = F.when(F.col("n_dropped") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
+    return back(found.select(*[F.col("kept").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else c for c in own.columns]))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that are linked by a similarity of 0.8 on five-word shingles, the one with the smallest id
     stays."""
     found = near_dedup.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    name = unused("gone_id", docs.columns)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
