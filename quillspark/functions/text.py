@@ -6,9 +6,14 @@ count. Functions take and return Columns; null gives null unless a function says
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lazy import arrow_function
+
 # Fixed values.
 UNKNOWN_METADATA = ["unknown", "unknown author", "unknown title", "untitled", "n/a", "na", "none", "null", "no data", "no author", "not specified", "unspecified"]
 PHRASE_PREFIXES = ["An Order for ", "A Collect for ", "Collect for ", "A Prayer of ", "A Prayer for ", "A Litany of "]
@@ -55,10 +60,17 @@ def url_slug(c: Column, longest: int = 60, fallback: str = "capture") -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(cut, "-+$", ""), F.lit("")), F.lit(fallback))
 
 
+@arrow_function("string")
+def without_accents(c: pd.Series) -> pd.Series:
+    """Decomposed (NFKD), without what isn't ASCII then."""
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+
+
 def ascii_slug(c: Column, tail: Column | None = None) -> Column:
-    """Accents off (by a table of Latin letters), lower case, other characters as underscores; tail after an underscore."""
-    plain = F.translate(c, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
-    slug = strip(F.regexp_replace(F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", "")), "[^a-z0-9]+", "_"), "_")
+    """Accents off, lower case, other characters as underscores; tail after an underscore. Only texts that aren't ASCII
+    have to leave the JVM, which knows no decomposition."""
+    odd = F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), c)
+    slug = strip(F.regexp_replace(F.lower(F.coalesce(without_accents(odd), c)), "[^a-z0-9]+", "_"), "_")
     return slug if tail is None else F.concat(slug, F.lit("_"), tail)
 
 
@@ -189,25 +201,32 @@ def transcript_text(c: Column, kind: Column) -> Column:
 
 
 def trigram_share(c: Column) -> Column:
-    """Share of the commonest run of three words; 0 with fewer than 30 words. Runs are sorted, so that equal ones meet."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(a, x):
-        run = F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+    """Share of the commonest run of three words; 0 with fewer than 30 words. Hashes of the runs are sorted, so that equal
+    ones meet; k equal ones stand k - 1 apart. (Of different runs, two hashes of 64 bits are hardly ever equal.)"""
 
     def share(w):
-        runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " ")))
-        return F.when(F.size(w) >= 30, F.aggregate(runs, start, step, lambda a: a["best"]) / (F.size(w) - 2)).otherwise(F.lit(0.0))
+        runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))))
+
+        def commonest(s):
+            n = F.size(s)
+            # how many runs have an equal one k places on tells whether some occurs more than k times
+            repeats = F.filter(s, lambda x, i: x == F.get(s, i + 1))
+            step = lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(2)).alias("run"), F.greatest(a["best"], F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(2))).alias("best"))
+            start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(1).alias("run"), F.lit(1).alias("best"))
+            return F.aggregate(repeats, start, step, lambda a: a["best"]) / n
+
+        return F.when(F.size(w) >= 30, let(runs, commonest)).otherwise(F.lit(0.0))
 
     return let(words(F.lower(c)), share)
 
 
-def caption_ok(c: Column, seconds: Column) -> Column:
-    """Whether captions are usable: long enough, punctuated, not repetitive, and spoken at a plausible rate."""
+def caption_ok(c: Column, seconds: Column, share: Column | None = None) -> Column:
+    """Whether captions are usable: long enough, punctuated, not repetitive (share: their trigram_share, if it is known),
+    and spoken at a plausible rate."""
     n = F.size(words(c))
     rate = F.try_divide(n, seconds / 60)
-    return (F.length(strip(c)) >= 50) & (F.regexp_count(c, F.lit("[.?!,;:]")) / n >= 0.01) & (trigram_share(c) <= 0.1) & F.coalesce((seconds <= 30) | rate.between(30, 400), F.lit(True))
+    repeated = trigram_share(c) if share is None else share
+    return (F.length(strip(c)) >= 50) & (F.regexp_count(c, F.lit("[.?!,;:]")) / n >= 0.01) & (repeated <= 0.1) & F.coalesce((seconds <= 30) | rate.between(30, 400), F.lit(True))
 
 
 def audiobook_title(c: Column) -> Column:
@@ -256,10 +275,11 @@ def looks_like_author(c: Column) -> Column:
 
 
 def name_case(c: Column) -> Column:
-    """Of a name all in capitals: title case, small words lower. (An apostrophe doesn't start a word here.)"""
+    """Of a name all in capitals: title case, where a letter after anything but a letter is a capital; small words lower."""
 
     def cased(name):
-        titled = F.initcap(F.lower(name))
+        parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\p{L}+|\P{L}+)"))
+        titled = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "")
         for w in ("And", "Of", "The", "A", "An", "De", "Da", "Van", "Von"):
             titled = F.regexp_replace(titled, rf"\b{w}\b", w.lower())
         return F.when(F.regexp_like(name, F.lit(r"\p{L}")) & ~F.regexp_like(name, F.lit(r"\p{Ll}")), titled).otherwise(name)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import easter, fixed_or_easter_rule, month_day, movable_rule, precedence_rank
+from ..session import checkpointed
 
 RESOLVED = "year int, tradition string, day date, id bigint, primary_name string, precedence string, transferred boolean"
 
@@ -17,8 +18,11 @@ def dated(feasts: DataFrame, years: DataFrame) -> DataFrame:
     """Every feast in every year, with its own day; feasts that a year doesn't have are left out. years: year."""
     each = feasts.crossJoin(F.broadcast(years)).withColumn("easter", easter(F.col("year"), F.col("tradition")))
     fixed = F.when(F.col("calendar_type").isin("fixed", "commemoration") & F.regexp_like("date_rule", F.lit(r"^\d{2}-\d{2}$")), month_day(F.col("year"), F.col("date_rule")))
-    movable = F.when(F.col("calendar_type") == "movable", movable_rule(F.trim("date_rule"), F.col("year"), F.col("easter")))
-    return each.withColumn("day", F.coalesce(fixed, movable)).filter(F.year("day") == F.col("year"))
+    # each rule of each year once: its expression is large, and feasts share rules
+    rules = feasts.filter("calendar_type = 'movable'").select(F.trim("date_rule").alias("rule"), "tradition").distinct().crossJoin(F.broadcast(years))
+    moved = checkpointed(rules.select("rule", "tradition", "year", movable_rule(F.col("rule"), F.col("year"), easter(F.col("year"), F.col("tradition"))).alias("moved")))
+    met = each.withColumn("rule", F.when(F.col("calendar_type") == "movable", F.trim("date_rule"))).join(moved, ["rule", "tradition", "year"], "left")
+    return met.withColumn("day", F.coalesce(fixed, "moved")).drop("rule", "moved").filter(F.year("day") == F.col("year"))
 
 
 def in_range(feasts: DataFrame, year: Column, first: Column, last: Column) -> DataFrame:

@@ -102,7 +102,7 @@ def repair_matches(documents: DataFrame, failed: DataFrame) -> DataFrame:
     """
     met = None
     for key in ("path", "url", "content_hash", "page_id"):
-        of = documents.filter(F.col(key).isNotNull()).select("id", key).join(failed.filter(F.col(key).isNotNull()).select("job_id", key), key).select("id", "job_id")
+        of = documents.filter(F.col(key).isNotNull()).select("id", key).join(failed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("job_id").alias("job_id")), key).select("id", "job_id")
         met = of if met is None else met.union(of)
     return met.groupBy("id").agg(F.max("job_id").alias("job_id"))
 

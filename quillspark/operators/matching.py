@@ -38,8 +38,24 @@ def verdicts(cases: DataFrame, matches: DataFrame, accepted: DataFrame) -> DataF
 def feed_match(wanted: DataFrame, items: DataFrame) -> DataFrame:
     """For each wanted title (feed, wanted_id, title) the item of its feed (feed, position, title, enclosure): the first of
     equal normalised title, else the first of which one title holds the other."""
-    w, i = wanted.withColumn("want", episode_title(F.col("title"))), items.withColumn("have", episode_title(F.col("title")))
-    pairs = w.select("feed", "wanted_id", "want").join(i.select("feed", "position", "enclosure", "have"), "feed")
-    tier = F.when(F.col("want") == F.col("have"), 0).when(F.contains("want", "have") | F.contains("have", "want"), 1)
-    order = Window.partitionBy("wanted_id").orderBy("tier", "position")
-    return pairs.withColumn("tier", tier).filter("tier is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("wanted_id", "position", "enclosure", "tier")
+    w = wanted.select("feed", "wanted_id", episode_title(F.col("title")).alias("want"))
+    i = items.select("feed", "position", "enclosure", episode_title(F.col("title")).alias("have"))
+    one = i.groupBy("feed", "have").agg(F.min_by(F.struct("position", "enclosure"), "position").alias("item"))
+    same = w.join(one.withColumnRenamed("have", "want"), ["feed", "want"]).select("wanted_id", "item", F.lit(0).alias("tier"))
+    rest = w.join(same.select("wanted_id"), "wanted_id", "left_anti")
+    # one title can only hold the other if it holds the other's words inside: all but its first and last
+    token = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+    inner = lambda c: F.when(F.size(F.split(c, " ")) > 2, F.get(F.split(c, " "), F.lit(1)))
+    long_w, long_i = rest.withColumn("inner", inner(F.col("want"))), one.withColumn("inner", inner(F.col("have")))
+    holds = F.contains("have", "want") | F.contains("want", "have")
+    pairs = [
+        long_w.filter("inner IS NOT NULL").join(one.withColumn("inner", token(F.col("have"))), ["feed", "inner"]),
+        rest.withColumn("inner", token(F.col("want"))).join(long_i.filter("inner IS NOT NULL"), ["feed", "inner"]),
+        # titles of one or two words may stand inside other words
+        long_w.filter("inner IS NULL").join(one, "feed"),
+        rest.join(long_i.filter("inner IS NULL"), "feed"),
+    ]
+    part = [p.filter(holds).select("wanted_id", "item", F.lit(1).alias("tier")) for p in pairs]
+    met = same.union(part[0]).union(part[1]).union(part[2]).union(part[3])
+    best = met.groupBy("wanted_id").agg(F.min(F.struct("tier", "item.position", "item")).alias("best"))
+    return best.select("wanted_id", "best.item.position", "best.item.enclosure", "best.tier")

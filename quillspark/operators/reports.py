@@ -66,10 +66,24 @@ def zero_filled(counts: DataFrame, domain: DataFrame, key: str) -> DataFrame:
     return domain.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counted_before(rows: DataFrame, key: str, groups: list[str], at: str, span: int, name: str) -> DataFrame:
+    """key, and how many rows of its group lie at most `span` before it (itself and those at the same time among them).
+
+    A group isn't gathered: time is cut into buckets of `span`, and a row's window lies in its own bucket and the one before.
+    Each row counts for its own bucket and, as one that was before, for the next.
+    """
+    bucket = F.floor(F.col(at) / span).cast("bigint")
+    cut = rows.select(key, *groups, F.col(at).alias("_at"), bucket.alias("_bucket"))
+    both = cut.withColumn("_own", F.lit(True)).union(cut.select(key, *groups, "_at", F.col("_bucket") + 1, F.lit(False)))
+    order = Window.partitionBy(*groups, "_bucket").orderBy("_at").rangeBetween(-span, 0)
+    return both.withColumn(name, F.count("*").over(order)).filter("_own").select(key, name)
+
+
 def repeated_failures(jobs: DataFrame, window_s: int = 600) -> DataFrame:
     """For each failure, how many failures of the same kind and payload ended in the window up to it."""
-    order = Window.partitionBy("kind", "payload").orderBy(F.unix_micros(F.col("completed_at").cast("timestamp"))).rangeBetween(-window_s * 1_000_000, 0)
-    return jobs.filter("status = 'failed'").withColumn("failures", F.count("*").over(order))
+    failed = jobs.filter("status = 'failed'")
+    ended = failed.withColumn("_ended", F.unix_micros(F.col("completed_at").cast("timestamp")))
+    return failed.join(counted_before(ended, "job_id", ["kind", "payload"], "_ended", window_s * 1_000_000, "failures"), "job_id")
 
 
 def distinct_labels(documents: DataFrame, label: Column, stamp: str, n: int) -> DataFrame:

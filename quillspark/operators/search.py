@@ -78,15 +78,20 @@ def over_floor(hits: DataFrame, floor: float) -> DataFrame:
 def title_matches(documents: DataFrame, seeds: DataFrame, limit: int = 5, eligible: Column | None = None) -> DataFrame:
     """Documents whose title, or a phrase derived from it, stands in a seed: for each seed the `limit` longest matches.
 
-    documents: id, title; seeds: seed_id, seed. The seeds meet the titles through their words: a phrase can only stand in
-    a seed that holds its first word.
+    documents: id, title; seeds: seed_id (unique), seed. A phrase can only stand in a seed that holds its longest word, so
+    that words meet first, without texts; each seed then meets its candidate phrases once. A phrase without any word meets
+    all seeds.
     """
     chosen = documents.filter(F.col("title").isNotNull() & (F.length("title") >= 4) & (F.lit(True) if eligible is None else eligible))
     phrases = chosen.select("id", F.explode(match_phrases(F.col("title"))).alias("phrase"))
-    first = lambda c: F.regexp_extract(F.lower(c), r"(?U)(\w+)", 1)
-    said = seeds.select("seed_id", "seed", F.explode(F.array_distinct(F.split(F.lower("seed"), r"(?U)\W+"))).alias("word")).filter("word <> ''")
-    met = phrases.withColumn("word", first(F.col("phrase"))).join(said, "word").filter(phrase_in(F.col("phrase"), F.col("seed")))
-    best = met.groupBy("seed_id", "id").agg(F.max(F.length("phrase")).alias("matched"))
+    split = lambda c: F.split(F.lower(c), r"(?U)\W+")
+    longest = F.array_max(F.transform(split(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    phrases = phrases.withColumn("word", longest)
+    said = seeds.select("seed_id", F.explode(F.array_distinct(F.concat(split(F.col("seed")), F.array(F.lit(""))))).alias("word"))
+    near = said.join(phrases, "word").groupBy("seed_id").agg(F.collect_list(F.struct("id", "phrase")).alias("near"))
+    text = F.lower("seed")
+    found = seeds.select("seed_id", "seed").join(near, "seed_id").select("seed_id", F.explode(F.filter("near", lambda p: phrase_in(p["phrase"], text))).alias("p"))
+    best = found.groupBy("seed_id", F.col("p.id").alias("id")).agg(F.max(F.length("p.phrase")).alias("matched"))
     order = Window.partitionBy("seed_id").orderBy(F.desc("matched"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

@@ -31,12 +31,12 @@ def rendered(turns: DataFrame, key: str, order: str, heading: Column, body: Colu
 def reached(start: DataFrame, links: DataFrame, in_scope: Column, most_rounds: int | None = None) -> DataFrame:
     """Breadth first from start (url) over links (url, target): url and the round in which it was first reached. Each round
     joins the frontier with the links and keeps what wasn't seen before."""
-    seen = checkpointed(start.select("url").distinct().withColumn("round", F.lit(0)))
-    frontier, n = seen, 0
+    seen = frontier = checkpointed(start.select("url").distinct().withColumn("round", F.lit(0)))
+    n = 0
     edges = links.filter(in_scope).select("url", "target").distinct()
     while not frontier.isEmpty() and (most_rounds is None or n < most_rounds):
         n += 1
         step = frontier.join(edges, "url").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
         frontier = checkpointed(step.withColumn("round", F.lit(n)))
-        seen = checkpointed(seen.union(frontier))
+        seen = seen.union(frontier)  # of tables, each written once
     return seen

@@ -86,7 +86,8 @@ def vector_norms(spark, folder):
 @query("""WITH t AS (SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title FROM benchmark)
 SELECT seed_id, id, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY matched DESC, id) AS rank FROM (
 SELECT d.doc_id AS seed_id, t.id, CAST(length(t.title) AS INT) AS matched FROM t JOIN documents d ON contains(lower(d.text), lower(t.title))
-WHERE length(t.title) >= 4 AND regexp_matches(lower(d.text), '(^|[^\\p{L}\\p{N}_])' || regexp_escape(lower(t.title)) || '($|[^\\p{L}\\p{N}_])'))) WHERE rank <= 5""")
+WHERE length(t.title) >= 4 AND regexp_matches(lower(d.text), CASE WHEN regexp_matches(t.title, '^[\\p{L}\\p{N}_]') THEN '(^|[^\\p{L}\\p{N}_])' ELSE '[\\p{L}\\p{N}_]' END || regexp_escape(lower(t.title)) ||
+CASE WHEN regexp_matches(t.title, '[\\p{L}\\p{N}_]$') THEN '($|[^\\p{L}\\p{N}_])' ELSE '[\\p{L}\\p{N}_]' END))) WHERE rank <= 5""")
 def title_matches(spark, folder):
     titles = table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), F.lit(3)), " ").alias("title"))
     seeds = table(spark, folder, "documents").select(F.col("doc_id").alias("seed_id"), F.col("text").alias("seed"))
@@ -301,11 +302,11 @@ def text_counts(spark, folder):
 
 
 @query("""SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), lambda x: x <> '')[1], 1, 80), 'Untitled') AS title,
-coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), ''), 'capture') AS slug,
-'"' || replace(replace(substr(text, 1, 50), '\\', '\\\\'), '"', '\\"') || '"' AS yaml FROM documents""")
+coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), ''), 'capture') AS slug,
+'"' || replace(replace(text, '\\', '\\\\'), '"', '\\"') || '"' AS yaml FROM documents""")
 def titles_and_slugs(spark, folder):
     t = F.col("text")
-    return table(spark, folder, "documents").select("doc_id", text.derived_title(t, F.lit("Untitled")).alias("title"), text.url_slug(F.substring(t, 1, 80)).alias("slug"), text.yaml_scalar(F.substring(t, 1, 50)).alias("yaml"))
+    return table(spark, folder, "documents").select("doc_id", text.derived_title(t, F.lit("Untitled")).alias("title"), text.url_slug(t).alias("slug"), text.yaml_scalar(t).alias("yaml"))
 
 
 @query("""WITH w AS (SELECT doc_id, text, n_chars, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents),
@@ -314,7 +315,8 @@ SELECT w.doc_id, round(CASE WHEN len(w.w) >= 30 THEN best / (len(w.w) - 2) ELSE
 length(trim(text)) >= 50 AND length(regexp_replace(text, '[^.?!,;:]', '', 'g')) / len(w.w) >= 0.01 AND (CASE WHEN len(w.w) >= 30 THEN best / (len(w.w) - 2) ELSE 0 END) <= 0.1 AND (n_chars / 15.0 <= 30 OR len(w.w) / (n_chars / 15.0 / 60) BETWEEN 30 AND 400) AS ok FROM w LEFT JOIN g USING (doc_id)""")
 def caption_quality(spark, folder):
     t, seconds = F.col("text"), F.col("n_chars") / 15.0
-    return table(spark, folder, "documents").select("doc_id", F.round(text.trigram_share(t), 6).alias("trigram_share"), text.caption_ok(t, seconds).alias("ok"))
+    shared = table(spark, folder, "documents").withColumn("share", text.trigram_share(t))
+    return shared.select("doc_id", F.round("share", 6).alias("trigram_share"), text.caption_ok(t, seconds, F.col("share")).alias("ok"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents)
@@ -520,11 +522,11 @@ def stream_job_states(spark, folder):
 
 
 @query(f"""WITH h AS (SELECT e.vec_id AS doc_id, {_DISTANCE} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2, 1 LIMIT 50)
-SELECT h.doc_id, round(distance, 6) AS distance, d.source, d.lang, CAST(l.quality AS INT) AS quality, substr(d.text, 1, 100) AS chunk_text FROM h JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)""")
+SELECT h.doc_id, round(distance, 6) AS distance, d.source, d.lang, CAST(l.quality AS INT) AS quality, d.text AS chunk_text FROM h JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)""")
 def hydrated_hits(spark, folder):
     hits = search.nearest(table(spark, folder, "embeddings"), _question(spark, folder), 50, "vec_id").select(F.col("vec_id").alias("doc_id"), F.round("distance", 6).alias("distance"))
     meta = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 100).alias("chunk_text"))
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", F.col("text").alias("chunk_text"))
     return docs.join(hits, "doc_id").join(meta, "doc_id", "left").select("doc_id", "distance", "source", "lang", "quality", "chunk_text")
 
 
@@ -560,9 +562,8 @@ def matcher_tokens(spark, folder):
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM events""")
 def rolling_hour(spark, folder):
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    order = Window.partitionBy("event_type").orderBy(micros).rangeBetween(-3_600_000_000, 0)
-    return table(spark, folder, "events").select("event_id", F.count("*").over(order).alias("last_hour"))
+    e = table(spark, folder, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return reports.counted_before(e, "event_id", ["event_type"], "at", 3_600_000_000, "last_hour")
 
 
 @query("""WITH e AS (SELECT DATE '2025-04-20' AS e) SELECT 'anglican' AS tradition, e - 46 AS ash_wednesday, e - 7 AS palm_sunday, e - 1 AS holy_saturday, e + 6 AS easter_saturday, e + 8 AS week_after_second_sunday FROM e

@@ -1,0 +1,337 @@
+"""Registered queries of intake, corrections, imports, enrichment, telemetry and prayer-book texts, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import blocks, liturgy, text
+from ..operators import corrections, enrichment, feasts, intake, schema, telemetry
+from ..sources.adapters import embedder, hash_embedding
+from ..sources.readers import table
+from .catalog import _now, query
+from .views import JOBS_SQL, NOW, jobs
+
+
+
+def _picked(column: str, values: list[str | None]):
+    """A value by the number modulo their count."""
+    return F.get(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values)).cast("int"))
+
+
+def _picked_sql(column: str, values: list[str | None]) -> str:
+    return f"[{', '.join('NULL' if v is None else chr(39) + v + chr(39) for v in values)}][{column} % {len(values)} + 1]"
+
+
+RITES = ["rite_i", "rite_ii", "both", None]
+OFFICES = ["morning_prayer", "compline", "great_litany", "daily_devotions", "eucharist", None, "vigil"]
+KINDS = ["canticle", "prayer_body", "psalm_ref", "odd-kind_of thing", None, "suffrage"]
+
+
+def _case(column: str, pairs: dict[str, str]) -> str:
+    return "CASE " + column + " " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END"
+
+
+_UNITS_SQL = f"""u AS (SELECT p_partkey AS n, p_name, p_type, p_brand, {_picked_sql('p_partkey', RITES)} AS rite, {_picked_sql('p_partkey', OFFICES)} AS office, {_picked_sql('p_partkey', KINDS)} AS kind FROM part),
+l AS (SELECT *, {_case('rite', liturgy.RITES)} AS rite_l, {_case('office', liturgy.OFFICES)} AS office_l, coalesce({_case('kind', liturgy.KINDS)}, CASE WHEN kind IS NULL THEN 'Liturgical unit' ELSE 'Odd kind of thing' END) AS kind_l FROM u)"""
+
+
+def _units(spark, folder):
+    p = table(spark, folder, "part")
+    return p.select(F.col("p_partkey").alias("n"), "p_name", "p_type", "p_brand", _picked("p_partkey", RITES).alias("rite"), _picked("p_partkey", OFFICES).alias("office"), _picked("p_partkey", KINDS).alias("kind"))
+
+
+@query(f"""WITH {_UNITS_SQL} SELECT n, rite_l AS rite_label, office_l AS office_label, kind_l AS kind_label, CASE WHEN rite IN ('rite_i', 'rite_ii') THEN rite END AS register,
+CASE WHEN office IN ('morning_prayer', 'compline') THEN office WHEN office IN ('great_litany', 'daily_devotions') THEN 'other' END AS stored FROM l""")
+def liturgy_labels(spark, folder):
+    u = _units(spark, folder)
+    return u.select("n", liturgy.looked_up(F.col("rite"), liturgy.RITES).alias("rite_label"), liturgy.looked_up(F.col("office"), liturgy.OFFICES).alias("office_label"), liturgy.kind_label(F.col("kind")).alias("kind_label"), liturgy.register(F.col("rite")).alias("register"), liturgy.stored_office(F.col("office")).alias("stored"))
+
+
+@query(f"""WITH {_UNITS_SQL} SELECT n,
+kind_l || ' "' || p_name || '"' || coalesce(' from ' || office_l, '') || ' (Anglican' || coalesce(', ' || rite_l, '') || ').' || chr(10) || chr(10) || p_brand AS daily_office,
+'Collect for ' || p_name || ' (Anglican' || coalesce(', ' || rite_l, '') || '). Propers for ' || lower(p_type) || '.' || chr(10) || chr(10) || p_brand AS collect,
+'Psalm ' || n || CASE WHEN n % 3 = 0 THEN ' — ' || p_name WHEN n % 3 = 1 THEN ' (' || p_type || ')' ELSE '' END || ' (Book of Common Prayer Psalter).' || chr(10) || chr(10) || p_brand AS psalm,
+kind_l || ' "' || p_name || '" from the ' || p_type || CASE WHEN n % 2 = 0 THEN ' — ' || p_brand ELSE '' END || ' (Anglican).' || chr(10) || chr(10) || p_brand AS proper,
+kind_l || ' — ' || p_name || CASE WHEN n % 2 = 0 THEN ' (' || p_type || ')' ELSE '' END || ' (Book of Common Prayer).' || chr(10) || chr(10) || p_brand AS prayer FROM l""")
+def liturgy_texts(spark, folder):
+    """What is embedded for units of the five sections of a prayer book."""
+    c, n = F.col, F.col("n")
+    title = F.when(n % 3 == 0, "unused").when(n % 3 == 1, F.concat(F.lit(" "), "p_type")).otherwise(F.concat(F.lit("PSALM "), n.cast("string")))
+    return _units(spark, folder).select(
+        "n",
+        liturgy.daily_office_text(c("p_name"), c("kind"), c("office"), c("rite"), c("p_brand")).alias("daily_office"),
+        liturgy.collect_text(c("p_name"), c("rite"), F.concat(F.lower("p_type"), F.lit("_")), c("p_brand")).alias("collect"),
+        liturgy.psalm_text(n, title, F.when(n % 3 == 0, c("p_name")).otherwise(""), c("p_brand")).alias("psalm"),
+        liturgy.proper_liturgy_text(c("p_name"), c("kind"), c("p_type"), F.when(n % 2 == 0, c("p_brand")).otherwise(F.concat(F.lit(" "), F.lower("p_type"))), c("p_brand")).alias("proper"),
+        liturgy.prayer_text(c("p_name"), c("kind"), F.when(n % 2 == 0, c("p_type")).otherwise(" "), c("p_brand")).alias("prayer"),
+    )
+
+
+@query("""WITH v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS number, l_returnflag AS t FROM lineitem)
+SELECT l_orderkey, 'psalm_' || lpad(CAST(l_orderkey % 150 + 1 AS VARCHAR), 3, '0') || '_anglican' AS slug, string_agg(CASE WHEN number = 3 THEN 'Part II' || chr(10) ELSE '' END || number || ' ' || t, chr(10) ORDER BY number) AS body FROM v GROUP BY 1""")
+def psalm_bodies(spark, folder):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    v = table(spark, folder, "lineitem").select("l_orderkey", F.row_number().over(order).alias("number"), F.col("l_returnflag").alias("text"))
+    verses = F.sort_array(F.collect_list(F.struct("number", "text")))
+    psalms = v.groupBy("l_orderkey").agg(verses.alias("verses"))
+    return psalms.select("l_orderkey", liturgy.psalm_slug(F.col("l_orderkey") % 150 + 1).alias("slug"), liturgy.psalm_body(F.col("verses"), F.create_map(F.lit(3), F.lit("Part II"))).alias("body"))
+
+
+@query("""SELECT p_partkey, CASE WHEN n > 1 THEN slug || '__' || n ELSE slug END AS slug FROM (SELECT p_partkey, replace(p_name, ' ', '_') || '_anglican' AS slug, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)""")
+def numbered_slugs(spark, folder):
+    p = table(spark, folder, "part").withColumn("slug", text.ascii_slug(F.col("p_name"), F.lit("anglican")))
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey"))
+    return p.withColumn("place", place).select("p_partkey", liturgy.numbered_slugs(F.col("slug"), F.col("place")).alias("slug"))
+
+
+@query("""SELECT p_partkey, p_name || '. by ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '. narrated by ' || p_type ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '. Subjects: ' || p_type || ', x' ELSE '' END || '. (book)' AS book,
+p_name || ' — ' || CASE WHEN p_size % 2 = 0 THEN 'TV show' ELSE 'film' END || '. Released ' || (1950 + p_size) || '.' || CASE WHEN p_size % 3 = 0 THEN ' Directed by ' || p_brand || '.' ELSE '' END || CASE WHEN p_size % 5 <> 0 THEN ' Genres: ' || p_type || ', drama.' ELSE '' END ||
+CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' 1 season.' ELSE ' ' || p_size % 4 || ' seasons.' END AS video FROM part""")
+def fallback_texts(spark, folder):
+    """Texts that stand in for missing descriptions of books and films."""
+    size, c = F.col("p_size"), F.col
+    subjects = F.when(size % 3 == 0, F.concat(F.lit('[" '), "p_type", F.lit('", "", "x"]'))).otherwise("no json")
+    genres = F.when(size % 5 != 0, F.concat(F.lit('["'), "p_type", F.lit('", "drama"]')))
+    book = enrichment.book_text(F.concat(F.lit(" "), "p_name"), c("p_brand"), F.when(size % 2 == 0, c("p_type")).otherwise(" "), subjects, F.lit("book"))
+    video = enrichment.video_text(c("p_name"), size % 2 == 0, 1950 + size, F.when(size % 3 == 0, c("p_brand")), genres, size % 4)
+    return table(spark, folder, "part").select("p_partkey", book.alias("book"), video.alias("video"))
+
+
+# Intake
+
+
+@query("""SELECT event_id AS job_id, CASE WHEN event_type = 'view' THEN 'kind must not be empty' WHEN event_type = 'click' THEN 'kind must have 64 characters at most' ELSE 'payload must be a JSON object' END AS reason FROM events WHERE event_type IN ('view', 'click') OR CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0""")
+def refused_jobs(spark, folder):
+    """Requests that aren't jobs: no kind, too long a kind, or no payload."""
+    e = table(spark, folder, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(F.col("event_type") == "view", " ").when(F.col("event_type") == "click", F.lit("x" * 65)).otherwise("ingest_library")
+    asked = e.select(F.col("event_id").alias("job_id"), kind.alias("kind"), F.when(k % 10 == 0, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props")).alias("payload"))
+    return intake.submitted(asked, _now())[1].select("job_id", "reason")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT kind, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM jobs GROUP BY 1""")
+def submitted_jobs(spark, folder):
+    """Jobs that were accepted, by kind."""
+    asked = jobs(spark, folder).select("job_id", "kind", "payload")
+    events = intake.submitted(asked, _now())[0]
+    return events.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.get_json_object("payload", "$.k").cast("bigint")).alias("k"))
+
+
+@query(f"""WITH {JOBS_SQL}, a AS (SELECT DISTINCT o_orderkey AS job_id FROM orders)
+SELECT a.job_id, j.status AS previous_status, coalesce(j.status IN ('queued', 'running'), false) AS cancelled, CASE WHEN j.status IN ('queued', 'running') THEN TIMESTAMP '{NOW}' END AS completed_at FROM a LEFT JOIN jobs j USING (job_id)""")
+def cancelled_jobs(spark, folder):
+    asked = table(spark, folder, "orders").select(F.col("o_orderkey").alias("job_id"))
+    return intake.cancelled(jobs(spark, folder), asked, _now())
+
+
+@query(f"""WITH {JOBS_SQL} SELECT DISTINCT CAST(k AS VARCHAR) AS k FROM jobs WHERE kind LIKE 'ingest_%' AND status IN ('queued', 'running')""")
+def jobs_in_flight(spark, folder):
+    return intake.in_flight(jobs(spark, folder).drop("k"), intake.of_kind("ingest_"), "k")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT TIMESTAMP '{NOW}' AS at, CAST(sum(n) AS BIGINT) AS submitted, '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}' AS details FROM (SELECT kind, count(*) AS n FROM jobs GROUP BY 1)""")
+def watcher_run(spark, folder):
+    return intake.run_record(jobs(spark, folder), _now())
+
+
+@query("""SELECT c_custkey, '{"summary":"' || c_name || '"' || CASE WHEN c_acctbal >= 0 THEN ',"platform":"' || lower(c_mktsegment) || '"' ELSE '' END || ',"topics":["a","b"]}' AS payload FROM customer""")
+def summary_payloads(spark, folder):
+    c = table(spark, folder, "customer")
+    made = intake.payload(summary=F.col("c_name"), platform=F.when(F.col("c_acctbal") >= 0, F.lower("c_mktsegment")), title=F.lit(None).cast("string"), topics=F.array(F.lit("a"), F.lit("b")))
+    return c.select("c_custkey", made.alias("payload"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+n AS (SELECT doc_id, CASE WHEN len(w) > 1500 THEN ceil((len(w) - 64) / 448) WHEN len(w) > 0 THEN 1 ELSE 0 END AS c, len(w) AS t FROM w)
+SELECT doc_id AS document_id, CAST(c AS BIGINT) AS chunk_count, CAST(CASE WHEN t > 1500 THEN t + 64 * (c - 1) ELSE t END AS BIGINT) AS total_tokens, 'hash' AS model, 'embedded' AS status FROM n""")
+def embedded_documents(spark, folder):
+    """Documents that aren't stored yet, cut, embedded under a header, and counted."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
+    stored = table(spark, folder, "labels").select(F.col("doc_id").alias("document_id"))
+    pieces = intake.embedded(docs, stored, embedder(hash_embedding(32)), shown=lambda t: F.concat(F.lit("Source: "), "source", F.lit("\n\n"), t))
+    new = docs.join(stored, "document_id", "left_anti")
+    return intake.embed_results(new, pieces.filter(F.size("embedding") == 32), "hash")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT kind, 'no handler for ' || kind AS error, count(*) AS n FROM jobs WHERE kind NOT IN ('ingest_library', 'ingest_article') GROUP BY 1""")
+def jobs_without_handler(spark, folder):
+    same = lambda df: df.select("job_id")
+    lost = intake.dispatched(jobs(spark, folder), {"ingest_library": same, "ingest_article": same})[1]
+    return lost.groupBy("kind", "error").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN trim(text) WHEN length(text) > 200 THEN trim(text) WHEN length(role) > 0 AND length(text) > 100 THEN role END AS text,
+CASE WHEN turn % 3 = 0 THEN 'manual' WHEN length(text) > 200 OR length(text) > 100 THEN 'auto' END AS source FROM conversations WHERE length(trim(text)) > 0""")
+def caption_choices(spark, folder):
+    c = table(spark, folder, "conversations").filter("length(trim(text)) > 0")
+    good = lambda t: F.when(t == F.col("role"), F.length("text") > 100).otherwise(F.length("text") > 200)
+    return c.withColumn("c", intake.caption_choice(F.col("text"), F.col("role"), F.col("turn") % 3 == 0, good)).select("conv_id", "turn", "c.text", "c.source")
+
+
+@query("""SELECT conv_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (trim(text) <> '') AS merged, 'about' || chr(10) || chr(10) || string_agg(role, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1""")
+def merged_texts(spark, folder):
+    """Transcripts with the texts of pictures, and summaries of several parts."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text", "role")))
+    by = table(spark, folder, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    every = F.transform("t", lambda x: x["text"])
+    return by.select("conv_id", intake.merged_text(F.lit(" "), every).alias("merged"), intake.summary_body(F.lit("about"), F.transform("t", lambda x: x["role"]), F.lit(None).cast("array<string>")).alias("body"))
+
+
+# Corrections
+
+
+@query("""WITH t AS (SELECT d.doc_id, d.source, d.text, b.text AS c FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT doc_id, sha256(text || CASE WHEN ends_with(text, chr(10)) OR text = '' THEN '' ELSE chr(10) END || '[directive, 2024-01-30] ' || trim(c, ' ' || chr(9) || chr(10) || chr(13)) || chr(10)) AS at_end,
+sha256('## Corrections' || chr(10) || 'old' || chr(10) || '[directive, 2024-01-30] ' || trim(c, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '## ' || source || chr(10) || text) AS in_section FROM t""")
+def directives_appended(spark, folder):
+    """A correction at the end of each document, and in a section before the next one."""
+    b = table(spark, folder, "benchmark")
+    n = b.count()
+    asked = b.select(F.col("item_id").alias("k"), F.col("text").alias("c"))
+    met = table(spark, folder, "documents").withColumn("k", F.col("doc_id") % n).join(asked, "k")
+    line = corrections.directive(F.col("c"), F.lit("2024-01-30").cast("date"))
+    held = F.concat(F.lit("## Corrections\nold\n## "), "source", F.lit("\n"), "text")
+    return met.select("doc_id", F.sha2(corrections.at_end(F.col("text"), line), 256).alias("at_end"), F.sha2(corrections.in_section(held, line), 256).alias("in_section"))
+
+
+@query("""SELECT event_id AS invocation_id, event_type AS verdict, false AS ok, CASE WHEN event_type NOT IN ('used', 'ignored', 'wrong') THEN 'invalid verdict' END AS error FROM events""")
+def refused_verdicts(spark, folder):
+    e = table(spark, folder, "events").select(F.col("event_id").alias("invocation_id"), F.col("event_type").alias("verdict"))
+    return corrections.feedback(e, e)
+
+
+@query("""SELECT o_orderkey AS invocation_id, CASE o_orderstatus WHEN 'F' THEN 'used' ELSE 'wrong' END AS verdict, o_orderkey IN (SELECT event_id FROM events) AS ok, CASE WHEN o_orderkey NOT IN (SELECT event_id FROM events) THEN 'no such invocation' END AS error FROM orders""")
+def verdicts_recorded(spark, folder):
+    shown = table(spark, folder, "events").select(F.col("event_id").alias("invocation_id"))
+    told = table(spark, folder, "orders").select(F.col("o_orderkey").alias("invocation_id"), F.when(F.col("o_orderstatus") == "F", "used").otherwise("wrong").alias("verdict"))
+    return corrections.feedback(shown, told)
+
+
+# Feasts, schema and enrichment
+
+_ENTRIES_SQL = """e AS (SELECT p_partkey AS position, p_name || ' ' || p_partkey AS primary_name, 'anglican' AS tradition, p_type AS calendar_type, CASE WHEN p_partkey % 4 = 0 THEN replace(p_name, ' ', '_') || '_' || (p_partkey + 1) || '_anglican' WHEN p_partkey % 4 = 1 THEN 'nowhere' END AS ref, replace(p_name, ' ', '_') || '_' || p_partkey || '_anglican' AS slug, p_size FROM part),
+a AS (SELECT e.*, CASE WHEN p_size % 3 = 0 THEN 'new' WHEN p_size % 3 = 1 THEN 'updated' ELSE 'unchanged' END AS action FROM e)"""
+
+
+def _entries(spark, folder):
+    p = table(spark, folder, "part")
+    slug = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), (F.col("p_partkey") + 1).cast("string"), F.lit("_anglican"))
+    ref = F.when(F.col("p_partkey") % 4 == 0, slug).when(F.col("p_partkey") % 4 == 1, "nowhere")
+    fixed = [F.lit("[]").alias("alternate_names"), F.col("p_type").alias("calendar_type"), F.lit("01-01").alias("date_rule"), F.lit("holy_day").alias("precedence"), F.lit("[]").alias("theological_subjects"), F.lit("s").alias("source"), F.lit(0).alias("trial_use")]
+    return p.select(F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_name", "p_partkey").alias("primary_name"), F.lit("anglican").alias("tradition"), *fixed, ref.alias("cross_tradition_equivalent"), "p_size")
+
+
+def _imported(spark, folder):
+    e = _entries(spark, folder)
+    old = e.filter("p_size % 3 <> 0").withColumn("id", F.col("position") + 1000000).withColumn("date_rule", F.when(F.col("p_size") % 3 == 1, "02-02").otherwise(F.col("date_rule"))).withColumn("alternate_names", F.lit(None).cast("string"))
+    return feasts.imported(e, old.drop("position", "cross_tradition_equivalent", "p_size"), 1)
+
+
+@query(f"""WITH {_ENTRIES_SQL}, i AS (SELECT *, CASE WHEN action = 'new' THEN sum(CASE WHEN action = 'new' THEN 1 ELSE 0 END) OVER (ORDER BY position) ELSE position + 1000000 END AS id FROM a)
+SELECT i.position, i.action, CAST(i.id AS BIGINT) AS id, CAST(j.id AS BIGINT) AS cross_tradition_equivalent_id, i.ref IS NOT NULL AND j.id IS NULL AS unresolved FROM i LEFT JOIN i j ON j.slug = i.ref""")
+def feast_import(spark, folder):
+    """Entries against stored feasts, and references by slug within the import."""
+    return _imported(spark, folder).select("position", "action", F.col("id").cast("bigint").alias("id"), F.col("cross_tradition_equivalent_id").cast("bigint").alias("cross_tradition_equivalent_id"), "unresolved")
+
+
+@query(f"""WITH {_ENTRIES_SQL} SELECT count(*) FILTER (action = 'new') AS "new", count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'unchanged') AS "unchanged", count(*) FILTER (ref IS NOT NULL AND ref NOT IN (SELECT slug FROM a)) AS failed FROM a""")
+def feast_import_counts(spark, folder):
+    return feasts.import_counts(_imported(spark, folder))
+
+
+@query("""SELECT replace(p_name, ' ', '_') || '_anglican' AS slug, max(p_partkey) AS id FROM part GROUP BY 1""")
+def feast_slug_map(spark, folder):
+    f = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("primary_name"), F.lit("anglican").alias("tradition"))
+    return feasts.slug_map(f, "anglican")
+
+
+@query("""SELECT e.event_id AS document_id, p.p_name AS feast_name, p.p_type AS tradition FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id * 7""")
+def anchored_units(spark, folder):
+    units = table(spark, folder, "events").select(F.col("event_id").alias("document_id"), (F.col("user_id") * 7).alias("feast_id"))
+    f = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("primary_name"), F.col("p_type").alias("tradition"))
+    return feasts.anchored(units, f).select("document_id", "feast_name", "tradition")
+
+
+@query("""SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS note, 'none' AS kind, CAST(3 AS INT) AS version FROM nation""")
+def upgraded_table(spark, folder):
+    """A table that has had its first step goes through the others."""
+    n = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    had = spark.createDataFrame([(1,)], "version int").withColumn("applied_at", _now())
+    steps = {1: lambda df: df.drop("n_name"), 2: schema.with_column("note", "string"), 3: schema.with_column("kind", "string", F.lit("none"))}
+    out, applied = schema.upgraded(n, steps, had, _now())
+    return out.withColumn("version", F.lit(schema.version(applied)).cast("int"))
+
+
+@query("""SELECT doc_id, source FROM documents d WHERE lang IN ('en', 'de', 'fr') AND (NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) OR n_chars % 2 = 0)""")
+def enrichment_wanted(spark, folder):
+    done = table(spark, folder, "labels").select("doc_id", F.lit(1).alias("enriched_at")).distinct()
+    d = table(spark, folder, "documents").join(done, "doc_id", "left").withColumn("content_type", F.col("lang")).withColumn("description", F.when(F.col("n_chars") % 2 == 1, "told"))
+    return enrichment.eligible(d, ["en", "de", "fr"]).select("doc_id", "source")
+
+
+@query("""SELECT t AS content_type, (SELECT count(*) FROM documents WHERE lang = t) AS n FROM (VALUES ('en'), ('de'), ('none')) v(t)""")
+def counts_of_types(spark, folder):
+    return enrichment.counts_by_type(table(spark, folder, "documents").withColumnRenamed("lang", "content_type"), ["en", "de", "none"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN true ELSE abs(year(o_orderdate) - 1997) <= 1 END AS fits FROM orders""")
+def years_that_fit(spark, folder):
+    o = table(spark, folder, "orders")
+    date = F.when(F.col("o_orderkey") % 10 == 0, "").when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_orderdate").cast("string"))
+    return o.select("o_orderkey", enrichment.year_fits(F.lit(1997), date).alias("fits"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 0 THEN coalesce(n_name, c_mktsegment) ELSE c_mktsegment END AS author FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey > 0""")
+def repaired_metadata(spark, folder):
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"), "c_nationkey")
+    names = table(spark, folder, "nation").filter("n_regionkey > 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    plan = c.filter("id % 3 = 0").join(names, "c_nationkey", "left").select("id", F.upper("title").alias("title"), F.col("n_name").alias("author"))
+    return enrichment.repaired(c.drop("c_nationkey"), plan).select(F.col("id").alias("c_custkey"), "title", "author")
+
+
+@query("""SELECT p_partkey, substr(sha256(lower(p_name || chr(10) || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'x' END)), 1, 32) AS key FROM part""")
+def cache_keys(spark, folder):
+    p = table(spark, folder, "part")
+    return p.select("p_partkey", enrichment.cache_key(F.upper("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("X ")).alias("key"))
+
+
+# Telemetry and pages of a block editor
+
+
+@query("""SELECT user_id, '{"seed":"s","mode":"m","candidates":[' || string_agg('{"id":"' || event_id || '","source_type":"' || event_type || '","source_title":"' || event_type || '","text":"' || repeat('ab', 250) || '"}', ',' ORDER BY event_id) || '],"accumulated_directives":["d"]}' AS input FROM events GROUP BY 1""")
+def judge_inputs(spark, folder):
+    e = table(spark, folder, "events").select("user_id", "event_id", F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("source_type"), F.col("event_type").alias("source_title"), F.repeat(F.lit("ab"), F.lit(300)).alias("text"))
+    return telemetry.judge_input(e, "user_id", "event_id", F.lit("s"), F.lit("m"), F.array(F.lit("d")))
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","note":null}' AS record FROM nation""")
+def records(spark, folder):
+    return telemetry.as_records(table(spark, folder, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("note")))
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Kim' ELSE 'Default' END AS therapist, CASE item_id % 4 WHEN 0 THEN 'couples' WHEN 1 THEN 'individual' ELSE 'told' END AS session_type, 'T ' || item_id AS title, 'p' || item_id AS page_id FROM benchmark""")
+def page_fields(spark, folder):
+    """Properties of pages: a therapist in a rich text, a type in a selection, the title in pieces."""
+    i = F.col("item_id").cast("string")
+    who = F.when(F.col("item_id") % 3 == 0, '{"type":"rich_text","rich_text":[{"plain_text":" K"},{"plain_text":"im "}]}').otherwise('{"type":"rich_text","rich_text":[]}')
+    kind = F.when(F.col("item_id") % 4 == 0, '{"type":"select","select":{"name":"Couples"}}').when(F.col("item_id") % 4 == 1, '{"type":"title","title":[{"plain_text":"individual"}]}').when(F.col("item_id") % 4 == 2, '{"type":"select","select":null}').otherwise('{"type":"select","select":{"name":"other"}}')
+    page = F.concat(F.lit('{"id":"p'), i, F.lit('","last_edited_time":"t","properties":{"therapist":'), who, F.lit(',"Session Type":'), kind, F.lit(',"Name":{"type":"title","title":[{"plain_text":"T "},{"plain_text":"'), i, F.lit('"}]}}}'))
+    named = F.regexp_replace(page, '"Session Type":\\{"type":"title"', '"Session Type":{"type":"rich_text"')
+    whole = F.regexp_replace(named, '"rich_text","title":', '"rich_text","rich_text":')
+    s = table(spark, folder, "benchmark").select("item_id", whole.alias("page"))
+    told = s.select("item_id", blocks.session_fields(F.col("page"), F.lit("told"), "Default").alias("f"), blocks.page_summary(F.col("page")).alias("s"))
+    return told.select("item_id", "f.therapist", "f.session_type", "s.title", "s.page_id")
+
+
+@query("""SELECT conv_id, '# Talk' || chr(10) || chr(10) || string_agg((turn + 1) || '. **' || role || '**' || chr(10) || '  - turn ' || turn, chr(10) || chr(10) ORDER BY turn) || chr(10) AS markdown FROM conversations GROUP BY 1""")
+def block_markdown(spark, folder):
+    """Trees of blocks: a heading, and a numbered list with a list below each item."""
+    piece = lambda t, more="": F.concat(F.lit('[{"plain_text":"'), t, F.lit('"' + more + "}]"))
+    below = F.concat(F.lit(',"children":[{"type":"bulleted_list_item","bulleted_list_item":{"rich_text":'), piece(F.concat(F.lit("turn "), F.col("turn").cast("string"))), F.lit("}}]"))
+    item = F.concat(F.lit('{"type":"numbered_list_item","numbered_list_item":{"rich_text":'), piece(F.col("role"), ',"annotations":{"bold":true}'), F.lit("}"), below, F.lit("}"))
+    every = F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("item")))), lambda x: x["item"])
+    head = '[{"type":"heading_1","heading_1":{"rich_text":[{"plain_text":"Talk"}]}},'
+    tree = table(spark, folder, "conversations").groupBy("conv_id").agg(F.concat(F.lit(head), F.array_join(every, ","), F.lit("]")).alias("tree"))
+    return tree.select("conv_id", blocks.markdown("tree").alias("markdown"))

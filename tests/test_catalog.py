@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspark.plans import catalog
+from quillspark.plans import catalog, library  # noqa: F401  library adds its queries to the catalog
 
 from .parity import connection, duck_rows, spark_rows
 
