@@ -1,21 +1,25 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Documents are dealt into groups by a hash of their id. Each group is a reference block; its index is the sorted array of
-fingerprints of all runs of `least` words (seeds), each with the smallest id that holds it in the block. The index entries
-of all blocks meet in buckets of the fingerprint space, so that every document is looked up in every block without
-comparing blocks pairwise: a bucket answers each block with the seeds that an earlier document of some block holds, and
-with that document. A block then parses its documents greedily: a factor starts at the first seed with an earlier holder
-and is extended word by word while the same holder has the next seed; at its end, the seeds that straddle the boundary have
-been looked up like any other, so that the next factor may start inside the last one. Factors of `least` words or more are
-duplicate spans.
+fingerprints of all runs of `least` words (seeds), each with the smallest id that holds it in the block and the place where
+it stands there. The index entries of all blocks meet in buckets of the fingerprint space, so that every document is looked
+up in every block without comparing blocks pairwise: a bucket answers each block with the seeds that an earlier document of
+some block holds, and with that document and place. A block then parses its documents greedily: a factor starts at the first
+seed with an earlier holder and is extended word by word while that holder's text goes on with the same words, that is while
+the next seed stands one word further in the same document; at its end, the seeds that straddle the boundary have been
+looked up like any other, so that the next factor may start inside the last one. Factors of `least` words or more are
+duplicate spans. Of several sources of a seed the smallest id is taken, not the one with the longest match: for what is
+removed it makes no difference.
 
 A seed is sent once for each block that holds it, whatever the number of documents; a block and a bucket have bounded sizes.
-Two different seeds are taken for equal with a probability of 2^-64.
+Two different seeds of different blocks are taken for equal with a probability of 2^-80 (64 bits of a fingerprint and 16 of
+the words' lengths and letters); at 10^13 seeds, some 40 pairs are.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .words import windows, words
+from .words import window_checks, windows, words
 
 #: Bytes of text in a block, and seeds in a bucket, on average.
 BLOCK_BYTES = 4 << 20
 BUCKET_SEEDS = 1_000_000
 #: A seed takes this many bytes of text or more.
 SEED_BYTES = 4
+#: What travels of an index to its buckets, and back.
+_ENTRY = ["seeds", "checks", "holders", "holder", "places"]
+_ANSWER = ["places", "sources", "source", "source_places"]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -48,19 +55,57 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def block_index(ids: np.ndarray, found, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct seeds and the smallest id that holds each; the seed's place for each window, and the windows' words."""
+#: Bits of a holder's number and a place that share one integer.
+_LOW = np.uint64(32)
+
+
+@dataclass
+class Index:
+    seeds: np.ndarray  # sorted, distinct
+    checks: np.ndarray
+    holders: np.ndarray  # the smallest id that holds each seed, and the word at which it stands there
+    places: np.ndarray
+    of_window: np.ndarray  # by window, the number of its seed
+    at: np.ndarray  # by window, the word at which it starts
+
+
+def earliest(holders: np.ndarray, places: np.ndarray, groups) -> tuple[np.ndarray, np.ndarray]:
+    """By group (a function that takes minima), the smallest holder and the smallest place in it."""
+    known, number = np.unique(holders, return_inverse=True)
+    least = groups(number.astype(np.uint64) << _LOW | places.astype(np.uint64))
+    return known[(least >> _LOW).astype(np.int64)] if len(known) else known, (least & np.uint64((1 << 32) - 1)).astype(np.int64)
+
+
+def block_index(ids: np.ndarray, found, least: int) -> Index:
+    """Of several rows with one id, places count from each row's first word."""
     seeds, at = windows(found, least)
-    holders = ids[found.text_of()[at]] if len(at) else np.zeros(0, np.int64)
-    distinct, place = np.unique(seeds, return_inverse=True)
-    first = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(first, place, holders)
-    return distinct, first, place, at
+    of = found.text_of()[at] if len(at) else np.zeros(0, np.int64)
+    distinct, where, number = np.unique(seeds, return_index=True, return_inverse=True)
+
+    def minima(x):
+        out = np.full(len(distinct), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(out, number, x)
+        return out
+
+    holders, places = earliest(ids[of], at - found.firsts[of], minima)
+    return Index(distinct, window_checks(found, at[where], least), holders, places, number, at)
+
+
+def equal_runs(seeds: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal seeds stand together, and where each run of them starts."""
+    order = np.argsort(seeds, kind="stable")
+    same = seeds[order][1:] == seeds[order][:-1]
+    differ = checks[order][1:] != checks[order][:-1]
+    if (same & differ).any():
+        order = np.lexsort((checks, seeds))
+        same, differ = seeds[order][1:] == seeds[order][:-1], checks[order][1:] != checks[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], ~same | differ]))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 13) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept (the words left, joined by single blanks), spans (array of
-    struct<start, length, source>: the factors that were removed, in words of the input, and the document that has them).
+    struct<start, length, source, source_start>: the factors that were removed, in words of the input, and the document that
+    has the same words, from which of its words on).
 
     Words are `[^\\x20\\x09-\\x0D]+`. Every word that some run of `least` words covers is removed if the run also starts in
     a document with a smaller id; runs are judged on the input. A null text has no words and an empty kept text. Rows with
@@ -87,65 +132,66 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def index(table: pa.Table) -> pa.Table:
         _, _, ids, found = parsed(table)
-        distinct, first, _, _ = block_index(ids, found, least)
-        cut = np.append(bounds(distinct), len(distinct))
-        out = {"bucket": [], "block": [], "seeds": [], "holders": [], "holder": []}
+        index = block_index(ids, found, least)
+        cut = np.append(bounds(index.seeds), len(index.seeds))
+        out = {"bucket": [], "block": [], **{c: [] for c in _ENTRY}}
         block = table["block"][0].as_py()
         for b in np.flatnonzero(np.diff(cut)):
             part = slice(cut[b], cut[b + 1])
-            holders, which = np.unique(first[part], return_inverse=True)
-            for name, x in (("bucket", int(b)), ("block", block), ("seeds", _pack(_steps(distinct[part]))), ("holders", _pack(_steps(holders))), ("holder", _pack(which.astype(np.uint32)))):
+            known, number = np.unique(index.holders[part], return_inverse=True)
+            packed = _steps(index.seeds[part]), index.checks[part], _steps(known), number.astype(np.uint32), index.places[part].astype(np.uint32)
+            for name, x in zip(out, (int(b), block, *map(_pack, packed))):
                 out[name].append(x)
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("seeds", "holders", "holder")}})
+        return pa.table({c: pa.array(v, pa.binary() if c in _ENTRY else pa.int32()) for c, v in out.items()})
 
     def answer(table: pa.Table) -> pa.Table:
-        seeds = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in table["seeds"]]
-        held = [np.cumsum(_unpack(x.as_py(), np.int64))[_unpack(y.as_py(), np.uint32)] for x, y in zip(table["holders"], table["holder"])]
-        every, holder = np.concatenate(seeds), np.concatenate(held)
-        order = np.argsort(every, kind="stable")
-        every, holder = every[order], holder[order]
-        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        sizes = np.diff(np.append(starts, len(every)))
-        least_of = np.empty(len(every), np.int64)
-        least_of[order] = np.repeat(np.minimum.reduceat(holder, starts), sizes)
-        out = {"block": [], "bucket": [], "places": [], "sources": [], "source": []}
-        at = 0
-        for bucket, block, own, mine in zip(table["bucket"], table["block"], seeds, held):
-            told = least_of[at : at + len(own)]
-            at += len(own)
-            places = np.flatnonzero(told < mine)
-            if len(places):
-                sources, which = np.unique(told[places], return_inverse=True)
-                for name, x in (("block", block.as_py()), ("bucket", bucket.as_py()), ("places", _pack(_steps(places))), ("sources", _pack(_steps(sources))), ("source", _pack(which.astype(np.uint32)))):
+        read = lambda c, kind: [_unpack(x.as_py(), kind) for x in table[c]]
+        seeds, checks = [np.cumsum(x, dtype=np.uint64) for x in read("seeds", np.uint64)], np.concatenate(read("checks", np.uint16))
+        holders = np.concatenate([np.cumsum(x)[y] for x, y in zip(read("holders", np.int64), read("holder", np.uint32))])
+        sizes = [len(x) for x in seeds]
+        order, starts = equal_runs(np.concatenate(seeds), checks)
+        source, place = earliest(holders, np.concatenate(read("places", np.uint32)), lambda x: np.minimum.reduceat(x[order], starts))
+        run = np.empty(len(order), np.int64)
+        run[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        out = {"bucket": [], "block": [], **{c: [] for c in _ANSWER}}
+        ends = np.cumsum(sizes)
+        for bucket, block, lo, hi in zip(table["bucket"], table["block"], ends - sizes, ends):
+            told = np.flatnonzero(source[run[lo:hi]] < holders[lo:hi])
+            if len(told):
+                known, number = np.unique(source[run[lo:hi][told]], return_inverse=True)
+                packed = _steps(told), _steps(known), number.astype(np.uint32), place[run[lo:hi][told]].astype(np.uint32)
+                for name, x in zip(out, (bucket.as_py(), block.as_py(), *map(_pack, packed))):
                     out[name].append(x)
-        return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("places", "sources", "source")}})
+        return pa.table({c: pa.array(v, pa.binary() if c in _ANSWER else pa.int32()) for c, v in out.items()})
 
-    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())]))
+    span = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "source", "source_start")]))
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "spans": pa.array([], span)})
         rows, some, ids, found = parsed(table)
-        distinct, first, place, at = block_index(ids, found, least)
-        cut = bounds(distinct)
-        for bucket, places, sources, source in zip(answers["bucket"], answers["places"], answers["sources"], answers["source"]):
-            told = np.cumsum(_unpack(sources.as_py(), np.int64))[_unpack(source.as_py(), np.uint32)]
-            first[cut[bucket.as_py()] + np.cumsum(_unpack(places.as_py(), np.int64))] = told
-        of = found.text_of()
-        source = first[place] if len(at) else np.zeros(0, np.int64)
-        hits = np.flatnonzero(source < ids[of[at]]) if len(at) else np.zeros(0, np.int64)
-        # a factor ends where the next seed has no earlier holder, or another one, or starts in another text
+        index = block_index(ids, found, least)
+        at, cut = index.at, bounds(index.seeds)
+        for bucket, *packed in zip(answers["bucket"], *(answers[c] for c in _ANSWER)):
+            told, known, number, places = (_unpack(x.as_py(), kind) for x, kind in zip(packed, (np.int64, np.int64, np.uint32, np.uint32)))
+            mine = cut[bucket.as_py()] + np.cumsum(told)
+            index.holders[mine], index.places[mine] = np.cumsum(known)[number], places
+        of = found.text_of()[at] if len(at) else at
+        source, place = index.holders[index.of_window], index.places[index.of_window]
+        hits = np.flatnonzero(source < ids[of]) if len(at) else at
+        # a factor ends where the next seed has no earlier holder, or doesn't go on there, or starts in another text
+        goes_on = lambda x, step: x[hits[1:]] == x[hits[:-1]] + step
         new = np.ones(len(hits), bool)
-        new[1:] = (at[hits[1:]] != at[hits[:-1]] + 1) | (source[hits[1:]] != source[hits[:-1]]) | (of[at[hits[1:]]] != of[at[hits[:-1]]])
+        new[1:] = ~(goes_on(at, 1) & goes_on(of, 0) & goes_on(source, 0) & goes_on(place, 1))
         begins = np.flatnonzero(new)
         ends = np.append(begins[1:], len(hits)) - 1 if len(hits) else begins
         factors: dict[int, list] = {}
         gone = np.zeros(len(found.hashes) + 1, np.int32)
         for b, e in zip(begins, ends):
-            start, stop, text = int(at[hits[b]]), int(at[hits[e]]) + least, int(of[at[hits[b]]])
+            start, stop, text = int(at[hits[b]]), int(at[hits[e]]) + least, int(of[hits[b]])
             gone[start] += 1
             gone[stop] -= 1
-            factors.setdefault(text, []).append({"start": start - int(found.firsts[text]), "length": stop - start, "source": int(source[hits[b]])})
+            factors.setdefault(text, []).append({"start": start - int(found.firsts[text]), "length": stop - start, "source": int(source[hits[b]]), "source_start": int(place[hits[b]])})
         stays = np.cumsum(gone[:-1]) == 0
         counts, kept, removed, spans = [], [], [], []
         for i, text in enumerate(rows):
@@ -162,7 +208,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             spans.append(factors.get(i, []))
         return pa.table({"id": table["id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, span)})
 
-    entries = dealt.groupBy("block").applyInArrow(index, "bucket int, block int, seeds binary, holders binary, holder binary")
-    answers = entries.groupBy("bucket").applyInArrow(answer, "block int, bucket int, places binary, sources binary, source binary")
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parse, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, length: bigint, source: bigint>>")
+    binary = lambda names: "bucket int, block int, " + ", ".join(f"{c} binary" for c in names)
+    entries = dealt.groupBy("block").applyInArrow(index, binary(_ENTRY))
+    answers = entries.groupBy("bucket").applyInArrow(answer, binary(_ANSWER))
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parse, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, length: bigint, source: bigint, source_start: bigint>>")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept", "spans")

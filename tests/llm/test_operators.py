@@ -49,6 +49,11 @@ def test_substring_dedup(spark):
     found = substring_dedup.dedup_substrings(frame(spark, docs)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in found) == sorted(brute.substring_dedup(docs))
     assert all(s.length >= 13 and s.source < r.doc_id for r in found for s in r.spans)
+    for r in found:  # each factor's words stand in its source
+        for s in r.spans:
+            mine, theirs = (brute.WORD.findall(dict(docs)[d]) for d in (r.doc_id, s.source))
+            assert mine[s.start : s.start + s.length] == theirs[s.source_start : s.source_start + s.length]
+    assert max(s.length for r in found for s in r.spans) >= 40
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], EMPTY)).count() == 0
 
 
@@ -60,6 +65,14 @@ def test_substring_dedup_many_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in found) == sorted(brute.substring_dedup(docs))
 
 
+def test_equal_fingerprints_of_other_words():
+    seeds, checks = np.array([5, 7, 5, 5, 7], np.uint64), np.array([1, 1, 2, 1, 1], np.uint16)
+    order, starts = substring_dedup.equal_runs(seeds, checks)
+    assert [sorted(x.tolist()) for x in np.split(order, starts[1:])] == [[0, 3], [2], [1, 4]]
+    source, place = substring_dedup.earliest(np.array([9, 4, 3, 8, 4]), np.array([1, 6, 0, 2, 5]), lambda x: np.minimum.reduceat(x[order], starts))
+    assert (source.tolist(), place.tolist()) == ([8, 3, 4], [2, 0, 5])
+
+
 def test_substring_dedup_repeated_and_null_ids(spark):
     long = " ".join(WORDS)
     docs = [(5, long), (5, long), (7, long), (None, long), (None, None)]
