@@ -12,8 +12,8 @@ duplicate spans. Of several sources of a seed the smallest id is taken, not the
 removed it makes no difference.
 
 A seed is sent once for each block that holds it, whatever the number of documents; a block and a bucket have bounded sizes.
-Two different seeds of different blocks are taken for equal with a probability of 2^-80 (64 bits of a fingerprint and 16 of
-the words' lengths and letters); at 10^13 seeds, some 40 pairs are.
+Two different seeds of different blocks are taken for equal with a probability of 2^-72 (64 bits of a fingerprint and 8 of
+the words' lengths and letters); among 10^13 seeds, some 10,000 pairs are.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def answer(table: pa.Table) -> pa.Table:
         read = lambda c, kind: [_unpack(x.as_py(), kind) for x in table[c]]
-        seeds, checks = [np.cumsum(x, dtype=np.uint64) for x in read("seeds", np.uint64)], np.concatenate(read("checks", np.uint16))
+        seeds, checks = [np.cumsum(x, dtype=np.uint64) for x in read("seeds", np.uint64)], np.concatenate(read("checks", np.uint8))
         holders = np.concatenate([np.cumsum(x)[y] for x, y in zip(read("holders", np.int64), read("holder", np.uint32))])
         sizes = [len(x) for x in seeds]
         order, starts = equal_runs(np.concatenate(seeds), checks)

@@ -100,10 +100,10 @@ def windows(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_checks(found: Words, at: np.ndarray, size: int) -> np.ndarray:
-    """16 bits of each window that its hash doesn't depend on: from the lengths and the first and last bytes of its words."""
+    """8 bits of each window that its hash doesn't depend on: from the lengths and the first and last bytes of its words."""
     data = np.frombuffer(found.joined, np.uint8)
     told = (found.ends - found.starts).astype(np.uint64) * np.uint64(65536) + data[found.starts].astype(np.uint64) * np.uint64(256) + data[found.ends - 1]
     total = np.zeros(len(at), np.uint64)
     for i in range(size):
         total = total * np.uint64(0x9FB21C651E98DF25) + told[at + i]
-    return (mix(total) >> np.uint64(48)).astype(np.uint16)
+    return (mix(total) >> np.uint64(56)).astype(np.uint8)
