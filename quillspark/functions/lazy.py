@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 
-def arrow_function(kind: str) -> Callable:
+def arrow_function(kind: str, arrays: bool = False) -> Callable:
+    """A function over pandas series or, with arrays, over Arrow arrays."""
+
     def wrap(f: Callable) -> Callable:
         made: list = []
 
         @functools.wraps(f)
         def column(*columns):
             if not made:
-                made.append(F.pandas_udf(f, kind))
+                made.append((F.arrow_udf if arrays else F.pandas_udf)(f, kind))
             return made[0](*columns)
 
         return column

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +29,21 @@ def similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance))
 
 
-@arrow_function("binary")
-def pack(v: pd.Series) -> pd.Series:
-    """Little-endian 32-bit floats."""
-    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
 
-@arrow_function("array<float>")
-def unpack(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+@arrow_function("binary", arrays=True)
+def pack(v: pa.Array) -> pa.Array:
+    """Little-endian 32-bit floats: the batch's own buffer of floats, cut at the vectors' bounds."""
+    lengths = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+    floats = pa.py_buffer(np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False), "<f4"))
+    whole = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(_offsets(4 * lengths)), floats])
+    return pc.if_else(v.is_valid(), whole, pa.scalar(None, pa.binary()))
+
+
+@arrow_function("array<float>", arrays=True)
+def unpack(b: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False) // 4
+    floats = np.frombuffer(b"".join(x for x in b.to_pylist() if x), "<f4")
+    return pa.ListArray.from_arrays(pa.array(_offsets(lengths)), pa.array(floats, pa.float32()), mask=b.is_null())

@@ -47,9 +47,16 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def distances(vectors: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Each vector's cosine distance to the one row of `query` (column q); vectors without a norm are left out."""
-    asked = query.select("q", norm(F.col("q")).alias("q_norm"))
-    return vectors.crossJoin(F.broadcast(asked)).withColumn("distance", cosine_distance(F.col(vector), F.col("q"), norm(F.col(vector)), F.col("q_norm"))).filter(F.col("distance").isNotNull()).drop("q", "q_norm")
+    """Each vector's cosine distance to the one row of `query` (column q); vectors without a norm are left out. Without a
+    row, or with a null vector, there is none; several rows are an error. A column `norm` (with_norm) saves its computation."""
+    rows = query.select(F.col("q").cast("array<double>").alias("q"), norm(F.col("q")).alias("n")).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("a search has one query vector")
+    # the vector becomes part of the plan, which has no join then
+    asked, length = (rows[0]["q"], rows[0]["n"]) if rows and rows[0]["q"] is not None else (None, None)
+    q, n = F.lit(asked).cast("array<double>"), F.lit(length).cast("double")
+    own = F.col("norm") if "norm" in vectors.columns else norm(F.col(vector))
+    return vectors.withColumn("distance", cosine_distance(F.col(vector), q, own, n)).filter(F.col("distance").isNotNull())
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:

@@ -1,10 +1,13 @@
 """Operators of the engine on hand-made frames."""
 
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import calendar, chunks, contracts, dedupe, jobs, matching, search, threads
+from quillspark.functions import blocks
+from quillspark.operators import calendar, chunks, contracts, corrections, dedupe, jobs, matching, search, threads
 from quillspark.plans import catalog
 from quillspark.sources import adapters, readers, sinks
 from quillspark.streaming import events as streams
@@ -179,3 +182,62 @@ def test_stream_over_several_batches(spark, tmp_path, sf_dir):
     found = streams.available(streams.states(as_jobs(streams.stream(spark, f"file://{tmp_path}/in", events, "ts"))), f"file://{tmp_path}/out", "update", ["user_id"])
     want = jobs.current_state(as_jobs(events).withColumn("error", F.lit(None).cast("string")), "user_id", "created_at", "job_id")
     assert sorted((r.user_id, r.status, r.events) for r in found.collect()) == sorted((r.user_id, r.status, r.events) for r in want.collect())
+
+
+def test_year_calendar_transfers(spark):
+    """Known days of two years, with those that move off a Sunday or out of Easter Week."""
+    rows = [
+        (1, "Epiphany", "anglican", "fixed", "01-06", "principal_feast"),
+        (2, "Easter", "anglican", "movable", "easter+0", "principal_feast"),
+        (3, "Ascension", "anglican", "movable", "easter+39", "principal_feast"),
+        (4, "Pentecost", "anglican", "movable", "easter+49", "principal_feast"),
+        (5, "Ash Wednesday", "anglican", "movable", "easter-46", "holy_day"),
+        (6, "Saint Mark", "anglican", "fixed", "04-25", "holy_day"),
+        (7, "Annunciation", "anglican", "fixed", "03-25", "holy_day"),
+        (8, "Vincent de Paul", "anglican", "commemoration", "03-15", "lesser_commemoration"),
+        (9, "Holy Name", "anglican", "fixed", "01-01", "holy_day"),
+    ]
+    feasts = spark.createDataFrame(rows, "id bigint, primary_name string, tradition string, calendar_type string, date_rule string, precedence string")
+    found = {(str(r.day), r.primary_name): r.transferred for r in calendar.year_calendar(feasts, spark.createDataFrame([(2025,), (2026,)], "year int")).collect()}
+    still = [("2026-01-06", "Epiphany"), ("2026-04-05", "Easter"), ("2026-05-14", "Ascension"), ("2026-05-24", "Pentecost"), ("2026-02-18", "Ash Wednesday"), ("2026-03-25", "Annunciation"), ("2026-01-01", "Holy Name"), ("2025-04-20", "Easter"), ("2025-05-29", "Ascension"), ("2025-06-08", "Pentecost")]
+    assert all(found[key] is False for key in still)
+    assert found["2026-03-16", "Vincent de Paul"] and found["2025-04-28", "Saint Mark"]
+
+
+def test_corrections(spark):
+    day = F.lit("2024-01-30").cast("date")
+    asked = [("profile", "p", None, " be brief "), ("book", "b", "dune", "not so"), ("book", "none", "gone", "x"), ("judge", "j", None, "more"), ("judge", "j2", None, " "), ("else", "e", None, "x")]
+    texts = [("p", "# P\n## Corrections\nold\n## Next\nx"), ("b", None), ("j", "a line")]
+    found = {r.path: r for r in corrections.corrected(spark.createDataFrame(asked, "target_type string, path string, target_id string, correction string"), spark.createDataFrame(texts, "path string, content string"), day).collect()}
+    assert found["p"].content == "# P\n## Corrections\nold\n[directive, 2024-01-30] be brief\n## Next\nx"
+    assert found["b"].content == "# Corrections\n\n[directive, 2024-01-30] not so\n" and found["j"].content == "a line\n[directive, 2024-01-30] more\n"
+    assert [found[p].status for p in ("none", "j2", "e")] == ["error"] * 3 and found["none"].error == "book not found"
+    new = corrections.corrected(spark.createDataFrame([("profile", "q", None, "x")], "target_type string, path string, target_id string, correction string"), spark.createDataFrame([], "path string, content string"), day).first()
+    assert new.content.endswith("## How I think\n\n## Corrections\n\n[directive, 2024-01-30] x\n")
+
+
+def test_block_trees(spark):
+    rich = lambda t, **told: [{"plain_text": t, "annotations": told}]
+    tree = [
+        {"type": "heading_2", "heading_2": {"rich_text": rich("Head")}},
+        {"type": "numbered_list_item", "numbered_list_item": {"rich_text": rich("one", bold=True)}},
+        {"type": "paragraph", "paragraph": {"rich_text": rich("a`b")}},
+        {"type": "numbered_list_item", "numbered_list_item": {"rich_text": [{"plain_text": "two", "href": "u"}]}},
+        {"type": "divider", "divider": {}},
+        {"type": "numbered_list_item", "numbered_list_item": {"rich_text": rich("anew", code=True, italic=True)}, "children": [{"type": "to_do", "to_do": {"rich_text": rich("below")}}]},
+        {"type": "quote", "quote": {"rich_text": rich("said")}, "children": [{"type": "paragraph", "paragraph": {"rich_text": rich("more")}}]},
+        {"type": "child_page", "child_page": {"title": " Sub "}},
+        {"type": "image", "image": {}},
+    ]
+    want = "## Head\n\n1. **one**\n\na\\`b\n\n2. [two](u)\n\n---\n\n1. *`anew`*\n  below\n\n> said\n\n> more\n>\n## Sub\n"
+    rows = spark.createDataFrame([(json.dumps(tree),), ("no json",), (None,), ("[]",)], "t string").select(blocks.markdown("t").alias("m")).collect()
+    assert [r.m for r in rows] == [want, None, None, "\n"]
+
+
+def test_search_takes_one_query(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id int, embedding array<float>")
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<float>")
+    assert [r.id for r in search.nearest(search.with_norm(v), q, 5, "id").collect()] == [1, 3]
+    assert search.nearest(v, q.limit(0), 5, "id").count() == 0
+    with pytest.raises(ValueError):
+        search.distances(v, q.union(q))
