@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ BUCKET_SEEDS = 1_000_000
 #: A seed takes this many bytes of text or more.
 SEED_BYTES = 4
 #: What travels of an index to its buckets, and back.
+_LOW = np.uint64(32)
 _ENTRY = ["seeds", "checks", "holders", "holder", "places"]
 _ANSWER = ["places", "sources", "source", "source_places"]
 
@@ -55,10 +57,6 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-#: Bits of a holder's number and a place that share one integer.
-_LOW = np.uint64(32)
-
-
 @dataclass
 class Index:
     seeds: np.ndarray  # sorted, distinct
@@ -69,37 +67,28 @@ class Index:
     at: np.ndarray  # by window, the word at which it starts
 
 
-def earliest(holders: np.ndarray, places: np.ndarray, groups) -> tuple[np.ndarray, np.ndarray]:
-    """By group (a function that takes minima), the smallest holder and the smallest place in it."""
-    known, number = np.unique(holders, return_inverse=True)
-    least = groups(number.astype(np.uint64) << _LOW | places.astype(np.uint64))
-    return known[(least >> _LOW).astype(np.int64)] if len(known) else known, (least & np.uint64((1 << 32) - 1)).astype(np.int64)
-
-
 def block_index(ids: np.ndarray, found, least: int) -> Index:
-    """Of several rows with one id, places count from each row's first word."""
+    """The texts are in the order of their ids, so that a seed's first window is the earliest. Of several rows with one id,
+    places count from each row's first word."""
     seeds, at = windows(found, least)
-    of = found.text_of()[at] if len(at) else np.zeros(0, np.int64)
     distinct, where, number = np.unique(seeds, return_index=True, return_inverse=True)
-
-    def minima(x):
-        out = np.full(len(distinct), np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(out, number, x)
-        return out
-
-    holders, places = earliest(ids[of], at - found.firsts[of], minima)
-    return Index(distinct, window_checks(found, at[where], least), holders, places, number, at)
+    first = at[where]
+    of = found.text_of()[first] if len(first) else first
+    return Index(distinct, window_checks(found, first, least), ids[of], first - found.firsts[of], number, at)
 
 
 def equal_runs(seeds: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal seeds stand together, and where each run of them starts."""
     order = np.argsort(seeds, kind="stable")
-    same = seeds[order][1:] == seeds[order][:-1]
-    differ = checks[order][1:] != checks[order][:-1]
-    if (same & differ).any():
-        order = np.lexsort((checks, seeds))
-        same, differ = seeds[order][1:] == seeds[order][:-1], checks[order][1:] != checks[order][:-1]
-    return order, np.flatnonzero(np.concatenate([[True], ~same | differ]))
+    for sort in (None, lambda: np.lexsort((checks, seeds))):
+        order = order if sort is None else sort()
+        by = seeds[order]
+        same = by[1:] == by[:-1]
+        by = checks[order]
+        differ = by[1:] != by[:-1]
+        if not (same & differ).any():
+            break
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(seeds)), bool), ~same | differ]))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 13) -> DataFrame:
@@ -119,11 +108,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def parsed(table: pa.Table):
+        """The rows in the order of their ids, null ones last."""
+        table = table.take(pc.sort_indices(table, [("id", "ascending")])).combine_chunks()
         some = table["id"].is_valid().to_numpy(zero_copy_only=False)
-        rows = texts(table.combine_chunks().to_batches()[0], "text")
+        rows = texts(table.to_batches()[0], "text")
         ids = np.where(some, table["id"].fill_null(0).to_numpy(), 0)
         found = words([t if x else None for t, x in zip(rows, some)])
-        return rows, some, ids, found
+        return table["id"], rows, ids, found
 
     def bounds(distinct: np.ndarray) -> np.ndarray:
         """Where each bucket starts in the sorted seeds."""
@@ -145,21 +136,27 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table({c: pa.array(v, pa.binary() if c in _ENTRY else pa.int32()) for c, v in out.items()})
 
     def answer(table: pa.Table) -> pa.Table:
-        read = lambda c, kind: [_unpack(x.as_py(), kind) for x in table[c]]
-        seeds, checks = [np.cumsum(x, dtype=np.uint64) for x in read("seeds", np.uint64)], np.concatenate(read("checks", np.uint8))
-        holders = np.concatenate([np.cumsum(x)[y] for x, y in zip(read("holders", np.int64), read("holder", np.uint32))])
-        sizes = [len(x) for x in seeds]
-        order, starts = equal_runs(np.concatenate(seeds), checks)
-        source, place = earliest(holders, np.concatenate(read("places", np.uint32)), lambda x: np.minimum.reduceat(x[order], starts))
-        run = np.empty(len(order), np.int64)
-        run[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        read = lambda c, kind: (_unpack(x.as_py(), kind) for x in table[c])
+        seeds = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read("seeds", np.uint64)])
+        known = [np.cumsum(x) for x in read("holders", np.int64)]
+        every = np.unique(np.concatenate(known))
+        # a holder's number among all, and its place, in one integer
+        own = [(np.searchsorted(every, k).astype(np.uint64)[h] << _LOW) | p for k, h, p in zip(known, read("holder", np.uint32), read("places", np.uint32))]
+        ends = np.cumsum([len(x) for x in own])
+        own = np.concatenate(own)
+        order, starts = equal_runs(seeds, np.concatenate(list(read("checks", np.uint8))))
+        del seeds
+        least_of = np.repeat(np.minimum.reduceat(own[order], starts), np.diff(np.append(starts, len(order))))
+        earliest = np.empty(len(order), np.uint64)
+        earliest[order] = least_of
+        del order, least_of
         out = {"bucket": [], "block": [], **{c: [] for c in _ANSWER}}
-        ends = np.cumsum(sizes)
-        for bucket, block, lo, hi in zip(table["bucket"], table["block"], ends - sizes, ends):
-            told = np.flatnonzero(source[run[lo:hi]] < holders[lo:hi])
+        for bucket, block, lo, hi in zip(table["bucket"], table["block"], [0, *ends[:-1]], ends):
+            told = np.flatnonzero(earliest[lo:hi] >> _LOW < own[lo:hi] >> _LOW)
             if len(told):
-                known, number = np.unique(source[run[lo:hi][told]], return_inverse=True)
-                packed = _steps(told), _steps(known), number.astype(np.uint32), place[run[lo:hi][told]].astype(np.uint32)
+                found = earliest[lo:hi][told]
+                sources, number = np.unique(every[(found >> _LOW).astype(np.int64)], return_inverse=True)
+                packed = _steps(told), _steps(sources), number.astype(np.uint32), found.astype(np.uint32)
                 for name, x in zip(out, (bucket.as_py(), block.as_py(), *map(_pack, packed))):
                     out[name].append(x)
         return pa.table({c: pa.array(v, pa.binary() if c in _ANSWER else pa.int32()) for c, v in out.items()})
@@ -169,7 +166,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "spans": pa.array([], span)})
-        rows, some, ids, found = parsed(table)
+        own_ids, rows, ids, found = parsed(table)
         index = block_index(ids, found, least)
         at, cut = index.at, bounds(index.seeds)
         for bucket, *packed in zip(answers["bucket"], *(answers[c] for c in _ANSWER)):
@@ -206,7 +203,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 kept.append(b" ".join(own).decode())
                 removed.append(0)
             spans.append(factors.get(i, []))
-        return pa.table({"id": table["id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, span)})
+        return pa.table({"id": own_ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, span)})
 
     binary = lambda names: "bucket int, block int, " + ", ".join(f"{c} binary" for c in names)
     entries = dealt.groupBy("block").applyInArrow(index, binary(_ENTRY))
