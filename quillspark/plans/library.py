@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks, liturgy, text
-from ..operators import corrections, enrichment, feasts, intake, schema, telemetry
+from ..functions import blocks, liturgy, text, tree
+from ..operators import corrections, enrichment, feasts, intake, psalter, schema, telemetry
 from ..sources.adapters import embedder, hash_embedding
 from ..sources.readers import table
 from .catalog import _now, query
@@ -335,3 +335,45 @@ def block_markdown(spark, folder):
     head = '[{"type":"heading_1","heading_1":{"rich_text":[{"plain_text":"Talk"}]}},'
     tree = table(spark, folder, "conversations").groupBy("conv_id").agg(F.concat(F.lit(head), F.array_join(every, ","), F.lit("]")).alias("tree"))
     return tree.select("conv_id", blocks.markdown("tree").alias("markdown"))
+
+
+# Pages of psalters and notebooks
+
+
+@query("""WITH v AS (SELECT o_custkey % 150 + 1 AS number, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_orderkey) AS verse FROM orders)
+SELECT 'psalm_' || lpad(CAST(number AS VARCHAR), 3, '0') || '_anglican' AS source_id, 'Psalm ' || number AS title, string_agg(CASE WHEN verse = 2 THEN 'Part II' || chr(10) ELSE '' END || verse || ' Verse ' || o_orderkey || ' *' || chr(10) || o_orderstatus || ' LORD', chr(10) ORDER BY verse) AS body,
+'Psalm ' || number || ' — Beatus ' || number || ' (Book of Common Prayer Psalter).' || chr(10) || chr(10) || string_agg(CASE WHEN verse = 2 THEN 'Part II' || chr(10) ELSE '' END || verse || ' Verse ' || o_orderkey || ' *' || chr(10) || o_orderstatus || ' LORD', chr(10) ORDER BY verse) AS embed_text FROM v GROUP BY number""")
+def psalter_pages(spark, folder):
+    """Pages of ten psalms each, with starts, verses, headings and marks of days, read back."""
+    o = table(spark, folder, "orders").select((F.col("o_custkey") % 150 + 1).cast("int").alias("number"), "o_orderkey", "o_orderstatus")
+    verse = o.withColumn("verse", F.row_number().over(Window.partitionBy("number").orderBy("o_orderkey")))
+    row = F.concat(F.when(F.col("verse") == 2, '<tr><td class="vsnum"></td><td><strong>Part  II</strong></td></tr>').otherwise(""), F.lit('<tr><td class="vsnum">'), F.col("verse").cast("string"), F.lit("</td><td>Verse   "), F.col("o_orderkey").cast("string"), F.lit(' *<br/> '), "o_orderstatus", F.lit(' L<span style="font-size: small">ORD</span></td></tr>\n'))
+    rows = verse.select("number", F.struct("verse", row.alias("row")).alias("r")).groupBy("number").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["row"]), "").alias("rows"))
+    called = F.when(F.col("number") == 1, "I").otherwise(F.col("number").cast("string"))
+    head = F.concat(F.lit('<tr><td class="psday">Day &amp; evening</td></tr><tr><td><strong>Book One</strong></td></tr><tr><td class="vsnum"></td><td id="a"><span class="psnum">'), called, F.lit('&nbsp;</span><span class="pslatin"> Beatus '), F.col("number").cast("string"), F.lit("</span></td></tr>"))
+    part = rows.select(F.concat(F.lit("p"), F.floor(F.col("number") / 10).cast("string"), F.lit(".html")).alias("page"), F.struct("number", F.concat(head, "rows").alias("rows")).alias("p"))
+    pages = part.groupBy("page").agg(F.concat(F.lit("<html><body><table>"), F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["rows"]), ""), F.lit("</table></body></html>")).alias("html"))
+    return psalter.psalm_documents(psalter.psalms(pages))
+
+
+@query("""SELECT conv_id, turn, 'said ' || role AS text, CASE WHEN turn % 2 = 0 THEN 'note & ' || turn END AS note, 'Loc 1 Page ' || turn AS location, 'Page' || turn AS page, 'yellow' AS color FROM conversations WHERE conv_id % 4 <> 3""")
+def notebook_highlights(spark, folder):
+    """Cards of a notebook's pages; pages that aren't any give none."""
+    t = F.col("turn").cast("string")
+    card = F.concat(F.lit('<div class="a-row kp-notebook-row-separator"><span id="annotationHighlightHeader">'), t, F.lit('</span><input id="kp-annotation-location" value="Loc 1 Page '), t, F.lit('"><input class="x kp-annotation-type" value="yellow"><span id="highlight"> said '), "role", F.lit("</span>"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('<span id="note">note &amp; '), t, F.lit("</span>"))).otherwise('<span id="note"></span>'), F.lit("</div>"))
+    cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", card.alias("c")))), lambda x: x["c"]), "\n")
+    pages = table(spark, folder, "conversations").groupBy("conv_id").agg(cards.alias("cards"))
+    html_ = F.when(F.col("conv_id") % 4 == 3, "<p>nothing</p>").otherwise(F.concat(F.lit('<div id="kp-notebook-annotations">'), "cards", F.lit("</div>")))
+    found = pages.select("conv_id", tree.notebook_highlights(html_).alias("f")).filter("f.status = 'ok'").select("conv_id", F.explode("f.highlights").alias("h"))
+    return found.select("conv_id", F.col("h.created_at").cast("bigint").alias("turn"), "h.text", "h.note", "h.location", "h.page", "h.color")
+
+
+@query("""SELECT 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS asin, p_name AS title, p_brand AS authors, CASE WHEN p_size % 2 = 0 THEN '/c/' || p_partkey END AS cover_url FROM part WHERE p_size % 5 <> 0""")
+def notebook_books(spark, folder):
+    """Books of a notebook's first page, by id or attribute; those without a number are left out."""
+    p = table(spark, folder, "part")
+    asin = F.concat(F.lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    how = F.when(F.col("p_size") % 5 == 0, F.lit("")).when(F.col("p_size") % 5 == 1, F.concat(F.lit(' id="'), asin, F.lit('"'))).when(F.col("p_size") % 5 == 2, F.concat(F.lit(' data-asin="'), asin, F.lit('"'))).otherwise(F.concat(F.lit(' id="kp-notebook-library-each-book-'), asin, F.lit('"')))
+    div = F.concat(F.lit('<div class="kp-notebook-library-each-book"'), how, F.lit('><h2 class="kp-notebook-searchable">'), "p_name", F.lit('</h2><p class="a kp-notebook-searchable">'), "p_brand", F.lit("</p>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<img class="kp-notebook-cover-image" src="/c/'), F.col("p_partkey").cast("string"), F.lit('">'))).otherwise(""), F.lit("</div>"))
+    pages = p.groupBy((F.col("p_partkey") % 17).alias("page")).agg(F.array_join(F.collect_list(div), "").alias("html"))
+    return pages.select(F.explode(tree.notebook_books("html")).alias("b")).select("b.*")
