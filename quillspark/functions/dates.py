@@ -169,3 +169,10 @@ def psalm_book(number: Column) -> Column:
     for book, last in PSALM_BOOKS.items():
         out = F.when(number.between(1, last), book) if out is None else out.when(number <= last, book)
     return out
+
+
+def conversation_date(c: Column, today: Column) -> Column:
+    """struct<date, error>: an ISO date; null or empty is today."""
+    given = F.try_to_date(F.when(F.regexp_like(F.trim(c), F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.trim(c)), "yyyy-MM-dd")
+    none = F.coalesce(c == "", F.lit(True))
+    return F.struct(F.when(none, F.to_date(today)).otherwise(given).alias("date"), F.when(~none & given.isNull(), "no ISO date").alias("error"))

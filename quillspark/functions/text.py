@@ -21,6 +21,8 @@ MATCHER_STOPWORDS = ["a", "an", "the", "of", "for", "to", "and"]
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "referrer", "mc_cid", "mc_eid"]
 RATE_LIMIT_MARKERS = ["session limit", "rate limit", "usage limit"]
 TRANSIENT_HINTS = ["HTTP Error 5", "HTTP Error 429", "Temporary failure", "timed out", "Connection reset", "Connection refused", "Read timed out", "Network is unreachable"]
+MEDIA_HINTS = ["connection reset", "connection refused", "temporary failure", "resource temporarily unavailable", "out of memory", "cannot allocate memory", "network is unreachable", "timed out", "timeout"]
+PLATFORMS = ["claude", "chatgpt", "other"]
 AUDIO_SUFFIXES = ["m4b", "mp3", "m4a", "aac", "ogg", "flac", "wav", "opus"]
 CODEC_SUFFIX = r"(?i)[-_](AAX|LC|MP3|M4B|AAC|FLAC|WAV|OGG|OPUS)(_\d+)*(_stereo|_mono)?\s*$"
 TRAILING_BRACKET = r"\s*[\[(][^\])]*[\])]\s*$"
@@ -417,3 +419,28 @@ def directives(c: Column) -> Column:
 
 def directives_lost(before: Column, after: Column) -> Column:
     return let(directives(after), lambda kept: F.filter(directives(before), lambda x: ~F.array_contains(kept, x)))
+
+
+def transient_media_error(c: Column) -> Column:
+    return F.regexp_like(F.lower(c), F.lit("|".join(MEDIA_HINTS)))
+
+
+def platform(c: Column) -> Column:
+    """struct<platform, error>: one of the known platforms; null is the first."""
+    named = F.lower(strip(c))
+    known = named.isin(PLATFORMS)
+    return F.struct(F.when(c.isNull(), PLATFORMS[0]).when(known, named).alias("platform"), F.when(c.isNotNull() & ~known, "unknown platform").alias("error"))
+
+
+def first_date(*texts: Column) -> Column:
+    """The first yyyy-mm-dd in the first text that has one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")) for c in texts])
+
+
+def transcript_address(transcripts: Column, links: Column) -> Column:
+    """struct<url, type>: the first landed transcript (array<struct<url, href, type>>) with an address, else the first link
+    (array<struct<rel, href, type>>) that is one."""
+    one = lambda url, kind: F.struct(url.alias("url"), F.coalesce(kind, F.lit("text/plain")).alias("type"))
+    own = F.filter(F.transform(transcripts, lambda t: one(F.coalesce(F.nullif(t["url"], F.lit("")), F.nullif(t["href"], F.lit(""))), t["type"])), lambda t: t["url"].isNotNull())
+    linked = F.transform(F.filter(links, lambda x: x["rel"] == "transcript"), lambda x: one(x["href"], x["type"]))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(linked, F.lit(0)))

@@ -93,3 +93,22 @@ def distinct_labels(documents: DataFrame, label: Column, stamp: str, n: int) ->
 
 def recent(documents: DataFrame, kinds: list[str], kind: str, stamp: str, key: str, n: int) -> DataFrame:
     return documents.filter(F.col(kind).isin(kinds)).orderBy(F.desc(stamp), key).limit(n)
+
+
+def corpus_sample(samples: dict[str, DataFrame], text: str) -> DataFrame:
+    """One row with a list of texts for each sample; a sample is a bounded query of its own."""
+    out = None
+    for name, rows in samples.items():
+        one = rows.agg(F.sort_array(F.collect_list(text)).alias(name))
+        out = one if out is None else out.join(one)
+    return out
+
+
+def probe(vectors: DataFrame, liturgical: DataFrame, key: str, k: int = 100) -> DataFrame:
+    """How the hits of one kind stand among the nearest: their ranks, the distance of the tenth hit and the best of theirs.
+    vectors: key, distance; liturgical: key."""
+    near = vectors.orderBy("distance", key).limit(k)
+    ranked = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # of k rows
+    told = ranked.join(F.broadcast(near.select(key).join(liturgical.select(key).distinct(), key).withColumn("own", F.lit(True))), key, "left")
+    ranks = F.sort_array(F.collect_list(F.when(F.col("own"), F.col("rank"))))
+    return told.agg(ranks.alias("ranks"), F.max(F.when(F.col("rank") == 10, F.col("distance"))).alias("tenth"), F.min(F.when(F.col("own"), F.col("distance"))).alias("best"))

@@ -40,3 +40,8 @@ def reached(start: DataFrame, links: DataFrame, in_scope: Column, most_rounds: i
         frontier = checkpointed(step.withColumn("round", F.lit(n)))
         seen = seen.union(frontier)  # of tables, each written once
     return seen
+
+
+def long_enough(posts: DataFrame, least: int = 30) -> DataFrame:
+    """The thread's root (parent null), and replies that aren't short."""
+    return posts.filter(F.col("parent").isNull() | (F.length("text") >= least))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks, liturgy, text, tree
-from ..operators import corrections, enrichment, feasts, intake, psalter, schema, telemetry
+from ..functions import blocks, dates, liturgy, text, tree
+from ..operators import corrections, enrichment, feasts, intake, psalter, reports, schema, search, telemetry, threads
 from ..sources.adapters import embedder, hash_embedding
 from ..sources.readers import table
-from .catalog import _now, query
+from .catalog import _DISTANCE, _now, _question, query
 from .views import JOBS_SQL, NOW, jobs
 
 
@@ -377,3 +377,61 @@ def notebook_books(spark, folder):
     div = F.concat(F.lit('<div class="kp-notebook-library-each-book"'), how, F.lit('><h2 class="kp-notebook-searchable">'), "p_name", F.lit('</h2><p class="a kp-notebook-searchable">'), "p_brand", F.lit("</p>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<img class="kp-notebook-cover-image" src="/c/'), F.col("p_partkey").cast("string"), F.lit('">'))).otherwise(""), F.lit("</div>"))
     pages = p.groupBy((F.col("p_partkey") % 17).alias("page")).agg(F.array_join(F.collect_list(div), "").alias("html"))
     return pages.select(F.explode(tree.notebook_books("html")).alias("b")).select("b.*")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'compline' WHEN 1 THEN 'evening_prayer' ELSE 'morning_prayer' END AS office, CASE event_id % 4 WHEN 1 THEN 'rite_ii' ELSE 'none' END AS rite, CASE WHEN event_id % 2 = 0 THEN 'rite_ii' ELSE 'rite_i' END AS collects, event_type AS section, event_id % 3 <> 1 AS contents,
+CASE event_id % 3 WHEN 0 THEN 'Easter Season' WHEN 1 THEN 'Easter' END AS season, 'The Song' AS heading, event_type || '_prayer_' || event_id || '_anglican' AS slug, event_id % 2 = 0 AS crossing FROM events""")
+def prayer_book_pages(spark, folder):
+    """What names of pages, headings and beginnings tell."""
+    i, c = F.col("event_id"), F.col
+    page = F.when(i % 4 == 0, "x/Compline.html").when(i % 4 == 1, "x/ep2.html").otherwise("x/other.html")
+    collects = liturgy.page_collects(F.concat(F.lit("a/b/"), "event_type", F.when(i % 2 == 0, "c.html").otherwise("t.html")))
+    contents = liturgy.is_contents_page(F.when(i % 3 == 0, "a/collects.html").otherwise("a/x.html"), F.when(i % 3 == 1, "<strong>x</strong>").otherwise("short"))
+    season = liturgy.season_named(F.when(i % 3 == 0, "Easter Season: x").when(i % 3 == 1, "Easter. x").otherwise("Lenten x"))
+    cross = liturgy.is_cross_reference(F.when(i % 2 == 0, "  See also the Litany").otherwise("O God, see also"))
+    o = liturgy.page_office(page)
+    return table(spark, folder, "events").select("event_id", o["office"].alias("office"), o["rite"].alias("rite"), collects["rite"].alias("collects"), collects["section"].alias("section"), contents.alias("contents"), season.alias("season"), liturgy.numbered_heading(F.concat(F.lit(" 9  The  Song   Isaiah 12:"), i.cast("string"))).alias("heading"), liturgy.prayer_slug(c("event_type"), F.lit("prayer"), i).alias("slug"), cross.alias("crossing"))
+
+
+_UNIT_NAMES = ["The Nicene Creed", "A Song of Praise", "The Psalm or Psalms Appointed", "Psalm 95", "Opening Sentences", "Other", "A", "Lines", "Short", "Long"]
+_UNIT_BODIES = ["x", "x", "x", "x", "x", "So be it. Amen.", "x", "Officiant  Lord", "x", "y" * 300]
+_UNIT_KINDS = ["creed", "canticle", "psalm_ref", "canticle", "seasonal_sentence", "prayer", "suffrage", "versicle_response", "intro", "rubric_block"]
+
+
+@query(f"SELECT event_id, {_picked_sql('event_id', _UNIT_KINDS)} AS kind FROM events")
+def unit_kinds(spark, folder):
+    return table(spark, folder, "events").select("event_id", liturgy.unit_kind(_picked("event_id", _UNIT_NAMES), _picked("event_id", _UNIT_BODIES)).alias("kind"))
+
+
+@query(f"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' END AS platform, CASE event_id % 3 WHEN 2 THEN 'unknown platform' END AS error, CASE event_id % 4 WHEN 0 THEN DATE '2024-01-30' WHEN 1 THEN CAST(ts AS DATE) WHEN 2 THEN NULL ELSE DATE '2024-01-30' END AS day, event_id % 4 = 2 AS bad,
+CASE WHEN event_id % 2 = 0 THEN '2023-05-06' ELSE strftime(ts, '%Y-%m-%d') END AS dated, event_type = 'error' AS transient, CASE WHEN event_id % 2 = 0 THEN '/t/' || event_id ELSE '/l/' || event_id END AS transcript FROM events""")
+def intake_values(spark, folder):
+    """Platforms, dates and addresses of what comes in, with what is wrong about them."""
+    e, i = table(spark, folder, "events"), F.col("event_id")
+    p = text.platform(F.when(i % 3 == 0, " ChatGPT ").when(i % 3 == 2, "else"))
+    day = dates.conversation_date(F.when(i % 4 == 1, F.date_format("ts", " yyyy-MM-dd")).when(i % 4 == 2, "30.1.2024").when(i % 4 == 3, ""), F.lit(NOW).cast("timestamp"))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    address = lambda lead: F.concat(F.lit(lead), i.cast("string"))
+    t = text.transcript_address(F.array(F.struct(F.lit("").alias("url"), F.when(i % 2 == 0, address("/t/")).otherwise("").alias("href"), F.lit(None).cast("string").alias("type"))), F.array(F.struct(F.lit("self").alias("rel"), F.lit("/").alias("href"), F.lit("x").alias("type")), F.struct(F.lit("transcript").alias("rel"), address("/l/").alias("href"), F.lit("x").alias("type"))))
+    return e.select("event_id", p["platform"].alias("platform"), p["error"].alias("error"), day["date"].alias("day"), day["error"].isNotNull().alias("bad"), text.first_date(F.when(i % 2 == 0, "/x/2023-05-06.md").otherwise("/x/y"), iso).alias("dated"), text.transient_media_error(F.when(F.col("event_type") == "error", "X: Connection Reset by peer").otherwise("no such file")).alias("transient"), t["url"].alias("transcript"))
+
+
+@query("""SELECT conv_id, turn FROM conversations WHERE turn = 0 OR length(text) >= 200""")
+def long_replies(spark, folder):
+    c = table(spark, folder, "conversations").withColumn("parent", F.when(F.col("turn") > 0, F.col("turn") - 1))
+    return threads.long_enough(c, 200).select("conv_id", "turn")
+
+
+@query("""SELECT (SELECT string_agg(p_name, '|' ORDER BY p_name) FROM (SELECT p_name FROM part ORDER BY p_partkey LIMIT 5)) AS parts, (SELECT string_agg(n_name, '|' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 4)) AS nations""")
+def corpus_sample(spark, folder):
+    p = table(spark, folder, "part").orderBy("p_partkey").limit(5).select(F.col("p_name").alias("t"))
+    n = table(spark, folder, "nation").orderBy(F.desc("n_nationkey")).limit(4).select(F.col("n_name").alias("t"))
+    return reports.corpus_sample({"parts": p, "nations": n}, "t").select(F.array_join("parts", "|").alias("parts"), F.array_join("nations", "|").alias("nations"))
+
+
+@query(f"""WITH h AS (SELECT e.vec_id, {_DISTANCE} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2, 1 LIMIT 100), r AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM h)
+SELECT string_agg(rank, ',' ORDER BY rank) FILTER (vec_id IN (SELECT doc_id FROM labels)) AS ranks, round(max(distance) FILTER (rank = 10), 6) AS tenth, round(min(distance) FILTER (vec_id IN (SELECT doc_id FROM labels)), 6) AS best FROM r""")
+def knn_probe(spark, folder):
+    v = search.distances(table(spark, folder, "embeddings"), _question(spark, folder)).select("vec_id", "distance")
+    found = reports.probe(v, table(spark, folder, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id")
+    return found.select(F.array_join("ranks", ",").alias("ranks"), F.round("tenth", 6).alias("tenth"), F.round("best", 6).alias("best"))
