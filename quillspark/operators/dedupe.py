@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,18 +119,32 @@ def fuzzy_best(wanted: DataFrame, stored: DataFrame, threshold: float = 0.7) ->
 
 
 def greedy_distinct(rows: DataFrame, group: str, order: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """Of each group's texts in order, those whose word sets are less similar than the threshold to all kept before. A group
-    is the frames of one video, and so bounded."""
-    kinds = dict(rows.dtypes)
-
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        out = []
-        for at, t in zip(part[order], part[text]):
-            own = set((t or "").lower().split())
-            if own and not any(len(own & k) / len(own | k) >= threshold for k in kept):
-                kept.append(own)
-                out.append((at, t))
-        return pd.DataFrame({group: [part[group].iloc[0]] * len(out), order: [o for o, _ in out], text: [t for _, t in out]})
-
-    return rows.select(group, order, text).groupBy(group).applyInPandas(lambda part: keep(part.sort_values(order)), f"{group} {kinds[group]}, {order} {kinds[order]}, {text} string")
+    """Of each group's texts in order, those whose word sets are less similar than the threshold to all kept before; texts
+    without words are left out. (group, order) is unique.
+
+    Texts meet only through their rarest words, as in fuzzy_best, and similar ones make an edge from the earlier to the later.
+    Then in each round a text that no undecided one comes before is kept, and what it has an edge to is left out: no group
+    is gathered, and only edges travel.
+    """
+    own = rows.select(group, order, text).withColumn("_w", F.array_distinct(words(F.lower(text)))).filter(F.size("_w") > 0)
+    n = F.size("_w")
+    frequency = own.select(F.explode("_w").alias("_x")).groupBy("_x").agg(F.count("*").alias("_df"))
+    each = own.select(group, order, n.alias("_n"), F.explode("_w").alias("_x")).join(frequency, "_x")
+    rarest = each.withColumn("_k", F.row_number().over(Window.partitionBy(group, order).orderBy("_df", "_x"))).filter(F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(threshold) - 1e-9) + 1)
+    a, b = (rarest.select(group, "_x", F.col(order).alias(f"_{side}"), F.col("_n").alias(f"_n{side}")) for side in "ab")
+    alike = (F.col("_a") < F.col("_b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * F.lit(threshold - 1e-9))
+    near = a.join(b, [group, "_x"]).filter(alike).select(group, "_a", "_b").distinct()
+    sets = lambda side: own.select(group, F.col(order).alias(f"_{side}"), F.col("_w").alias(f"_w{side}"))
+    met = near.join(sets("a"), [group, "_a"]).join(sets("b"), [group, "_b"])
+    edges = checkpointed(met.filter(jaccard(F.col("_wa"), F.col("_wb")) >= threshold).select(group, "_a", "_b"))
+    gone = None
+    while not edges.isEmpty():
+        later = edges.select(group, F.col("_b").alias("_a")).distinct()
+        kept = edges.select(group, "_a").distinct().join(later, [group, "_a"], "left_anti")
+        out = checkpointed(edges.join(kept, [group, "_a"], "left_semi").select(group, F.col("_b").alias(order)).distinct())
+        gone = out if gone is None else gone.union(out)
+        for side in ("_a", "_b"):
+            edges = edges.join(out.withColumnRenamed(order, side), [group, side], "left_anti")
+        edges = checkpointed(edges.join(kept, [group, "_a"], "left_anti"))
+    plain = own.select(group, order, text)
+    return plain if gone is None else plain.join(gone, [group, order], "left_anti")

@@ -36,13 +36,20 @@ def sessions(events: DataFrame, stamp: str, key: str, gap: str = "30 minutes") -
 
 
 def fold_states(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The status of one key: the first terminal status stays."""
+    """The status of one key: the first terminal status stays, else the last one counts. Of each Arrow batch only its first
+    terminal row and its last row are kept, so that a key's rows never meet in memory."""
     status, n = state.get if state.exists else (None, 0)
-    rows = pd.concat(list(batches)).sort_values(["created_at", "job_id"])
-    for new in rows["status"]:
-        n += 1
-        if status not in TERMINAL:
-            status = new
+    first = last = None
+    for rows in batches:
+        n += len(rows)
+        order = rows.sort_values(["created_at", "job_id"])[["created_at", "job_id", "status"]]
+        ended = order[order["status"].isin(TERMINAL)]
+        for found in ended.head(1).itertuples(index=False, name=None):
+            first = found if first is None else min(first, found)
+        for found in order.tail(1).itertuples(index=False, name=None):
+            last = found if last is None else max(last, found)
+    if status not in TERMINAL and last is not None:
+        status = (first or last)[2]
     state.update((status, n))
     yield pd.DataFrame({"user_id": [key[0]], "status": [status], "events": [n]})
 

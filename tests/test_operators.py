@@ -241,3 +241,21 @@ def test_search_takes_one_query(spark):
     assert search.nearest(v, q.limit(0), 5, "id").count() == 0
     with pytest.raises(ValueError):
         search.distances(v, q.union(q))
+
+
+def test_greedy_distinct_against_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(3)
+    names, rows, want = [f"w{i}" for i in range(40)], [], []
+    for g in range(3):
+        base, kept = rnd.sample(names, 14), []
+        for o in range(40):
+            own = [*base[: rnd.randrange(10, 15)], *rnd.sample(names, rnd.randrange(0, 3))]
+            rnd.shuffle(own)
+            rows.append((g, o, " ".join(own).upper() if o % 3 else " ".join(own)))
+            if not any(len(set(own) & k) / len(set(own) | k) >= 0.85 for k in kept):
+                kept.append(set(own))
+                want.append((g, o))
+    found = dedupe.greedy_distinct(spark.createDataFrame(rows, "g int, o int, t string"), "g", "o", "t").collect()
+    assert sorted((r.g, r.o) for r in found) == want and 10 < len(want) < 100
