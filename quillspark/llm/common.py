@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -96,26 +95,19 @@ def held_out(doc_id, mod: int = 4, fold: int = 2):
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == fold, F.lit(True))
 
 
-def among(ids: DataFrame, column: str = "id"):
-    """A condition on a column that holds for all values in the written table `ids` and few others: a filter of one hash,
-    sized by their number. Its size is bounded; where they are too many for that, it holds for every value. A join after it
-    shuffles only rows that pass."""
+def among(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """The rows of df whose value is in the written table `ids`, and few others: a filter of one hash, sized by their number,
+    as a table of 64-bit words that is broadcast. It has FILTER_BITS / 64 rows at most; where the ids are too many for that,
+    df comes back as it is. A join after it shuffles only rows that pass. Null values don't pass."""
     n = ids.count()
     if 4 * n > FILTER_BITS:
-        return lambda c: F.lit(True)
+        return df
     bits = max(64, min(FILTER_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
-    at = F.pmod(F.xxhash64(column), F.lit(bits))
-    table = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toPandas()
-    words = np.zeros(bits // 64, np.int64)
-    words[table["word"].to_numpy(np.int64)] = table["set"].to_numpy(np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def holds(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64)
-        return pd.Series(shared.value[x >> 6] >> (x & 63) & 1 == 1)
-
-    return lambda c: holds(F.pmod(F.xxhash64(c), F.lit(bits)))
+    at, word, found = (unused(name, df.columns) for name in ("at", "word", "found"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.select(place(id_column).alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({at} & 63 AS INT))")).alias(found))
+    met = df.filter(F.col(column).isNotNull()).withColumn(at, place(column)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), word)
+    return met.filter(F.expr(f"shiftright({found}, CAST({at} & 63 AS INT)) & 1 = 1")).select(*df.columns)
 
 
 def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable]:

@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def packed(wanted: DataFrame, name: str) -> DataFrame:
         """Texts of the ids, compressed, which are smaller than their sets: id, z."""
         wanted = written(wanted.distinct(), f"{name}-ids")
-        met = plain.filter(among(wanted)("id")).join(wanted, "id")
+        met = among(plain, "id", wanted).join(wanted, "id")
 
         def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
             found, compress = texts(batch, "text"), zstandard.ZstdCompressor(level=3).compress

@@ -64,7 +64,8 @@ class ChunkCodec:
         # the library takes the mark off that it puts before a text
         at = self.starts[-len(ends) - 1 :].tolist()
         flat = self.flat.tolist()
-        self.surfaces += [" " + x for x in self.model.decode([flat[i:j] for i, j in zip(at, at[1:])], num_threads=1)]
+        # where the text that comes out is the chunk, one string serves as both
+        self.surfaces += [c if c[1:] == x else " " + x for c, x in zip(words + odd, self.model.decode([flat[i:j] for i, j in zip(at, at[1:])], num_threads=1))]
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids and decoded text of each text."""

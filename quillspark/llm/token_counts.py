@@ -129,7 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     missing = written(keyed.select("text_sha").distinct().join(cache, "text_sha", "left_anti"), "missing")
     each = map_slices(narrow.select("content"), "content", contents, "text_sha binary, content string")
     # contents that are cached stay where they are; equal ones meet in one partition, where the first is encoded
-    misses = each.filter(among(missing, "text_sha")("text_sha")).repartition("text_sha").join(missing, "text_sha", "left_semi")
+    misses = among(each, "text_sha", missing, "text_sha").repartition("text_sha").join(missing, "text_sha", "left_semi")
     counter = per_worker(lambda: WordCounter(tokenizer_path))
 
     def encode(batches):

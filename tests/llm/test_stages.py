@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import decontaminate, language_id, license_scan, line_dedup, near_dedup, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from quillspark.llm import common, decontaminate, language_id, license_scan, line_dedup, near_dedup, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
 #: Names that operators and stages use themselves.
 CLASHES = ["id", "n", "k", "v", "z", "key", "block", "part", "bucket", "score", "Lang_Pred", "kept", "N_Lines", "n_dropped", "lost_id", "lost_keys", "held_id", "gone_id", "is_query", "size", "hash", "class_id", "component", "text_sha", "content", "ids", "value", "digest"]
@@ -79,3 +79,14 @@ def test_operators_ignore_other_columns(spark, name):
     want = OPERATORS[name](plain)
     assert told(OPERATORS[name](clash), want.columns) == told(want, want.columns)
     assert OPERATORS[name](clash.limit(0)).count() == 0
+
+
+def test_rows_among_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i, f"{i}") for i in range(2000)] + [(None, 0, "x")], "at long, word long, found string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 10)], "id long")
+    some = common.among(rows, "at", ids)
+    kept = {r["at"] for r in some.collect()}
+    assert some.columns == rows.columns and set(range(0, 2000, 10)) <= kept and len(kept) < 500 and None not in kept
+    assert common.among(rows, "at", ids.limit(0)).count() == 0
+    monkeypatch.setattr(common, "FILTER_BITS", 128)
+    assert common.among(rows, "at", ids).count() == 2001
