@@ -360,20 +360,34 @@ def title_keys(spark, folder):
     return titles.select("page_id", text.episode_title(F.col("t")).alias("episode"), text.match_key(F.col("t")).alias("key"))
 
 
-@query()
+def _cut_sql(page: str) -> str:
+    """A page without hidden elements and comments, blocks' tags as line feeds, other tags out."""
+    for tag in sorted(html.HIDDEN):
+        page = f"regexp_replace({page}, '(?s)<{tag}\\b.*?</{tag}>', '', 'g')"
+    page = f"regexp_replace({page}, '(?s)<!.*?>', '', 'g')"
+    page = f"regexp_replace({page}, '</?({'|'.join(sorted(html.BLOCKS))})\\b[^>]*>', chr(10), 'g')"
+    return f"replace(regexp_replace({page}, '<[^>]*>', '', 'g'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, replace(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)), '&amp;', '&') AS title,
+array_to_string(list_filter(list_transform(string_split({_cut_sql('html')}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages""")
 def article_texts(spark, folder):
     """Reader's text and title of every page, entities resolved."""
     h = F.col("html")
     return table(spark, folder, "pages").select("page_id", html.unescape(html.raw_title(h)).alias("title"), html.article_text(h).alias("text"))
 
 
-@query()
+_LINKS_SQL = """l AS (SELECT page_id, url, unnest(range(len(h))) AS position, regexp_extract(url, '^https?://[^/?#]+') || unnest(h) AS target FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"#]*)', 1) AS h FROM pages))"""
+
+
+@query(f"WITH {_LINKS_SQL} SELECT page_id, url, CAST(position AS INT) AS position, target FROM l")
 def page_links(spark, folder):
     """Every link of every page, absolute."""
     return table(spark, folder, "pages").select("page_id", "url", F.posexplode(html.links("html", "url")).alias("position", "target"))
 
 
-@query()
+@query(f"""WITH {_LINKS_SQL} SELECT DISTINCT url, CAST(0 AS INT) AS round FROM pages UNION ALL
+SELECT DISTINCT target, 1 FROM l WHERE lower(regexp_extract(url, '//([^/:?#]+)', 1)) = lower(regexp_extract(target, '//([^/:?#]+)', 1)) AND target NOT IN (SELECT url FROM pages)""")
 def crawl_frontier(spark, folder):
     """Pages and targets by the round in which a crawl from all pages reaches them, within the pages' hosts."""
     pages = table(spark, folder, "pages")
