@@ -360,16 +360,22 @@ def title_keys(spark, folder):
     return titles.select("page_id", text.episode_title(F.col("t")).alias("episode"), text.match_key(F.col("t")).alias("key"))
 
 
+def _entities_sql(text: str) -> str:
+    for entity, sign in (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return text
+
+
 def _cut_sql(page: str) -> str:
     """A page without hidden elements and comments, blocks' tags as line feeds, other tags out."""
     for tag in sorted(html.HIDDEN):
         page = f"regexp_replace({page}, '(?s)<{tag}\\b.*?</{tag}>', '', 'g')"
     page = f"regexp_replace({page}, '(?s)<!.*?>', '', 'g')"
     page = f"regexp_replace({page}, '</?({'|'.join(sorted(html.BLOCKS))})\\b[^>]*>', chr(10), 'g')"
-    return f"replace(regexp_replace({page}, '<[^>]*>', '', 'g'), '&amp;', '&')"
+    return _entities_sql(f"regexp_replace({page}, '<[^>]*>', '', 'g')")
 
 
-@query(f"""SELECT page_id, replace(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)), '&amp;', '&') AS title,
+@query(f"""SELECT page_id, {_entities_sql("trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1))")} AS title,
 array_to_string(list_filter(list_transform(string_split({_cut_sql('html')}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages""")
 def article_texts(spark, folder):
     """Reader's text and title of every page, entities resolved."""
