@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, decontaminate, language_id, license_scan, line_dedup, near_dedup, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from . import ann_forest, decontaminate, language_id, license_scan, line_dedup, near_dedup, ranked_search, sentencepiece_codec, substring_dedup, token_counts, toxicity
 from .common import held_out
 
 WORD_BPE = "word_bpe_49k.json"
@@ -65,9 +65,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id, op11_ranked_search)}
 
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
+_TERMS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 #: DuckDB SQL for the rows of the queries that SQL can express on whole tables.
@@ -95,4 +100,14 @@ r AS (SELECT class_id AS id, class_id AS root FROM c UNION SELECT u.b, r.root FR
 m AS (SELECT id, min(root) AS component FROM r GROUP BY id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(m.component, s.doc_id) = s.doc_id AS kept, coalesce(c.class_id, s.doc_id) AS class_id
 FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.id = c.class_id""",
+    "op11_ranked_search": f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {_LOWER}), {_TERMS}) AS w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), {_TERMS})) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b WHERE item_id IS NOT NULL GROUP BY ALL),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT row_number() OVER () AS row, * FROM d)) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, s),
+r AS (SELECT item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM t JOIN q USING (term) JOIN g USING (term), s GROUP BY ALL),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20""",
 }

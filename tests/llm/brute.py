@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STRIP = " \t\n\x0b\x0c\r"
@@ -102,3 +103,28 @@ def license_base(text: str | None) -> tuple:
                 places.append(i)
                 labels.add(label)
     return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked_search(docs: list[tuple], items: list[tuple], k: int = 20) -> list[tuple]:
+    """(item, rank, id, score) of all scores of all documents."""
+    terms = lambda t: Counter(TERM.findall(ascii_lower(t or "")))
+    held = [(d, c) for d, c in ((d, terms(t)) for d, t in docs) if c]
+    n_docs, n_terms = len(held), sum(c.total() for _, c in held)
+    df = Counter(w for _, c in held for w in c)
+    asked = defaultdict(Counter)
+    for i, t in items:
+        if i is not None:
+            asked[i].update(terms(t))
+    out = []
+    for i, q in asked.items():
+        found = []
+        for d, c in held:
+            m = 75 + 25 * c.total() * n_docs // n_terms
+            score = sum(times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (10**9 * c[w] // (1000 * c[w] + 12 * m)) for w, times in q.items() if c[w])
+            if score > 0:
+                found.append((-score, d is None, d or 0))
+        out += [(i, rank, None if none else d, -s) for rank, (s, none, d) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
