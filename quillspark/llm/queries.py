@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, decontaminate, language_id, license_scan, line_dedup, near_dedup, ranked_search, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from . import ann_forest, decontaminate, language_id, license_scan, line_dedup, merkle_manifest, near_dedup, ranked_search, sentencepiece_codec, substring_dedup, token_counts, toxicity
 from .common import held_out
 
 WORD_BPE = "word_bpe_49k.json"
@@ -69,12 +69,29 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id, op11_ranked_search)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [merkle_manifest.ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in columns]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle_manifest.leaf_digest(*changed))
+    found = merkle_manifest.manifest(docs, "doc_id", "source", columns, also={"tampered": tampered})
+    root = F.lit(found.root and found.root.hex()).cast("string")
+    proofs = merkle_manifest.proofs(found).withColumn("folded_root", merkle_manifest.folded(F.coalesce("tampered", "digest"), F.col("path")))
+    told = [merkle_manifest.told(F.col("digest")).alias("leaf"), merkle_manifest.told(F.col("subroot")).alias("subroot"), root.alias("root"), merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256")]
+    return proofs.select(F.col("id").alias("doc_id"), *told, "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id, op11_ranked_search, op12_merkle_manifest)}
 
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
 _TERMS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _fields(text: str) -> str:
+    """A row's columns as they are digested."""
+    return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+
+
 #: DuckDB SQL for the rows of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
@@ -110,4 +127,19 @@ g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DO
 r AS (SELECT item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM t JOIN q USING (term) JOIN g USING (term), s GROUP BY ALL),
 k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM r WHERE score > 0)
 SELECT * FROM k WHERE rank <= 20""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT *, translate(text, {_LOWER}) AS lowered, CAST(doc_id AS VARCHAR) AS id FROM documents),
+c AS (SELECT *, list_reduce([4294967295] || list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM d),
+h AS (SELECT doc_id, source, sha256({_fields("text")}) AS leaf, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256({_fields("lowered")}) ELSE sha256({_fields("text")}) END AS now FROM c),
+l AS (SELECT row_number() OVER () AS row, doc_id, coalesce('1' || source, '0') AS grp, leaf, now, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM h WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+u AS (SELECT grp, 0 AS level, place, leaf AS digest, n FROM l UNION ALL SELECT grp, level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY grp, level, place // 16, n),
+s AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM u WHERE n = 1),
+v AS (SELECT 0 AS level, place, subroot AS digest, n FROM s UNION ALL SELECT level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), (n + 15) // 16 FROM v WHERE n > 1 GROUP BY level, place // 16, n),
+ur AS (SELECT grp, level, place // 16 AS run, list(digest ORDER BY place) AS ds FROM u WHERE n > 1 GROUP BY ALL),
+vr AS (SELECT level, place // 16 AS run, list(digest ORDER BY place) AS ds FROM v WHERE n > 1 GROUP BY ALL),
+p AS (SELECT row, grp, 0 AS level, place, n, now, '' AS proof FROM l UNION ALL
+SELECT row, grp, level + 1, place // 16, (n + 15) // 16, sha256(array_to_string(ds[1:place % 16], '') || now || array_to_string(ds[place % 16 + 2:], '')), proof || array_to_string(ds[1:place % 16], '') || array_to_string(ds[place % 16 + 2:], '') FROM p JOIN ur USING (grp, level) WHERE n > 1 AND run = place // 16),
+q AS (SELECT row, 0 AS level, s.place, s.n, now, proof FROM p JOIN s USING (grp) WHERE p.n = 1 UNION ALL
+SELECT row, level + 1, place // 16, (n + 15) // 16, sha256(array_to_string(ds[1:place % 16], '') || now || array_to_string(ds[place % 16 + 2:], '')), proof || array_to_string(ds[1:place % 16], '') || array_to_string(ds[place % 16 + 2:], '') FROM q JOIN vr USING (level) WHERE n > 1 AND run = place // 16),
+r AS (SELECT digest AS root FROM v WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, q.now AS folded_root, q.now = root AS verified FROM q JOIN l USING (row) JOIN s ON s.grp = l.grp, r WHERE q.n = 1""",
 }

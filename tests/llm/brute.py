@@ -128,3 +128,37 @@ def ranked_search(docs: list[tuple], items: list[tuple], k: int = 20) -> list[tu
                 found.append((-score, d is None, d or 0))
         out += [(i, rank, None if none else d, -s) for rank, (s, none, d) in enumerate(sorted(found)[:k], 1)]
     return sorted(out)
+
+
+def leaf(*values) -> str:
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def tree(digests: list[str], arity: int) -> tuple[str, list[list[str]]]:
+    """The root, and for each leaf the siblings on its way up, a pair of texts for each level."""
+    paths = [[] for _ in digests]
+    held = [[i] for i in range(len(digests))]
+    while len(digests) > 1:
+        runs = [digests[i : i + arity] for i in range(0, len(digests), arity)]
+        for at, own in enumerate(held):
+            run, slot = runs[at // arity], at % arity
+            for i in own:
+                paths[i].append(("".join(run[:slot]), "".join(run[slot + 1 :])))
+        held = [sum(held[i : i + arity], []) for i in range(0, len(held), arity)]
+        digests = [sha("".join(run)) for run in runs]
+    return digests[0], paths
+
+
+def merkle(rows: list[tuple], arity: int = 16) -> list[tuple]:
+    """rows: id, group, leaf. (id, leaf, subroot, root, path) of each."""
+    groups = defaultdict(list)
+    for d, g, x in rows:
+        groups[g].append((d is not None, d or 0, x))
+    subroots, below = [], []
+    for g in sorted(groups, key=lambda g: (g is not None, (g or "").encode())):
+        own = sorted(groups[g])
+        top, paths = tree([x for _, _, x in own], arity)
+        subroots.append(top)
+        below.append([(d if some else None, x, top, path) for (some, d, x), path in zip(own, paths)])
+    root, over = tree(subroots, arity) if subroots else (None, [])
+    return [(d, x, top, root, [*path, *above]) for own, above in zip(below, over) for d, x, top, path in own]
