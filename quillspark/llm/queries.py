@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, decontaminate, language_id, license_scan, line_dedup, merkle_manifest, near_dedup, ranked_search, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from . import ann_forest, decontaminate, language_id, license_scan, line_dedup, merkle_manifest, near_dedup, personal_data, ranked_search, sentencepiece_codec, substring_dedup, token_counts, toxicity
 from .common import held_out
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,7 +80,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("id").alias("doc_id"), *told, "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id, op11_ranked_search, op12_merkle_manifest)}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = map(of, personal_data.KINDS)
+    return found.select("doc_id", *counts, F.sha2(personal_data.joined(base), 256).alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_token_counts, op3_substring_dedup, op4_sentencepiece, op5_license_scan, op6_line_dedup, op7_toxicity, op8_decontamination, op9_near_dedup, op10_language_id, op11_ranked_search, op12_merkle_manifest, op13_personal_data)}
 
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
 _TERMS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"

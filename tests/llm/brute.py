@@ -162,3 +162,27 @@ def merkle(rows: list[tuple], arity: int = 16) -> list[tuple]:
         below.append([(d if some else None, x, top, path) for (some, d, x), path in zip(own, paths)])
     root, over = tree(subroots, arity) if subroots else (None, [])
     return [(d, x, top, root, [*path, *above]) for own, above in zip(below, over) for d, x, top, path in own]
+
+
+PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def personal(text: str | None) -> list[tuple]:
+    """(kind, start, end) of the base patterns, by kind and place."""
+    out = []
+    for kind, pattern in PERSONAL.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}
+            if good[kind]:
+                out.append((kind, *m.span()))
+    return out
