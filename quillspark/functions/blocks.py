@@ -14,6 +14,8 @@ from .text import let, optional, strip
 RICH = "array<struct<plain_text: string>>"
 PROPERTIES = f"struct<properties: map<string, struct<type: string, rich_text: {RICH}, title: {RICH}, select: struct<name: string>>>>"
 HEADINGS = {"heading_1": "#", "heading_2": "##", "heading_3": "###"}
+#: Lists of blocks in each other; a tree with more isn't read.
+MOST_DEEP = 200
 #: Marks around text, innermost first.
 MARKS = [("code", "`"), ("bold", "**"), ("italic", "*"), ("strikethrough", "~~")]
 
@@ -58,14 +60,17 @@ def session_fields(page: Column, told_type: Column, therapist: str) -> Column:
 
 @arrow_function("string")
 def markdown(blocks: pd.Series) -> pd.Series:
-    """A tree of blocks, as a JSON array, as Markdown; null or no JSON array gives null."""
+    """A tree of blocks, as a JSON array, as Markdown; what isn't a block counts for nothing. Null, what is no JSON array,
+    and what is nested too deeply give null."""
 
     def read(text):
         try:
             tree = json.loads(text)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
-        return "\n".join(_tidy(_lines(tree, 0))).rstrip() + "\n" if isinstance(tree, list) else None
+        if not isinstance(tree, list) or (lines := _lines(tree)) is None:
+            return None
+        return "\n".join(_tidy(lines)).rstrip() + "\n"
 
     return blocks.map(read)
 
@@ -73,42 +78,68 @@ def markdown(blocks: pd.Series) -> pd.Series:
 def _marked(rich) -> str:
     out = ""
     for piece in rich if isinstance(rich, list) else ():
-        text = piece.get("plain_text") or ""
-        text = text.replace("`", "\\`")
-        told = piece.get("annotations") or {}
-        for name, mark in MARKS if text else ():
+        if not isinstance(piece, dict) or not isinstance(piece.get("plain_text"), str):
+            continue
+        text = piece["plain_text"].replace("`", "\\`")
+        told = piece.get("annotations")
+        for name, mark in MARKS if text and isinstance(told, dict) else ():
             if told.get(name):
                 text = mark + text + mark
         out += f"[{text}]({piece['href']})" if text and isinstance(piece.get("href"), str) else text
     return out.strip()
 
 
-def _lines(blocks: list[dict], depth: int) -> list[str]:
-    """Lines with a blank one after each block; lists are numbered anew after anything but text between their items."""
-    out, number, indent = [], 1, "  " * depth
-    for block in blocks:
-        kind = block.get("type") or ""
+class _Open:
+    """A list of blocks that is being written: those left, the lines so far, and how its lines go into the list above."""
+
+    def __init__(self, blocks: list, depth: int, into=None):
+        self.left, self.depth, self.into = iter(blocks), depth, into
+        self.out: list[str] = []
+        self.number = 1
+
+
+def _lines(tree: list) -> list[str] | None:
+    """Lines with a blank one after each block; lists are numbered anew after anything but text between their items. Null
+    for a tree that is nested too deeply."""
+    held = [_Open(tree, 0)]
+    while True:
+        here = held[-1]
+        block = next(here.left, held)
+        if block is held:  # no block is left
+            held.pop()
+            if not held:
+                return here.out
+            held[-1].out += here.into(here.out)
+            continue
+        if not isinstance(block, dict):
+            continue
+        kind = block.get("type") if isinstance(block.get("type"), str) else ""
         own = block.get(kind) if isinstance(block.get(kind), dict) else {}
         below = block.get("children") if isinstance(block.get("children"), list) else []
-        text = _marked(own.get("rich_text"))
+        text, indent = _marked(own.get("rich_text")), "  " * here.depth
+        into = None
         if kind in ("bulleted_list_item", "numbered_list_item"):
-            mark, number = ("-", 1) if kind.startswith("b") else (f"{number}.", number + 1)
-            out += [f"{indent}{mark} {text}", *filter(None, _lines(below, depth + 1)), ""]
-            continue
-        if kind in HEADINGS:
-            out += [f"{HEADINGS[kind]} {text}", ""] * bool(text)
+            mark, here.number = ("-", 1) if kind.startswith("b") else (f"{here.number}.", here.number + 1)
+            here.out.append(f"{indent}{mark} {text}")
+            depth, into = here.depth + 1, lambda lines: [*filter(None, lines), ""]
+        elif kind in HEADINGS:
+            here.out += [f"{HEADINGS[kind]} {text}", ""] * bool(text)
         elif kind == "quote":
-            out += [f"{indent}> {text}", ""] * bool(text) + [f"> {x}".rstrip() for x in _lines(below, depth)]
+            here.out += [f"{indent}> {text}", ""] * bool(text)
+            depth, into = here.depth, lambda lines: [f"> {x}".rstrip() for x in lines]
         elif kind == "divider":
-            out += ["---", ""]
+            here.out += ["---", ""]
         elif kind == "child_page":
-            title = (own.get("title") or "").strip()
-            out += [f"## {title}", ""] * bool(title)
+            title = own["title"].strip() if isinstance(own.get("title"), str) else ""
+            here.out += [f"## {title}", ""] * bool(title)
         elif text:
-            out += [indent + text, ""]
-        if kind not in ("paragraph", "quote", *HEADINGS):
-            number = 1
-    return out
+            here.out += [indent + text, ""]
+        if kind not in ("paragraph", "quote", "bulleted_list_item", "numbered_list_item", *HEADINGS):
+            here.number = 1
+        if into:
+            if len(held) > MOST_DEEP:
+                return None
+            held.append(_Open(below, depth, into))
 
 
 def _tidy(lines: list[str]) -> list[str]:

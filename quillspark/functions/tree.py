@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -12,6 +13,7 @@ from .lazy import arrow_function
 
 # Tags without an end, and the pieces of a notebook's pages.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+ENDS_PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "table", "hr", "div", "ul", "ol", "dl", "blockquote", "pre", "form"}
 BOOK = ("div", ".kp-notebook-library-each-book")
 BOOK_FIELDS = {"title": ("h2", ".kp-notebook-searchable"), "authors": ("p", ".kp-notebook-searchable"), "cover_url": ("img", ".kp-notebook-cover-image")}
 CARDS, CARD = ("div", "#kp-notebook-annotations"), ("div", ".kp-notebook-row-separator")
@@ -20,6 +22,9 @@ ID_PREFIX = "kp-notebook-library-each-book-"
 #: A page without the container of its cards is broken if its text is as long as a page's or as short as an error's.
 LONG_PAGE, SHORT_PAGE = 200, 50
 
+#: Open elements in each other; a page with more is taken for broken.
+MOST_DEEP = 500
+
 CELL = "struct<classes: array<string>, id: string, text: string, strong: string, marks: map<string, string>>"
 ROWS = f"array<struct<cells: array<{CELL}>>>"
 BOOKS = "array<struct<asin: string, title: string, authors: string, cover_url: string>>"
@@ -36,52 +41,106 @@ class Node:
         return (self.attrs.get("class") or "").split()
 
     def below(self):
-        for part in self.parts:
-            if isinstance(part, Node):
-                yield part
-                yield from part.below()
+        """The nodes below in document order."""
+        left = [p for p in reversed(self.parts) if isinstance(p, Node)]
+        while left:
+            node = left.pop()
+            yield node
+            left += [p for p in reversed(node.parts) if isinstance(p, Node)]
 
     def find(self, tag: str, mark: str = ""):
         """The nodes below with the tag and the class (.name) or id (#name)."""
         name = mark[1:]
         return [n for n in self.below() if n.tag == tag and (not mark or (name in n.classes() if mark[0] == "." else n.attrs.get("id") == name))]
 
+    def pieces(self) -> list[str]:
+        """All texts in document order, a break as a line feed."""
+        out, left = [], list(reversed(self.parts))
+        while left:
+            p = left.pop()
+            if isinstance(p, str):
+                out.append(p)
+            elif p.tag == "br":
+                out.append("\n")
+            else:
+                left += reversed(p.parts)
+        return out
+
+    def strings(self) -> list[str]:
+        """All texts in document order, without breaks."""
+        out, left = [], list(reversed(self.parts))
+        while left:
+            p = left.pop()
+            if isinstance(p, str):
+                out.append(p)
+            else:
+                left += reversed(p.parts)
+        return out
+
     def text(self) -> str:
         """All text, a break as a line feed."""
-        return "".join(p if isinstance(p, str) else "\n" if p.tag == "br" else p.text() for p in self.parts)
+        return "".join(self.pieces())
 
     def plain(self) -> str:
         """The texts without white space at their ends, joined."""
-        return "".join(p.strip() if isinstance(p, str) else p.plain() for p in self.parts)
+        return "".join(x.strip() for x in self.strings())
+
+
+class Malformed(ValueError):
+    """A page that isn't read: its tags are nested too deeply."""
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [Node("")]
+        self.count: Counter = Counter()
+
+    def shut(self, tag):
+        """Ends the innermost open element with the tag, and those in it."""
+        if self.count[tag]:
+            while (last := self.open.pop()).tag != tag:
+                self.count[last.tag] -= 1
+            self.count[tag] -= 1
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_PARAGRAPH and self.count["p"] and not self.count["table"]:
+            self.shut("p")
         node = Node(tag, dict(attrs))
         self.open[-1].parts.append(node)
         if tag not in VOID:
+            if len(self.open) > MOST_DEEP:
+                raise Malformed(f"tags nested more than {MOST_DEEP} deep")
             self.open.append(node)
+            self.count[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        """<br/> and <hr/> have no end; of other tags the slash means nothing."""
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), None)
-        if at:
-            del self.open[at:]
+        self.shut(tag)
 
     def handle_data(self, data):
         self.open[-1].parts.append(data)
 
 
 def tree(page: str) -> Node:
+    """The page's elements; Malformed where they are nested too deeply. A paragraph ends where a block begins."""
     builder = _Builder()
     builder.feed(page)
     builder.close()
     return builder.open[0]
 
 
+def read(page: str | None) -> Node | None:
+    """The page's elements, of a null page none; null for a malformed one."""
+    try:
+        return tree(page or "")
+    except Malformed:
+        return None
+
+
 def _lines(text: str) -> str:
     """Blanks collapsed, lines stripped, empty lines out."""
     return "\n".join(filter(None, (re.sub(r"[ \t\r]+", " ", line).strip() for line in text.split("\n"))))
@@ -90,14 +149,14 @@ def _lines(text: str) -> str:
 @arrow_function(ROWS)
 def table_rows(page: pd.Series) -> pd.Series:
     """The rows of a page's tables: of each cell its classes, id, text, the text in <strong>, and texts of its spans by
-    class. A null page has none."""
+    class. A null page has none; a malformed one gives null."""
 
     def cell(td: Node) -> dict:
         strong = td.find("strong")
         marks = [(c, _lines(s.text())) for s in td.find("span") for c in s.classes()]
         return {"classes": td.classes(), "id": td.attrs.get("id"), "text": _lines(td.text()), "strong": _lines(strong[0].text()) if strong else None, "marks": dict(reversed(marks))}
 
-    return page.map(lambda p: [{"cells": [cell(td) for td in tr.find("td")]} for tr in tree(p or "").find("tr")])
+    return page.map(lambda p: None if (root := read(p)) is None else [{"cells": [cell(td) for td in tr.find("td")]} for tr in root.find("tr")])
 
 
 def _fields(node: Node, wanted: dict) -> dict:
@@ -111,7 +170,7 @@ def _fields(node: Node, wanted: dict) -> dict:
 
 @arrow_function(BOOKS)
 def notebook_books(page: pd.Series) -> pd.Series:
-    """Books of a notebook's first page; those without a product number are left out."""
+    """Books of a notebook's first page; those without a product number are left out. A malformed page gives null."""
 
     def book(node: Node) -> dict:
         own = node.attrs.get("id") or ""
@@ -119,15 +178,17 @@ def notebook_books(page: pd.Series) -> pd.Series:
         found = _fields(node, BOOK_FIELDS)
         return {"asin": asin or node.attrs.get("data-asin") or "", **found, "title": found["title"] or "", "authors": found["authors"] or ""}
 
-    return page.map(lambda p: [b for b in map(book, tree(p or "").find(*BOOK)) if b["asin"]])
+    return page.map(lambda p: None if (root := read(p)) is None else [b for b in map(book, root.find(*BOOK)) if b["asin"]])
 
 
 @arrow_function(CARDS_FOUND)
 def notebook_highlights(page: pd.Series) -> pd.DataFrame:
     """Highlights of a book's page, and a status: ok, none, or broken where the page isn't what it should be."""
 
-    def read(p: str | None) -> dict:
-        root = tree(p or "")
+    def found(p: str | None) -> dict:
+        root = read(p)
+        if root is None:
+            return {"status": "broken", "highlights": []}
         box = next(iter(root.find(*CARDS)), None)
         if box is None:
             return {"status": "none" if SHORT_PAGE <= len(root.plain()) < LONG_PAGE else "broken", "highlights": []}
@@ -137,4 +198,4 @@ def notebook_highlights(page: pd.Series) -> pd.DataFrame:
             c["page"] = f"Page{after[0]}" if after else None
         return {"status": "ok" if cards else "none", "highlights": [c for c in cards if c["text"]]}
 
-    return pd.DataFrame([read(p) for p in page], columns=["status", "highlights"])
+    return pd.DataFrame([found(p) for p in page], columns=["status", "highlights"])
