@@ -33,14 +33,16 @@ def two_key_first_wins(rows: DataFrame, order: str, key_a: str, key_b: str) -> D
     """Rows taken in order, each unless a row taken before has its key_a or its key_b. A row that isn't taken claims nothing.
 
     Each round takes the rows that come first for both of their keys among those left, and drops the rows that share a key
-    with them; so only keys travel, and no group is gathered. Null keys clash with nothing.
+    with them; so only keys travel, and no group is gathered: the first of a key is found where its rows are, and joined
+    back. Null keys clash with nothing.
     """
     left = rows.select(order, key_a, key_b)
     taken = None
     while True:
-        first_a = F.when(F.col(key_a).isNull(), F.col(order)).otherwise(F.min(order).over(Window.partitionBy(key_a)))
-        first_b = F.when(F.col(key_b).isNull(), F.col(order)).otherwise(F.min(order).over(Window.partitionBy(key_b)))
-        both = left.withColumn("_a", first_a).withColumn("_b", first_b).filter((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b")))
+        first = lambda key: left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+        both = left
+        for key in (key_a, key_b):
+            both = both.join(first(key), [key, order], "left_semi").unionByName(both.filter(F.col(key).isNull()))
         won = checkpointed(both.select(order, key_a, key_b))
         taken = won.select(order) if taken is None else taken.union(won.select(order))
         left = left.join(won.select(order), order, "left_anti").join(won.select(key_a), key_a, "left_anti").join(won.select(key_b), key_b, "left_anti")
