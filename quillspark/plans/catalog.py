@@ -239,7 +239,10 @@ def dedupe_hash(spark, folder):
     return dedupe.first_of_key(docs, F.col("content_hash"), "doc_id").select("doc_id", "content_hash")
 
 
-@query()
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM (SELECT doc_id, sha256(text) AS a, concat_ws(':', source, lang, n_chars) AS b FROM documents)),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, false AS won, CAST([] AS VARCHAR[]) AS as_, CAST([] AS VARCHAR[]) AS bs
+UNION ALL SELECT o.n, o.doc_id, o.a, o.b, NOT (list_contains(as_, o.a) OR list_contains(bs, o.b)), CASE WHEN list_contains(as_, o.a) OR list_contains(bs, o.b) THEN as_ ELSE as_ || [o.a] END, CASE WHEN list_contains(as_, o.a) OR list_contains(bs, o.b) THEN bs ELSE bs || [o.b] END FROM r JOIN o ON o.n = r.n + 1)
+SELECT doc_id, a AS content_hash, b AS source_id FROM r WHERE won""")
 def two_key_first_wins(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.concat_ws(":", "source", "lang", F.col("n_chars").cast("string")).alias("source_id"))
     return dedupe.two_key_first_wins(docs, "doc_id", "content_hash", "source_id")
@@ -286,7 +289,10 @@ def fuzzy_match(spark, folder):
     return dedupe.fuzzy_best(wanted, stored).select("wanted_id", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT conv_id, turn, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM conversations) WHERE len(ws) > 0),
+r AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS text, false AS stays, CAST([] AS VARCHAR[][]) AS kept FROM w
+UNION ALL SELECT w.conv_id, w.n, w.turn, w.text, k.free, CASE WHEN k.free THEN kept || [w.ws] ELSE kept END FROM r JOIN w ON w.conv_id = r.conv_id AND w.n = r.n + 1, LATERAL (SELECT len(list_filter(kept, lambda x: len(list_intersect(x, w.ws)) >= 0.85 * len(list_distinct(x || w.ws)))) = 0 AS free) k)
+SELECT conv_id, turn, text FROM r WHERE stays""")
 def greedy_near_duplicates(spark, folder):
     return dedupe.greedy_distinct(table(spark, folder, "conversations"), "conv_id", "turn", "text")
 
