@@ -374,6 +374,68 @@ def test_decontamination_of_several_occurrences(spark):
     assert [found[i, 0].reparameterised for i in range(4)] == [True, False, True, True]
 
 
+def test_decontamination_of_what_items_share(spark):
+    """An instruction that all items begin with says nothing of any of them, whatever its share of their words; an item that
+    stands in a document as a whole is found, and so is a passage that two items share."""
+    rnd = random.Random(20)
+    make = lambda k: " ".join(rnd.choice(WORDS) + str(rnd.randrange(40)) + "x" for _ in range(k))
+    lead = "please work out the answer to the following question about"
+    items = [f"{lead} {make(10)}" for _ in range(120)]
+    passage = make(40)
+    items += [f"{passage} {make(8)}", f"{passage} {make(8)}"]
+    docs = [f"{make(5)} {lead} {make(30)}" for _ in range(120)] + [f"so {items[7]} and", f"so {passage} and", f"{make(4)} {items[121]}"]
+    found = leaks(spark, items, docs)
+    assert {(d, i) for d, i in found if d < 120} == set()
+    assert {(d, i) for d, i in found if d >= 120} == {(120, 7), (121, 120), (121, 121), (122, 121), (122, 120)}
+    assert found[120, 7].coverage == 1 and found[122, 121].coverage == 1 and found[122, 120].coverage < 1
+
+
+def test_decontamination_of_short_items_with_other_values(spark):
+    items = ["A train goes 60 km in 2 hours how fast", "Ann paid 9 dollars for tea"]
+    docs = ["well, a train goes 75 km in 3 hours how fast is it", "so Bob paid 7 dollars for tea", "It rained. Bob paid 7 dollars for tea.", "a train goes 75 km in 3 hours and stops", "Bob paid 7 dollars for coffee", "nobody paid 7 dollars for tea", "Ann paid 9 dollars for tea"]
+    found = leaks(spark, items, docs)
+    assert set(found) == {(0, 0), (1, 1), (2, 1), (6, 1)}
+    assert {d for (d, _), r in found.items() if r.reparameterised} == {0, 1, 2}
+
+
+def test_decontamination_against_whole_templates(spark):
+    """Items with other values at random places, and ones with a value that doesn't stay the same."""
+    rnd = random.Random(21)
+    names, items, docs, want = ["Anna", "Tom", "Mary", "Joe", "Zoe", "Bea"], [], [], set()
+    for i in range(40):
+        words = [rnd.choice(WORDS) + str(rnd.randrange(100)) + "q" for _ in range(24)]
+        who, n = rnd.choice(names), str(rnd.randrange(2, 50))
+        for at in (5, 13, 21):
+            words[at] = who
+        for at in (9, 17):
+            words[at] = n
+        items.append(" ".join(words))
+        other, m = rnd.choice([x for x in names if x != who]), str(rnd.randrange(50, 99))
+        copy = [{who: other, n: m}.get(w, w) for w in words]
+        kind = i % 4
+        if kind == 1:  # other names in each place, so that most windows contradict each other
+            copy[13], copy[21] = "Eve", "Ida"
+            copy[17] = str(int(m) + 1)
+        elif kind == 2:  # half of it only
+            copy = copy[:10]
+        elif kind == 3:
+            copy = words
+        docs.append(" ".join(["some", "words", "before", *copy, "and", "after"]))
+        if kind in (0, 3):
+            want.add((i, i))
+    found = leaks(spark, items, docs)
+    assert set(found) == want and all(found[i, i].reparameterised == (i % 4 == 0) for i, _ in want)
+
+
+def test_decontamination_far_apart_in_a_long_text(spark):
+    """Of a very long text with thousands of copies, the best one counts; halves that lie far apart are no copy."""
+    rnd = random.Random(22)
+    item = " ".join(rnd.choice(WORDS) + str(i) + "y" for i in range(20))
+    half = item.split()
+    docs = [(item.upper() + " between ") * 3000, " ".join(half[:9]) + " far" * 500 + " " + " ".join(half[11:]), "x" * 300_000 + " " + item]
+    assert {(d, r.coverage) for (d, _), r in leaks(spark, [item], docs).items()} == {(0, 1.0), (2, 1.0)}
+
+
 def test_best_occurrence():
     w = lambda shift, at, own: {"size": 8, "at": at + shift, "item_at": at, "slots": own, "item_slots": ["anna", "3"]}
     copies = [w(0, 0, ["zoe", "3"]), w(0, 1, ["zoe", "3"]), w(40, 0, ["anna", "9"]), w(40, 1, ["anna", "9"])]
