@@ -94,15 +94,32 @@ def test_line_dedup_repeated_and_null_ids(spark):
     assert found == [*((False, i, 1) for i in range(4)), (False, 4, 0), (False, 4, 0), (True, 0, 0)]
 
 
-def test_line_dedup_saturated_filters(spark, monkeypatch):
-    """Full filters cost rows, not results."""
-    monkeypatch.setattr(line_dedup, "FILTER_BITS", 512)
-    monkeypatch.setattr(line_dedup, "SEGMENTS", 2)
+@pytest.mark.parametrize("bits, keys, hot", [(512, 1 << 21, 10_000), (1 << 29, 16, 3), (1 << 29, 1 << 21, 1)])
+def test_line_dedup_of_any_size(spark, monkeypatch, bits, keys, hot):
+    """A full filter of ids costs rows, not results; ranges of few keys, and keys that are hot or not, change nothing."""
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(line_dedup, "RANGE_KEYS", keys)
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", hot)
     docs = some_docs(3)
     found = line_dedup.dedup_lines(frame(spark, docs)).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.kept or "")) for r in found) == sorted(brute.line_dedup(docs))
 
 
+def test_line_dedup_shuffles_only_documents_that_lose_lines(spark, monkeypatch):
+    """However small the ranges, the ids that are marked are those that lose lines, and few others pass the filter."""
+    monkeypatch.setattr(line_dedup, "RANGE_KEYS", 64)
+    own = lambda i: f"a line of its own that nothing else has, number {i} of very many"
+    docs = [(i, "\n".join([own(2 * i), own(2 * i + 1), *(["a line that every tenth document has, and so is repeated"] if i % 10 == 0 else [])])) for i in range(2000)]
+    lost = line_dedup.lost_lines(spark.createDataFrame(docs, EMPTY), "doc_id", "text", 40, 5)
+    assert {r.id for r in lost.collect()} == set(range(0, 1990, 10))
+    bits = line_dedup.id_filter(lost.selectExpr("xxhash64(id) AS h"), 199)
+    every = np.array([r.h for r in spark.range(2000).selectExpr("xxhash64(id) AS h").collect()], np.int64).view(np.uint64)
+    assert 199 <= line_dedup.holds(bits, every).sum() < 230
+    again = line_dedup.suspects(spark.createDataFrame([(i // 2 if i < 40 else i,) for i in range(3000)], "h long"), 3000)
+    found = {r.h: r.n for r in again.collect()}
+    assert all(found[h] == 2 for h in range(20)) and len(found) < 300
+
+
 @pytest.mark.parametrize("shingle, threshold", [(3, 0.85), (5, 0.8)])
 def test_near_dedup(spark, shingle, threshold):
     docs = some_docs(4)
