@@ -208,6 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hashed = docs.select(*columns, F.xxhash64(docs[id_col]).alias(own_hash))
     some = map_slices(hashed, text_col, unclear, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
-    lost = lost.select(F.col("id").alias(own_id), F.col("lost").alias(lost_keys))
+    # by a shuffle of both at any size
+    lost = lost.select(F.col("id").alias(own_id), F.col("lost").alias(lost_keys)).hint("merge")
     met = some.join(lost, some[id_col] == lost[own_id], "left").select(*columns, lost_keys)
     return map_slices(hashed, text_col, clear, schema).union(map_slices(met, text_col, lambda batch: told(batch, batch.column(lost_keys).to_pylist()), schema))
