@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Days from Easter.
 MOVABLE_OFFSETS = {"septuagesima": -63, "ash_wednesday": -46, "palm_sunday": -7, "easter": 0, "ascension": 39, "pentecost": 49, "trinity_sunday": 56}
 # Dates that hold even against a Sunday.
@@ -19,26 +21,30 @@ def _int(c: Column) -> Column:
     return F.floor(c).cast("int")
 
 
+def _after_march(days: Column, year: Column) -> Column:
+    """The date so many days after the 28th of March."""
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), days)
+
+
 def western_easter(year: Column) -> Column:
-    """Easter of the Gregorian calendar, from the golden number, the century and the epact."""
-    golden, century = year % 19, _int(year / 100)
-    epact = (century - _int(century / 4) - _int((8 * century + 13) / 25) + 19 * golden + 15) % 30
-    moon = epact - _int(epact / 28) * (1 - _int(epact / 28) * _int(F.lit(29) / (epact + 1)) * _int((21 - golden) / 11))
-    sunday = (year + _int(year / 4) + moon + 2 - century + _int(century / 4)) % 7
-    days = moon - sunday
-    month = 3 + _int((days + 40) / 44)
-    return F.make_date(year, month, days + 28 - 31 * _int(month / 4))
+    """Easter of the Gregorian calendar, from the golden number, the century and the epact. Each is worked out once."""
+
+    def of(golden: Column, century: Column) -> Column:
+        leap = century - _int(century / 4)
+        epact = (leap - _int((8 * century + 13) / 25) + 19 * golden + 15) % 30
+        moon = lambda e: e - _int(e / 28) * (1 - _int(e / 28) * _int(F.lit(29) / (e + 1)) * _int((21 - golden) / 11))
+        days = lambda m: m - (year + _int(year / 4) + m + 2 - leap) % 7
+        return let(let(let(epact, moon), days), lambda d: _after_march(d.cast("int"), year))
+
+    return of(year % 19, _int(year / 100))
 
 
 def orthodox_easter(year: Column) -> Column:
     """Easter of the Julian calendar, as a Gregorian date."""
-    moon = (19 * (year % 19) + 15) % 30
-    sunday = (year + _int(year / 4) + moon) % 7
-    days = moon - sunday
-    month = 3 + _int((days + 40) / 44)
-    julian = F.make_date(year, month, days + 28 - 31 * _int(month / 4))
+    days = let((19 * (year % 19) + 15) % 30, lambda m: m - (year + _int(year / 4) + m) % 7)
     century = _int(year / 100)
-    return F.date_add(julian, F.when(year > 1582, 10 + F.when(year > 1600, century - 16 - _int((century - 16) / 4)).otherwise(0)).otherwise(0).cast("int"))
+    shift = F.when(year > 1582, 10 + F.when(year > 1600, century - 16 - _int((century - 16) / 4)).otherwise(0)).otherwise(0)
+    return _after_march((days + shift).cast("int"), year)
 
 
 def easter(year: Column, tradition: Column) -> Column:
@@ -60,11 +66,13 @@ def weekday_after(day: Column, name: Column) -> Column:
     return _next(day, name)
 
 
+_WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+
+
 def _next(day: Column, name: Column) -> Column:
     """The next such weekday after day, by the distance of their numbers."""
-    names = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
-    number = F.coalesce(*[F.when(F.lower(name) == n, F.lit(i)) for i, n in enumerate(names)])
-    return F.date_add(day, (F.pmod(number - F.dayofweek(day), F.lit(7)) + 1).cast("int"))
+    away = lambda d: F.date_add(d, (F.pmod(_number(F.lower(name), _WEEKDAYS) - 1 - F.dayofweek(d), F.lit(7)) + 1).cast("int"))
+    return let(day, away)
 
 
 def nth_weekday(year: Column, month: Column, n: Column, name: Column) -> Column:
@@ -83,22 +91,47 @@ def fixed_or_easter_rule(rule: Column, year: Column, tradition: Column) -> Colum
     return F.when(F.regexp_like(rule, F.lit(r"^\d{2}-\d{2}$")), month_day(year, rule)).when(offset.isNotNull(), F.date_add(easter(year, tradition), offset))
 
 
+_ORDINALS = ("first", "second", "third", "fourth", "fifth")
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Patterns of movable rules, the first that fits counts.
+MOVABLE_PATTERNS = {"easter": r"^easter([+-]\d+)$", "advent": r"^advent_1([+-]\d+)$", "first_sunday": r"^first_sunday_after_(\d{2}-\d{2})$", "on_or_after": r"^([a-z]+)_on_or_after_(\d{2}-\d{2})$", "after": r"^([a-z]+)_after_(\d{2}-\d{2})$", "ordinal": r"^(first|second|third|fourth|fifth)_(\w+)_of_(\w+)$"}
+
+
+def _part(rule: Column, form: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(rule, MOVABLE_PATTERNS[form], group), F.lit(""))
+
+
+def _number(word: Column, words: tuple[str, ...]) -> Column:
+    """The word's place in the list, from 1; null for another one."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, words)), word), F.lit(0)).cast("int")
+
+
+def _ordinal_day(rule: Column, year: Column, easter_day: Column) -> Column:
+    told = F.struct(_number(_part(rule, "ordinal", 1), _ORDINALS).alias("n"), _number(_part(rule, "ordinal", 3), _MONTHS).alias("month"))
+    return let(told, lambda t: F.when(t["n"].isNotNull() & t["month"].isNotNull(), nth_weekday(year, F.coalesce(t["month"], F.lit(1)), F.coalesce(t["n"], F.lit(1)), _part(rule, "ordinal", 2))))
+
+
+#: The date of a rule of each form, from the rule, the year and its Easter.
+MOVABLE_FORMS = {
+    "easter": lambda rule, year, easter_day: F.date_add(easter_day, _part(rule, "easter", 1).cast("int")),
+    "advent": lambda rule, year, easter_day: F.date_add(weekday_on_or_after(month_day(year, F.lit("11-27")), F.lit("sunday")), _part(rule, "advent", 1).cast("int")),
+    "first_sunday": lambda rule, year, easter_day: weekday_after(month_day(year, _part(rule, "first_sunday", 1)), F.lit("sunday")),
+    "on_or_after": lambda rule, year, easter_day: weekday_on_or_after(month_day(year, _part(rule, "on_or_after", 2)), _part(rule, "on_or_after", 1)),
+    "after": lambda rule, year, easter_day: weekday_after(month_day(year, _part(rule, "after", 2)), _part(rule, "after", 1)),
+    "ordinal": _ordinal_day,
+}
+
+
+def movable_form(rule: Column) -> Column:
+    """Which form a movable rule has; null for none."""
+    return F.coalesce(*(F.when(F.regexp_like(rule, F.lit(pattern)), name) for name, pattern in MOVABLE_PATTERNS.items()))
+
+
 def movable_rule(rule: Column, year: Column, easter_day: Column) -> Column:
-    """The date of a movable rule in its whole grammar; a rule that isn't known, or a day that doesn't exist, gives null."""
-    part = lambda m, g: F.nullif(F.regexp_extract(rule, m, g), F.lit(""))
-    advent = weekday_on_or_after(month_day(year, F.lit("11-27")), F.lit("sunday"))
-    ordinal = r"^(first|second|third|fourth|fifth)_(\w+)_of_(\w+)$"
-    numbers = F.coalesce(*[F.when(part(ordinal, 1) == n, F.lit(i + 1)) for i, n in enumerate(("first", "second", "third", "fourth", "fifth"))])
-    months = F.coalesce(*[F.when(part(ordinal, 3) == n, F.lit(i + 1)) for i, n in enumerate(("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"))])
-    on_after, after, first_after = r"^([a-z]+)_on_or_after_(\d{2}-\d{2})$", r"^([a-z]+)_after_(\d{2}-\d{2})$", r"^first_sunday_after_(\d{2}-\d{2})$"
-    return F.coalesce(
-        F.date_add(easter_day, part(r"^easter([+-]\d+)$", 1).cast("int")),
-        F.date_add(advent, part(r"^advent_1([+-]\d+)$", 1).cast("int")),
-        weekday_after(month_day(year, part(first_after, 1)), F.lit("sunday")),
-        weekday_on_or_after(month_day(year, part(on_after, 2)), part(on_after, 1)),
-        weekday_after(month_day(year, part(after, 2)), part(after, 1)),
-        F.when(months.isNotNull() & numbers.isNotNull(), nth_weekday(year, F.coalesce(months, F.lit(1)), F.coalesce(numbers, F.lit(1)), part(ordinal, 2))),
-    )
+    """The date of a movable rule in its whole grammar; a rule that isn't known, or a day that doesn't exist, gives null. For
+    many rules at once see calendar.resolved."""
+    form = movable_form(rule)
+    return F.coalesce(*(F.when(form == name, day(rule, year, easter_day)) for name, day in MOVABLE_FORMS.items()))
 
 
 def is_sunday(day: Column) -> Column:

@@ -8,19 +8,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import easter, fixed_or_easter_rule, month_day, movable_rule, precedence_rank
+from ..functions.dates import MOVABLE_FORMS, easter, fixed_or_easter_rule, month_day, movable_form, precedence_rank
 from ..session import checkpointed
 
 RESOLVED = "year int, tradition string, day date, id bigint, primary_name string, precedence string, transferred boolean"
 
 
+def resolved(rules: DataFrame) -> DataFrame:
+    """rules (rule, tradition, year) with day, their date in the year; null for rules that aren't known and days that don't
+    exist. Each form of rule is a projection of its own, as all of them in one are too large to be compiled."""
+    named = rules.withColumn("form", movable_form(F.col("rule")))
+    out = named.filter("form IS NULL").select("rule", "tradition", "year", F.lit(None).cast("date").alias("day"))
+    for name, day in MOVABLE_FORMS.items():
+        out = out.unionByName(named.filter(F.col("form") == name).select("rule", "tradition", "year", day(F.col("rule"), F.col("year"), easter(F.col("year"), F.col("tradition"))).alias("day")))
+    return out
+
+
 def dated(feasts: DataFrame, years: DataFrame) -> DataFrame:
     """Every feast in every year, with its own day; feasts that a year doesn't have are left out. years: year."""
     each = feasts.crossJoin(F.broadcast(years)).withColumn("easter", easter(F.col("year"), F.col("tradition")))
     fixed = F.when(F.col("calendar_type").isin("fixed", "commemoration") & F.regexp_like("date_rule", F.lit(r"^\d{2}-\d{2}$")), month_day(F.col("year"), F.col("date_rule")))
-    # each rule of each year once: its expression is large, and feasts share rules
+    # each rule of each year once, as feasts share rules
     rules = feasts.filter("calendar_type = 'movable'").select(F.trim("date_rule").alias("rule"), "tradition").distinct().crossJoin(F.broadcast(years))
-    moved = checkpointed(rules.select("rule", "tradition", "year", movable_rule(F.col("rule"), F.col("year"), easter(F.col("year"), F.col("tradition"))).alias("moved")))
+    moved = checkpointed(resolved(rules).withColumnRenamed("day", "moved"))
     met = each.withColumn("rule", F.when(F.col("calendar_type") == "movable", F.trim("date_rule"))).join(moved, ["rule", "tradition", "year"], "left")
     return met.withColumn("day", F.coalesce(fixed, "moved")).drop("rule", "moved").filter(F.year("day") == F.col("year"))
 
@@ -39,6 +49,17 @@ def on_day(feasts: DataFrame, day: Column, tradition: str | None = None) -> Data
     return fixed.unionByName(moved)
 
 
+def on_days(feasts: DataFrame, days: DataFrame, tradition: str) -> DataFrame:
+    """The tradition's feasts of each day (days: day): fixed feasts by month and day, and those whose rule is the day's
+    distance from Easter. Both meet by equality, so that no feast is tried against every day."""
+    mine = feasts.filter(F.col("tradition") == tradition)
+    fixed = mine.filter("calendar_type = 'fixed'").join(days.select("day", F.date_format("day", "MM-dd").alias("date_rule")).distinct(), "date_rule")
+    away = F.datediff("day", easter(F.year("day"), F.lit(tradition)))
+    of_easter = mine.filter("calendar_type = 'movable'").withColumn("away", F.regexp_extract("date_rule", r"^easter([+-][0-9]+)$", 1).try_cast("int"))
+    moved = of_easter.filter("away IS NOT NULL").join(days.select("day", away.alias("away")).distinct(), "away").drop("away")
+    return fixed.unionByName(moved)
+
+
 def winners(resolved: DataFrame) -> DataFrame:
     """Of the feasts of one day (year, tradition, day) the one of the best rank, then by rule, then by id."""
     rank = precedence_rank(F.col("precedence"), F.col("calendar_type"), F.col("date_rule"), F.col("day"))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, html, text, vectors
+from ..functions import html, text, vectors
 from ..functions import json as js
-from ..operators import calendar, chunks, dedupe, matching, reports, search, threads
+from ..operators import chunks, dedupe, matching, reports, search, threads
 from ..operators import jobs as job_ops
 from ..session import shared_folder
 from ..sources import sinks
@@ -441,82 +441,6 @@ def json_payload(spark, folder):
     return e.select("event_id", js.payload_summary(renamed).alias("summary"), F.try_variant_get(js.decoded(F.col("props")), "$.k", "int").alias("k"))
 
 
-# Dates and calendar
-
-
-@query("""WITH y AS (SELECT unnest(range(1900, 2101)) AS y), w AS (SELECT y, y % 19 AS g, y // 100 AS c FROM y),
-h AS (SELECT *, (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30 AS h FROM w), i AS (SELECT *, h - (h // 28) * (1 - (h // 28) * (29 // (h + 1)) * ((21 - g) // 11)) AS i FROM h),
-l AS (SELECT *, i - (y + y // 4 + i + 2 - c + c // 4) % 7 AS l, (19 * g + 15) % 30 - (y + y // 4 + (19 * g + 15) % 30) % 7 AS o FROM i)
-SELECT CAST(y AS INT) AS year, make_date(y, 3, 1) + CAST(l + 27 AS INT) AS western, make_date(y, 3, 1) + CAST(o + 27 + 10 + c - 16 - (c - 16) // 4 AS INT) AS orthodox FROM l""")
-def easter_dates(spark, folder):
-    years = spark.range(1900, 2101).select(F.col("id").cast("int").alias("year"))
-    return years.select("year", dates.western_easter(F.col("year")).alias("western"), dates.orthodox_easter(F.col("year")).alias("orthodox"))
-
-
-RULES = ["easter+0", "easter-46", "easter+39", "advent_1+0", "advent_1+7", "sunday_on_or_after_11-27", "first_sunday_after_01-06", "wednesday_after_09-14", "friday_on_or_after_12-13", "fourth_thursday_of_november", "fifth_sunday_of_february", "last_monday_of_may", "sunday_on_or_after_02-30", "02-29"]
-
-
-@query("""WITH y AS (SELECT CAST(unnest(range(2000, 2101)) AS INT) AS year), nov AS (SELECT year, make_date(year, 11, 27) AS d FROM y),
-adv AS (SELECT year, d + CAST((7 - dayofweek(d)) % 7 AS INT) AS a FROM nov)
-SELECT 'advent_1+7' AS rule, year, a + 7 AS day FROM adv UNION ALL SELECT 'advent_1+0', year, a FROM adv UNION ALL SELECT 'sunday_on_or_after_11-27', year, a FROM adv
-UNION ALL SELECT 'first_sunday_after_01-06', year, make_date(year, 1, 6) + CAST(7 - dayofweek(make_date(year, 1, 6)) AS INT) FROM y
-UNION ALL SELECT 'wednesday_after_09-14', year, make_date(year, 9, 15) + CAST((3 - dayofweek(make_date(year, 9, 15)) + 7) % 7 AS INT) FROM y
-UNION ALL SELECT 'friday_on_or_after_12-13', year, make_date(year, 12, 13) + CAST((5 - dayofweek(make_date(year, 12, 13)) + 7) % 7 AS INT) FROM y
-UNION ALL SELECT 'fourth_thursday_of_november', year, make_date(year, 11, 1) + CAST((4 - dayofweek(make_date(year, 11, 1)) + 7) % 7 + 21 AS INT) FROM y
-UNION ALL SELECT 'fifth_sunday_of_february', year, make_date(year, 2, 1) + CAST((7 - dayofweek(make_date(year, 2, 1))) % 7 + 28 AS INT) FROM y
-UNION ALL SELECT r, year, CAST(NULL AS DATE) FROM y, (VALUES ('last_monday_of_may'), ('sunday_on_or_after_02-30'), ('02-29')) t(r)""")
-def movable_rules(spark, folder):
-    years = spark.range(2000, 2101).select(F.col("id").cast("int").alias("year"))
-    rules = spark.createDataFrame([(r,) for r in RULES if not r.startswith("easter")], "rule string")
-    return rules.crossJoin(F.broadcast(years)).select("rule", "year", dates.movable_rule(F.col("rule"), F.col("year"), dates.western_easter(F.col("year"))).alias("day"))
-
-
-FEASTS = [
-    (1, "Holy Name", "anglican", "fixed", "01-01", "holy_day"),
-    (2, "Easter Day", "anglican", "movable", "easter+0", "principal_feast"),
-    (3, "Ash Wednesday", "anglican", "movable", "easter-46", "holy_day"),
-    (4, "Saint Mark", "anglican", "fixed", "04-25", "holy_day"),
-    (5, "Annunciation", "anglican", "fixed", "03-25", "holy_day"),
-    (6, "Vincent", "anglican", "commemoration", "03-15", "lesser_commemoration"),
-    (7, "Patrick", "anglican", "commemoration", "03-17", "lesser_commemoration"),
-    (8, "Transfiguration", "anglican", "fixed", "08-06", "holy_day"),
-    (9, "All Saints", "anglican", "fixed", "11-01", "principal_feast"),
-    (10, "First Advent", "anglican", "movable", "advent_1+0", "principal_feast"),
-    (11, "Leap Day", "anglican", "commemoration", "02-29", "lesser_commemoration"),
-    (12, "Twin", "anglican", "commemoration", "03-15", "lesser_commemoration"),
-    (13, "Pascha", "byzantine", "movable", "easter+0", "principal_feast"),
-    (14, "Saint George", "byzantine", "fixed", "04-23", "holy_day"),
-    (15, "Weekday", "anglican", "fixed", "05-05", "ferial"),
-    (16, "Thanksgiving", "anglican", "movable", "fourth_thursday_of_november", "holy_day"),
-]
-
-
-def _feasts(spark):
-    return spark.createDataFrame(FEASTS, "id bigint, primary_name string, tradition string, calendar_type string, date_rule string, precedence string")
-
-
-def _years(spark):
-    return spark.range(2000, 2101).select(F.col("id").cast("int").alias("year"))
-
-
-_FEAST_VALUES = ", ".join(str(f) for f in FEASTS)
-
-
-@query(f"""WITH f(id, primary_name, tradition, calendar_type, date_rule, precedence) AS (VALUES {_FEAST_VALUES}), y AS (SELECT CAST(unnest(range(2000, 2101)) AS INT) AS year),
-d AS (SELECT f.*, year, try_cast(year || '-' || date_rule AS DATE) AS day FROM f, y WHERE calendar_type IN ('fixed', 'commemoration')),
-r AS (SELECT *, CASE WHEN precedence = 'principal_feast' THEN 1 WHEN precedence = 'holy_day' AND calendar_type = 'fixed' AND date_rule IN ('01-01', '02-02', '08-06') AND dayofweek(day) = 0 THEN 2 WHEN precedence = 'holy_day' THEN 4 WHEN precedence = 'lesser_commemoration' THEN 5 ELSE 6 END AS rank FROM d WHERE day IS NOT NULL)
-SELECT year, tradition, day, CAST(id AS BIGINT) AS id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY year, tradition, day ORDER BY rank, date_rule, id) AS n FROM r) WHERE n = 1""")
-def precedence_winner(spark, folder):
-    fixed = calendar.dated(_feasts(spark).filter("calendar_type <> 'movable'"), _years(spark))
-    return calendar.winners(fixed).select("year", "tradition", "day", "id", "rank")
-
-
-@query()
-def year_calendar(spark, folder):
-    """A century of calendars with transfers."""
-    return calendar.year_calendar(_feasts(spark), _years(spark))
-
-
 # Streams
 
 
@@ -592,20 +516,6 @@ def rolling_hour(spark, folder):
     return reports.counted_before(e, "event_id", ["event_type"], "at", 3_600_000_000, "last_hour")
 
 
-@query("""WITH e AS (SELECT DATE '2025-04-20' AS e) SELECT 'anglican' AS tradition, e - 46 AS ash_wednesday, e - 7 AS palm_sunday, e - 1 AS holy_saturday, e + 6 AS easter_saturday, e + 8 AS week_after_second_sunday FROM e
-UNION ALL SELECT 'byzantine', e - 46, e - 7, e - 1, e + 6, e + 8 FROM e""")
-def season_dates(spark, folder):
-    both = spark.createDataFrame([("anglican",), ("byzantine",)], "tradition string")  # the two Easters of 2025 fall on one day
-    s = both.withColumn("s", dates.season(dates.easter(F.lit(2025), F.col("tradition"))))
-    return s.select("tradition", "s.ash_wednesday", "s.palm_sunday", "s.holy_saturday", "s.easter_saturday", "s.week_after_second_sunday")
-
-
-@query("SELECT * FROM (VALUES (2, DATE '2025-04-20'), (4, DATE '2025-04-25'), (13, DATE '2025-04-20'), (14, DATE '2025-04-23')) t(id, day)")
-def feasts_in_range(spark, folder):
-    found = calendar.in_range(_feasts(spark), F.lit(2025), F.lit("2025-04-01").cast("date"), F.lit("2025-04-30").cast("date"))
-    return found.select(F.col("id").cast("int").alias("id"), "day")
-
-
 @query("SELECT o_orderkey, o_totalprice, round(greatest(0, least(1, 1 - o_totalprice / 1000000)), 4) AS similarity FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderpriority ILIKE '%urg%'")
 def predicates(spark, folder):
     asked = search.all_of([F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"), search.like_pattern(F.col("o_orderpriority"), "urg"), None])

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, html, text
 from ..functions import json as js
-from ..operators import calendar, contracts, dedupe, matching, reports, search
+from ..operators import contracts, dedupe, matching, reports, search
 from ..operators import jobs as job_ops
 from ..sources.readers import table
-from .catalog import FEASTS, _feasts, _now, query
+from .catalog import _now, query
 from .views import JOBS_SQL, NOW, jobs
 
 
@@ -152,31 +152,6 @@ def parsed_values(spark, folder):
     return o.select("o_orderkey", dates.read_date(F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" | 2001/01/01"))).alias("read"), dates.duration(length).alias("seconds"), dates.rating(F.when(k % 3 == 0, "4.25").otherwise("none")).alias("stars"), dates.psalm_book(k % 150 + 1).cast("int").alias("book"), since.alias("since"))
 
 
-_EASTERS = "(VALUES (2023, DATE '2023-04-09'), (2024, DATE '2024-03-31'), (2025, DATE '2025-04-20')) v(y, e)"
-
-
-@query(f"""WITH e AS (SELECT y, e, CAST(unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY)) AS DATE) AS day FROM {_EASTERS}),
-a AS (SELECT *, make_date(y, 11, 27) + CAST((7 - dayofweek(make_date(y, 11, 27))) % 7 AS INT) AS advent FROM e)
-SELECT day, dayofweek(day) = 0 AND (day BETWEEN e - 46 AND e + 49 OR day BETWEEN advent AND make_date(y, 12, 24)) AS in_season FROM a""")
-def sundays_of_seasons(spark, folder):
-    days = spark.sql("SELECT explode(sequence(DATE '2023-01-01', DATE '2025-12-31')) AS day")
-    return days.select("day", dates.sunday_of_seasons(F.col("day"), dates.western_easter(F.year("day"))).alias("in_season"))
-
-
-_FIXED_ON = [(f[0], f[4]) for f in FEASTS if f[3] == "fixed" and f[2] == "anglican"]
-
-
-@query(f"""SELECT CAST(id AS BIGINT) AS id, day FROM (VALUES {', '.join(str(x) for x in _FIXED_ON)}) f(id, rule), (VALUES (DATE '2024-11-01'), (DATE '2024-04-25'), (DATE '2024-03-31'), (DATE '2024-02-14')) d(day) WHERE strftime(day, '%m-%d') = rule
-UNION ALL SELECT 2, DATE '2024-03-31' UNION ALL SELECT 3, DATE '2024-02-14'""")
-def feasts_on_days(spark, folder):
-    """Feasts of four days, fixed ones and those that go by Easter."""
-    out = None
-    for day in ("2024-11-01", "2024-04-25", "2024-03-31", "2024-02-14"):
-        found = calendar.on_day(_feasts(spark), F.lit(day).cast("date"), "anglican").select("id", F.lit(day).cast("date").alias("day"))
-        out = found if out is None else out.union(found)
-    return out
-
-
 # JSON and contracts
 
 

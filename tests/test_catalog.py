@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspark.plans import catalog, details, library  # noqa: F401  details and library add their queries to the catalog
+from quillspark.plans import catalog, days, details, intake, library, pages  # noqa: F401  the others add their queries to the catalog
 
 from .parity import connection, duck_rows, spark_rows
 

@@ -6,12 +6,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import blocks
+from quillspark.functions import blocks, dates
 from quillspark.operators import calendar, chunks, contracts, corrections, dedupe, jobs, matching, search, threads
-from quillspark.plans import catalog
 from quillspark.sources import adapters, readers, sinks
 from quillspark.streaming import events as streams
 
+from .feasts import feasts
+
 
 def test_filter_before_ranking(spark):
     """Many near vectors of one type don't hide the few far ones that the filter asks for."""
@@ -80,7 +81,7 @@ def test_chunker(spark):
 
 def test_transfers(spark):
     years = spark.createDataFrame([(2025,), (2026,)], "year int")
-    found = {(r.year, r.primary_name): (r.day, r.transferred) for r in calendar.year_calendar(catalog._feasts(spark), years).collect() if r.tradition == "anglican"}
+    found = {(r.year, r.primary_name): (r.day, r.transferred) for r in calendar.year_calendar(feasts(spark), years).collect() if r.tradition == "anglican"}
     assert found[2025, "Saint Mark"] == (dt.date(2025, 4, 28), True)
     assert found[2026, "Easter Day"] == (dt.date(2026, 4, 5), False)
     assert found[2026, "Ash Wednesday"] == (dt.date(2026, 2, 18), False)
@@ -88,8 +89,41 @@ def test_transfers(spark):
     assert (2026, "Vincent") not in found and (2025, "Leap Day") not in found
 
 
+def test_easters_and_rules(spark):
+    """Both Easters of two centuries, and every form of rule in a century, counted out day by day."""
+
+    def easters(y):
+        b, c = divmod(y, 100)
+        h = (19 * (y % 19) + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+        el = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+        m = h + el - 7 * ((y % 19 + 11 * h + 22 * el) // 451) + 114
+        d = (19 * (y % 19) + 15) % 30
+        j = d + (2 * (y % 4) + 4 * (y % 7) - d + 34) % 7 + 114
+        return dt.date(y, m // 31, m % 31 + 1), dt.date(y, j // 31, j % 31 + 1) + dt.timedelta(13)
+
+    found = spark.range(1900, 2100).selectExpr("CAST(id AS INT) AS y").select("y", dates.western_easter(F.col("y")).alias("w"), dates.orthodox_easter(F.col("y")).alias("o"))
+    assert all((r.w, r.o) == easters(r.y) for r in found.collect())
+
+    def first(y, month, day, weekday, after=0):
+        d = dt.date(y, month, day) + dt.timedelta(after)
+        return d + dt.timedelta((weekday - d.weekday()) % 7)
+
+    want = {
+        "easter-46": lambda y: easters(y)[0] - dt.timedelta(46), "easter+39": lambda y: easters(y)[0] + dt.timedelta(39), "advent_1+7": lambda y: first(y, 11, 27, 6) + dt.timedelta(7), "sunday_on_or_after_11-27": lambda y: first(y, 11, 27, 6),
+        "first_sunday_after_01-06": lambda y: first(y, 1, 6, 6, 1), "wednesday_after_09-14": lambda y: first(y, 9, 14, 2, 1), "friday_on_or_after_12-13": lambda y: first(y, 12, 13, 4), "fourth_thursday_of_november": lambda y: first(y, 11, 1, 3) + dt.timedelta(21),
+        "fifth_sunday_of_february": lambda y: first(y, 2, 1, 6) + dt.timedelta(28), "last_monday_of_may": lambda y: None, "sunday_on_or_after_02-30": lambda y: None, "02-29": lambda y: None, "someday_after_01-01": lambda y: None, "": lambda y: None,
+    }
+    rules = spark.createDataFrame([(r, "anglican") for r in want], "rule string, tradition string").crossJoin(spark.range(2000, 2101).selectExpr("CAST(id AS INT) AS year"))
+    rows = calendar.resolved(rules).collect()
+    assert len(rows) == len(want) * 101 and all(r.day == want[r.rule](r.year) for r in rows)
+    by_column = rules.select("rule", "year", dates.movable_rule(F.col("rule"), F.col("year"), dates.western_easter(F.col("year"))).alias("day")).filter("year < 2003").collect()
+    assert all(r.day == want[r.rule](r.year) for r in by_column)
+
+
 def test_days_and_ranges(spark):
-    f = catalog._feasts(spark)
+    f = feasts(spark)
+    days = spark.createDataFrame([(dt.date(2024, 11, 1),), (dt.date(2024, 4, 25),), (dt.date(2024, 3, 31),), (dt.date(2024, 2, 14),), (dt.date(2024, 2, 14),), (None,)], "day date")
+    assert sorted((r.id, r.day.isoformat()) for r in calendar.on_days(f, days, "anglican").collect()) == [(2, "2024-03-31"), (3, "2024-02-14"), (4, "2024-04-25"), (9, "2024-11-01")]
     day = F.lit("2025-04-20").cast("date")
     assert [r.primary_name for r in calendar.on_day(f, day, "anglican").collect()] == ["Easter Day"]
     found = calendar.in_range(f, F.lit(2025), F.lit("2025-04-01").cast("date"), F.lit("2025-04-30").cast("date"))
