@@ -37,6 +37,8 @@ WEAK_LITERALS = 3
 COMMON = 8
 #: Hashes of benchmark windows that are broadcast at once.
 BLOCK = 1_000_000
+#: Bytes of text whose windows are worked out at once; they take many times the room.
+AT_ONCE = 1 << 20
 #: Words over which an occurrence of an item may be scattered: so many times the item's, and so many at least.
 SPREAD, LEAST_SPREAD = 4, 64
 # Words that count as numbers and as units.
@@ -242,7 +244,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 out.append(_rows(t, ids, size, hashes[some], at[some], form[some], first[some]))
             return out
 
-        hits = map_slices(plain, "text", match, _FOUND)
+        hits = map_slices(plain, "text", match, _FOUND, AT_ONCE)
         found = hits if found is None else found.union(hits)
 
     # items of one template: the first stands for all of them, unless a window has the very words of another

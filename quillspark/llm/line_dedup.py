@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, texts, unused, written
 
+#: Bytes of text whose lines are digested at once.
+AT_ONCE = 1 << 20
 #: Keys of a range of hashes, whose two filters are in one task.
 RANGE_KEYS = 1 << 21
 #: Bits of a filter for each key or id.
@@ -154,7 +156,7 @@ def lost_lines(docs: DataFrame, id_col: str, text_col: str, shortest: int, least
         return pa.record_batch({"id": batch.column("id").take(pa.array(rows, pa.int64())), "h": pa.array(np.ascontiguousarray(halves[:, 0]), pa.int64()), "k": pa.array(np.ascontiguousarray(halves[:, 1]), pa.int64())})
 
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias(text_col))
-    held = written(map_slices(named, text_col, lines, f"id {kind}, h bigint, k bigint"), "line-digests")
+    held = written(map_slices(named, text_col, lines, f"id {kind}, h bigint, k bigint", AT_ONCE), "line-digests")
     total = held.count()
     again = written(suspects(held, total), "suspects")
     some = written(joined(held, again, ["h"], total), "suspected-lines")
