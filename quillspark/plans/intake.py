@@ -83,3 +83,75 @@ def audiobooks_taken_in(spark, folder):
     own = F.col("action") == "inserted"
     met = found.join(books, "document_id", "left").join(asked, "document_id", "left")
     return met.select("job_id", "action", F.when(own, F.col("title")).alias("title"), F.when(own, F.col("author")).alias("author"), F.when(own, F.col("jobs")).otherwise(0).alias("jobs"))
+
+
+# Posts, journals, commemorations, notebooks
+
+
+def _hash_embed(c):
+    return F.array(F.length(c).cast("float"))
+
+
+@query("""WITH p AS (SELECT 'at://' || source || '/' || doc_id % 700 AS uri, source AS author, text, doc_id AS seen, doc_id % 10 = 3 OR trim(coalesce(text, '')) = '' AS skips FROM documents),
+o AS (SELECT uri, arg_min(text, seen) AS text, min(seen) AS seen FROM p WHERE NOT skips GROUP BY uri), w AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY seen, uri) = 1 AS new FROM o)
+SELECT uri AS source_id, CASE WHEN new THEN 'inserted' ELSE 'existing' END AS action, CASE WHEN new THEN substr(text, 1, 80) END AS title FROM w UNION ALL SELECT DISTINCT uri, 'skipped', CAST(NULL AS VARCHAR) FROM p WHERE skips""")
+def posts_taken_in(spark, folder):
+    """All documents as posts: some share an address or a text, some are reposts."""
+    d = table(spark, folder, "documents")
+    found = d.select(F.concat(F.lit("at://"), "source", F.lit("/"), (F.col("doc_id") % 700).cast("string")).alias("uri"), F.col("source").alias("author"), "text", F.col("doc_id").alias("at"), (F.col("doc_id") % 10 == 3).alias("repost"))
+    log = _store(spark)
+    told = drivers.posts(log, found, _hash_embed)
+    titles = log.frame("documents", drivers.DOCUMENTS).select("document_id", "title")
+    return told.join(titles, "document_id", "left").select("source_id", "action", "title")
+
+
+@query("""WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS uuid, max(o_orderkey) FILTER (o_orderstatus <> 'O') AS before, max(o_orderkey) AS last FROM orders GROUP BY o_custkey)
+SELECT uuid AS source_id, CASE WHEN before IS NULL THEN 'inserted' WHEN before = last THEN 'skipped' ELSE 'updated' END AS action, o_orderpriority || ' ' || last AS title, coalesce(n_name, '') AS journal, CAST(1 AS BIGINT) AS chunks FROM a JOIN orders ON o_orderkey = last LEFT JOIN nation ON n_nationkey = o_custkey % 30""")
+def journal_taken_in(spark, folder):
+    """Customers' orders as entries that were edited again and again, taken in twice; journals are nations, some of them
+    missing."""
+    o = table(spark, folder, "orders")
+    entries = o.select(F.col("o_custkey").cast("string").alias("uuid"), F.concat(F.lit("## "), "o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("\nsome text")).alias("markdown"), F.lit(0.0).alias("created"), F.col("o_orderkey").cast("double").alias("modified"), F.lit(0).alias("starred"), (F.col("o_custkey") % 30).alias("journal"), "o_orderstatus")
+    journals = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.col("n_name").alias("name"))
+    log = _store(spark)
+    drivers.journal(log, entries.filter("o_orderstatus <> 'O'"), journals, _hash_embed)
+    told = drivers.journal(log, entries, journals, _hash_embed)
+    held = log.frame("documents", drivers.DOCUMENTS).select("document_id", "title", F.col("raw_path").alias("journal"))
+    pieces = log.frame("chunks", drivers.CHUNKS).groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return told.join(held, "document_id").join(pieces, "document_id").select("source_id", "action", "title", "journal", "chunks")
+
+
+@query("""WITH p AS (SELECT p_partkey, 'p' || CASE WHEN p_partkey % 50 = 49 THEN 1 ELSE p_partkey END || '_anglican' AS slug, p_size, p_partkey % 4 <> 0 AS known FROM part), t AS (SELECT *, count(*) OVER (PARTITION BY slug) AS twins FROM p)
+SELECT slug AS source_id, CASE WHEN twins > 1 OR p_size % 10 = 9 THEN 'failed' WHEN known THEN 'processed' ELSE 'no_feast' END AS action, CASE WHEN twins > 1 THEN 'slug given more than once' WHEN p_size % 10 = 9 THEN 'a collect without text' END AS error,
+CAST(CASE WHEN twins > 1 OR p_size % 10 = 9 THEN 0 ELSE 2 + CASE WHEN known AND p_size % 3 <> 0 THEN 1 ELSE 0 END END AS BIGINT) AS documents FROM t""")
+def commemorations_taken_in(spark, folder):
+    """Parts as commemorations: some have no feast or bio, some share a slug, some a collect without text."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    slug = F.concat(F.lit("p"), F.when(k % 50 == 49, F.lit(1)).otherwise(k).cast("string"), F.lit("_anglican"))
+    part = table(spark, folder, "part")
+    collect = lambda rite, said: F.struct(F.lit(rite).alias("rite"), said.alias("text"))
+    landed = part.select(slug.alias("slug"), F.col("p_name").alias("name"), F.when(s % 3 != 0, F.col("p_type")).alias("bio"), F.array(collect("rite_i", F.col("p_brand")), collect("rite_ii", F.when(s % 10 == 9, F.lit(" ")).otherwise(F.col("p_type")))).alias("collects"))
+    feasts = part.filter(k % 4 != 0).select(F.concat(F.lit("p"), k.cast("string"), F.lit("_anglican")).alias("slug"), k.alias("id"))
+    log = _store(spark)
+    told = drivers.commemorations(log, landed, feasts, _hash_embed)
+    made = log.frame("documents", drivers.DOCUMENTS).groupBy(F.regexp_replace("source_id", "_rite-i+$", "").alias("source_id")).agg(F.count("*").alias("documents"))
+    return told.join(made, "source_id", "left").select("source_id", "action", "error", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+@query("""WITH c AS (SELECT 'B' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS asin, turn // 3 AS page, turn, 'Loc ' || turn // 2 AS location, 'said ' || role || ' ' || turn AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY asin, location ORDER BY page, turn) AS n FROM c WHERE page % 5 <> 4)
+SELECT 'kindle_book' AS content_type, asin AS source_id, 'Book ' || asin AS title, CAST(NULL AS VARCHAR) AS content_hash FROM c GROUP BY asin
+UNION ALL SELECT 'kindle_highlight', asin || '#' || location, text, sha256(text) FROM o WHERE n = 1""")
+def notebooks_taken_in(spark, folder):
+    """Conversations as books with pages of highlights, some of which can't be read, in two runs of which the first is capped."""
+    c = table(spark, folder, "conversations").withColumn("asin", F.concat(F.lit("B"), F.lpad(F.col("conv_id").cast("string"), 9, "0"))).withColumn("page", F.floor(F.col("turn") / 3).cast("int"))
+    t = F.col("turn").cast("string")
+    card = F.concat(F.lit('<div class="kp-notebook-row-separator"><input id="kp-annotation-location" value="Loc '), F.floor(F.col("turn") / 2).cast("string"), F.lit('"><span id="highlight">said '), "role", F.lit(" "), t, F.lit("</span></div>"))
+    cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", card.alias("c")))), lambda x: x["c"]), "")
+    pages = c.groupBy("asin", "page").agg(cards.alias("cards")).select("asin", "page", F.when(F.col("page") % 5 == 4, "broken").otherwise(F.concat(F.lit('<div id="kp-notebook-annotations">'), "cards", F.lit("</div>"))).alias("html"))
+    book = F.concat(F.lit('<div class="kp-notebook-library-each-book" id="'), "asin", F.lit('"><h2 class="kp-notebook-searchable">Book '), "asin", F.lit("</h2></div>"))
+    library = c.groupBy("asin").agg(F.first(book).alias("html"))
+    log = _store(spark)
+    _, told = drivers.notebooks(log, library, pages, _hash_embed, cap=100)
+    drivers.notebooks(log, library, pages, _hash_embed, after=told["after"])
+    return log.frame("documents", drivers.DOCUMENTS).select("content_type", "source_id", "title", "content_hash")
