@@ -158,7 +158,8 @@ def manifest(rows: DataFrame, id_col: str, group_col: str, columns: Sequence[str
     """
     group = F.coalesce(F.concat(F.lit("1"), F.col(group_col).cast("string")), F.lit("0"))
     made = rows.select(group.alias("grp"), F.col(id_col).alias("id"), leaf_digest(*(F.col(c) for c in columns)).alias("digest"), *(c.alias(name) for name, c in (also or {}).items()))
-    leaves = written(placed(made, ["id", "digest"]), "leaves")
+    # as a table of its own, as ranges are found from a sample, and texts would be read and digested for it once more
+    leaves = written(placed(written(made, "leaf-digests"), ["id", "digest"]), "leaves")
     links, tops = tree(leaves, arity)
     over = tops.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "n", "level", "digest").withColumnsRenamed({"n": "own_n", "level": "height"})
     groups = written(placed(over, ["of"]), "groups")
