@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_phrases, phrase_in
 from ..functions.vectors import cosine_distance, norm, similarity
+from ..session import checkpointed
 
 MOST = 50
 
@@ -85,19 +86,26 @@ def over_floor(hits: DataFrame, floor: float) -> DataFrame:
 def title_matches(documents: DataFrame, seeds: DataFrame, limit: int = 5, eligible: Column | None = None) -> DataFrame:
     """Documents whose title, or a phrase derived from it, stands in a seed: for each seed the `limit` longest matches.
 
-    documents: id, title; seeds: seed_id (unique), seed. A phrase can only stand in a seed that holds its longest word, so
-    that words meet first, without texts; each seed then meets its candidate phrases once. A phrase without any word meets
-    all seeds.
+    documents: id, title; seeds: seed_id (unique), seed. A phrase can only stand in a seed that holds all of its words, so
+    that seeds' words that no phrase has go first, and each phrase then meets the seeds that hold its rarest word, once.
+    Phrases without any word meet all seeds.
     """
     chosen = documents.filter(F.col("title").isNotNull() & (F.length("title") >= 4) & (F.lit(True) if eligible is None else eligible))
     phrases = chosen.select("id", F.explode(match_phrases(F.col("title"))).alias("phrase"))
-    split = lambda c: F.split(F.lower(c), r"(?U)\W+")
-    longest = F.array_max(F.transform(split(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    phrases = phrases.withColumn("word", longest)
-    said = seeds.select("seed_id", F.explode(F.array_distinct(F.concat(split(F.col("seed")), F.array(F.lit(""))))).alias("word"))
-    near = said.join(phrases, "word").groupBy("seed_id").agg(F.collect_list(F.struct("id", "phrase")).alias("near"))
+    words_of = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), r"(?U)\W+")), "")
+    phrases = checkpointed(phrases.withColumn("words", words_of(F.col("phrase"))))
+    wanted = phrases.select(F.explode("words").alias("word")).distinct()
+    said = checkpointed(seeds.select("seed_id", F.explode(words_of(F.col("seed"))).alias("word")).join(wanted, "word", "left_semi"))
+    frequency = said.groupBy("word").agg(F.count("*").alias("df"))
+    # a phrase with a word that no seed holds stands in none
+    rated = phrases.select("id", "phrase", "words", F.explode("words").alias("word")).join(frequency, "word").groupBy("id", "phrase", "words").agg(F.min(F.struct("df", "word")).alias("rarest"), F.count("*").alias("held"))
+    rarest = rated.filter(F.col("held") == F.size("words")).select("id", "phrase", "rarest.word")
+    near = said.join(rarest, "word").groupBy("seed_id").agg(F.collect_list(F.struct("id", "phrase")).alias("near"))
     text = F.lower("seed")
     found = seeds.select("seed_id", "seed").join(near, "seed_id").select("seed_id", F.explode(F.filter("near", lambda p: phrase_in(p["phrase"], text))).alias("p"))
+    wordless = phrases.filter(F.size("words") == 0).select(F.struct("id", "phrase").alias("p"))
+    if not wordless.isEmpty():
+        found = found.unionByName(seeds.select("seed_id", text.alias("text")).join(wordless, F.contains("text", F.lower("p.phrase"))).filter(phrase_in(F.col("p.phrase"), F.col("text"))).select("seed_id", "p"))
     best = found.groupBy("seed_id", F.col("p.id").alias("id")).agg(F.max(F.length("p.phrase")).alias("matched"))
     order = Window.partitionBy("seed_id").orderBy(F.desc("matched"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

@@ -43,6 +43,10 @@ def test_title_matches(spark):
     docs = spark.createDataFrame([(1, "An Order for Compline"), (2, "Collect for Peace"), (3, "Psalm 23"), (4, "abc")], "id int, title string")
     seeds = spark.createDataFrame([(1, "we said compline, in peace, and PSALM 23 too"), (2, "psalm 234")], "seed_id int, seed string")
     assert [(r.seed_id, r.id, r["rank"]) for r in search.title_matches(docs, seeds).orderBy("seed_id", "rank").collect()] == [(1, 1, 1), (1, 3, 2)]
+    odd = spark.createDataFrame([(1, "????"), (2, "Peace Peace"), (3, "No such words"), (4, None), (5, "In Peace, and")], "id int, title string")
+    more = spark.createDataFrame([(1, "so????what"), (2, "peace peace in peace, and such words"), (3, None), (4, "")], "seed_id int, seed string")
+    assert [(r.seed_id, r.id) for r in search.title_matches(odd, more).orderBy("seed_id", "rank").collect()] == [(1, 1), (2, 5), (2, 2)]
+    assert search.title_matches(odd.limit(0), more).count() == 0 and search.title_matches(odd, more.limit(0)).count() == 0
 
 
 def test_two_key_first_wins(spark):
