@@ -18,7 +18,7 @@ from ..functions.liturgy import given
 from ..functions.text import ascii_slug, content_hash, let, strip
 from ..session import checkpointed
 from . import psalter
-from .scan import carried, states
+from .scan import carried, carried_within
 
 TRADITION = "anglican"
 # Folders of the parsers' pages, pages that aren't read, liturgies by their pages, marks of cells and headings.
@@ -47,10 +47,6 @@ def _page_number(c: Column, digits: str = "2,4") -> Column:
     return F.regexp_extract(c, rf"(?U)\b(\d{{{digits}}})\b", 1).try_cast("int")
 
 
-def _array(*values: int) -> Column:
-    return F.array(*map(F.lit, values))
-
-
 def _in_order(what: Column, when: Column, *order: str) -> Column:
     """The values where `when` holds, in the order of the rows."""
     return F.transform(F.sort_array(F.collect_list(F.when(when, F.struct(*order, what.alias("_x"))))), lambda x: x["_x"])
@@ -66,10 +62,8 @@ def _file(c: str) -> Column:
 
 def elements(pages: DataFrame) -> DataFrame:
     """page, at, the element's fields, error: a row for each element of pages (page, html), one with an error for each page
-    that can't be read. Kept in the shared folder, so that pages are read once."""
-    read = pages.select("page", page_elements("html").alias("f"))
-    rows = read.select("page", "f.error", F.posexplode_outer("f.elements").alias("at", "e"))
-    return checkpointed(rows.filter("error IS NOT NULL OR at IS NOT NULL").select("page", "at", "e.*", "error"))
+    that can't be read."""
+    return page_elements(pages, ["page"])
 
 
 def collects(rows: DataFrame) -> DataFrame:
@@ -86,15 +80,16 @@ def collects(rows: DataFrame) -> DataFrame:
     role = F.when(mark, "page").when(p & _has("topmenu"), None).when(p & _has("rubric"), F.when(text != "", "rubric")).when(p & _has("small", "x-small"), None).when(p & F.col("strong").isNotNull(), "heading").when(plain & F.contains("raw", F.lit("Amen")), "amen").when(plain & F.startswith("text", F.lit("Preface ")), "preface").when(plain, "text")
     told = rows.filter("at IS NOT NULL").withColumn("role", role).withColumn("number", F.when(F.col("role") == "page", _page_number(F.col("apart"))))
     is_role = lambda *names: F.coalesce(F.col("role").isin(*names), F.lit(False))
-    idle, heading, in_body, after = range(4)
-    step = F.when(is_role("heading"), _array(heading, heading, heading, heading)).when(is_role("amen"), _array(idle, after, after, after)).when(is_role("preface"), _array(idle, in_body, after, after)).when(is_role("text"), _array(idle, in_body, in_body, after)).otherwise(_array(idle, heading, in_body, after))
-    seen = states(told, "page", "at", step, 4)
-    seen = carried(seen, "page", "at", last={"page_before": F.col("number")}, total={"unit": is_role("heading").cast("int")})
-    state = F.col("state")
-    spoken = is_role("amen", "preface", "text")
-    is_preface = spoken & F.startswith("text", F.lit("Preface ")) & ((state == after) | (state == in_body) & is_role("preface"))
-    is_body = spoken & (state != idle) & ~is_preface
     first = is_role("heading")
+    # a page's elements come from one row, so that a page is bounded
+    seen = carried_within(told, "page", "at", last={"page_before": F.col("number")}, total={"unit": first.cast("int")})
+    before = Window.partitionBy("page", "unit").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    spoken, preface = is_role("amen", "preface", "text"), is_role("preface")
+    seen = seen.withColumn("begun", F.coalesce(F.max(spoken).over(before), F.lit(False)))
+    # a body is whole after an Amen, or after a preface that isn't its first paragraph
+    seen = seen.withColumn("whole", F.coalesce(F.max(is_role("amen") | preface & F.col("begun")).over(before), F.lit(False)))
+    is_preface = spoken & F.startswith("text", F.lit("Preface ")) & (F.col("whole") | F.col("begun") & preface)
+    is_body = spoken & ~is_preface
     units = seen.filter("unit > 0").groupBy("page", "unit").agg(
         F.min("at").alias("at"),
         F.max(F.when(first, F.regexp_replace("strong", r"(?U)^\d+\.\s+", ""))).alias("feast_name"),
@@ -115,11 +110,6 @@ def _titled(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)")), lambda x: F.initcap(x)), "")
 
 
-def _first_sure(following: Column) -> Column:
-    """Of the elements ahead (struct<code, ..>) the first whose code isn't 0."""
-    return F.get(F.filter(following, lambda x: x["code"] != 0), F.lit(0))
-
-
 def offices(rows: DataFrame) -> DataFrame:
     """Units of offices' elements: page, at, slug, name, rite, office, kind, body_text, rubrics, season, source_anchor,
     page_number, raw_metadata.
@@ -141,21 +131,25 @@ def offices(rows: DataFrame) -> DataFrame:
     kind = kind.when(p & F.col("strong").isNotNull(), "strong").when(p & named_id, F.when(spaced != "", "anchor")).when(p & (spaced != ""), F.when(liturgy.season_named(spaced).isNotNull(), "season").otherwise("text"))
     # a page's elements come from one row, so that a page is bounded
     ahead = lambda n: Window.partitionBy("page").orderBy("at").rowsBetween(1, n)
-    sentence = F.struct(F.when(silent, 0).when(p, 1).otherwise(2).alias("code"), "at", "spaced")
-    passage = F.struct(F.when(silent, 0).when(p, F.when(F.length("spaced") < SHORTEST_BODY, 0).otherwise(1)).otherwise(2).alias("code"))
-    told = told.withColumn("kind", kind).withColumn("next", _first_sure(F.collect_list(sentence).over(ahead(SENTENCE_AHEAD)))).withColumn("passage", _first_sure(F.collect_list(passage).over(ahead(LOOKED_AHEAD)))["code"])
+    sentence = F.when(~silent, F.struct(F.when(p, 1).otherwise(2).alias("code"), "at", "spaced"))
+    passage = F.when(~silent & ~(p & (F.length("spaced") < SHORTEST_BODY)), F.when(p, 1).otherwise(2))
+    told = told.withColumns({"kind": kind, "next": F.first(sentence, ignorenulls=True).over(ahead(SENTENCE_AHEAD)), "passage": F.first(passage, ignorenulls=True).over(ahead(LOOKED_AHEAD))})
     heading = (F.length("spaced") <= LONGEST_HEADING) & (F.regexp_like("spaced", F.lit(COLLECT_HEADING)) | F.regexp_like("spaced", F.lit(KNOWN_HEADING))) & (F.col("passage") == 1)
     told = told.withColumn("kind", F.when((F.col("kind") == "text") & p & F.coalesce(heading, F.lit(False)), "collect").otherwise(F.col("kind")))
     season = liturgy.season_named(spaced)
     told = told.withColumn("season", F.when(F.col("kind") == "season", season)).withColumn("said", F.when(F.col("kind") == "season", strip(F.substring(spaced, F.length(season) + 1, F.length(spaced)))))
-    taken = F.when((F.col("said") == "") & (F.col("next.code") == 1), (F.col("next.at") - F.col("at")).cast("int")).otherwise(0)
-    # the state is how many of the elements that come are said already
-    told = states(told.withColumn("taken", taken), "page", "at", F.array(F.col("taken"), F.lit(0), F.lit(1), F.lit(2)), SENTENCE_AHEAD + 1).filter("state = 0")
+    # the place of the paragraph that a lone season's name takes; one that is taken itself takes none, so that of names which
+    # take each other every second one does
+    told = told.withColumn("takes", F.when((F.col("said") == "") & (F.col("next.code") == 1), F.col("next.at")))
+    before = Window.partitionBy("page").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumn("linked", F.coalesce(F.last("takes", ignorenulls=True).over(before) == F.col("at"), F.lit(False)))
+    told = carried_within(told, "page", "at", total={"taking": F.col("takes").isNotNull().cast("int")})
+    told = carried_within(told, "page", "at", last={"chain": F.when(F.col("takes").isNotNull() & ~F.col("linked"), F.col("taking"))})
+    told = told.withColumn("takes", F.when((F.col("taking") - F.col("chain")) % 2 == 0, F.col("takes")))
+    told = told.withColumn("said_to", F.last("takes", ignorenulls=True).over(before)).filter(F.col("said_to").isNull() | (F.col("said_to") < F.col("at")))
     opens = F.coalesce(F.col("kind").isin("title", "table", "headed", "strong", "anchor", "season", "collect"), F.lit(False))
     number = F.when(F.col("kind") == "page", _page_number(F.col("apart")))
-    # places without the elements that say nothing more, one after the other
-    told = told.withColumn("number", number).withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("at")) - 1)
-    seen = carried(told, "page", "place", last={"page_before": F.col("number")}, total={"unit": opens.cast("int")}).filter("unit > 0")
+    seen = carried_within(told.withColumn("number", number), "page", "at", last={"page_before": F.col("number")}, total={"unit": opens.cast("int")}).filter("unit > 0")
     strong = F.coalesce(given(F.when(F.regexp_like("strong", F.lit(r"(?U)^\d+$")), liturgy.numbered_heading(F.col("raw"))).otherwise(F.col("strong"))), spaced)
     name = F.when(F.col("kind") == "strong", strong).when(F.col("kind") == "table", _titled(F.translate("id", "_-", "  "))).when(F.col("kind") == "headed", F.col("strong")).when(F.col("kind") == "season", F.concat(F.lit("Opening Sentence ("), F.col("season"), F.lit(")"))).otherwise(spaced)
     rest = F.when(F.contains(spaced, F.col("strong")), strip(F.substring(spaced, F.length("strong") + 1, F.length(spaced)))).otherwise(spaced)
@@ -195,7 +189,7 @@ def proper_liturgies(rows: DataFrame) -> DataFrame:
     section = F.when(F.col("kind") == "head", heading).when(F.col("kind") == "strong", F.col("strong"))
     number = F.regexp_extract("psalm", r"(\d+)", 1).try_cast("int")
     last = {"named": section, "page_number": F.when(F.col("kind") == "page", _page_number(F.col("apart"))), "psalm_seen": F.when(F.col("kind") == "psalm", number)}
-    seen = carried(told.withColumn("kind", kind), "page", "at", last=last).withColumn("section", F.coalesce("named", "liturgy_name"))
+    seen = carried_within(told.withColumn("kind", kind), "page", "at", last=last).withColumn("section", F.coalesce("named", "liturgy_name"))
     under = lambda what: F.concat(what, F.lit(" ("), F.col("section"), F.lit(")"))
     none = F.lit(None).cast("string")
 
@@ -228,13 +222,9 @@ def proper_liturgies(rows: DataFrame) -> DataFrame:
 
 def text_events(pages: DataFrame) -> DataFrame:
     """book, page, seq, at, the event's kind, text and number, error: a row for each event of pages (book, seq: the page's place
-    in the book, page, html), and one with an error for each page that can't be read; place: an event's place in its book."""
-    read = pages.select("book", "seq", "page", page_events("html").alias("f"))
-    rows = checkpointed(read.select("book", "seq", "page", "f.error", F.posexplode_outer("f.events").alias("at", "e")).filter("error IS NOT NULL OR at IS NOT NULL").select("book", "seq", "page", "at", "e.*", "error"))
-    held = rows.groupBy("book", "seq").agg(F.count("at").alias("held"))
-    ahead = Window.partitionBy("book").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = held.select("book", "seq", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
-    return rows.join(before, ["book", "seq"]).withColumn("place", F.when(F.col("at").isNotNull(), F.col("before") + F.col("at"))).drop("before")
+    in the book, page, html), and one with an error for each page that can't be read. Kept in the shared folder, so that pages
+    are read once."""
+    return checkpointed(page_events(pages, ["book", "seq", "page"]))
 
 
 def prayers(events: DataFrame, genre: Column) -> DataFrame:
@@ -248,10 +238,11 @@ def prayers(events: DataFrame, genre: Column) -> DataFrame:
     heading = lambda i: F.regexp_extract("text", r"(?s)^(\d+)\. (.*)$", i)
     starts = F.coalesce((F.col("kind") == "start") & (heading(1) != ""), F.lit(False))
     number = F.when(F.col("kind") == "page", _page_number(F.col("text"), "3,4"))
-    told = events.filter("place IS NOT NULL").withColumn("starts", starts).withColumn("marked", number)
-    seen = carried(told, "book", "place", last={"page_before": F.col("marked"), "section": F.when(F.col("kind") == "section", F.col("text"))}, total={"unit": F.col("starts").cast("int")}).filter("unit > 0")
+    told = events.filter("at IS NOT NULL").withColumn("starts", starts).withColumn("marked", number).withColumn("place", F.struct("seq", "at")).withColumn("kept", ~liturgy.is_cross_reference(F.col("text")))
+    # a page is a chunk of its book
+    seen = carried(told, "book", "at", chunk=F.col("seq"), last={"page_before": F.col("marked"), "section": F.when(F.col("kind") == "section", F.col("text"))}, total={"unit": F.col("starts").cast("int")}).filter("unit > 0")
     first = F.col("starts")
-    kept = ~liturgy.is_cross_reference(F.col("text"))
+    kept = F.col("kept")
     units = seen.groupBy("book", "unit").agg(
         F.max(F.when(first, F.col("page"))).alias("page"),
         F.max(F.when(first, F.col("at"))).alias("at"),
@@ -260,11 +251,10 @@ def prayers(events: DataFrame, genre: Column) -> DataFrame:
         F.max(F.when(first, F.col("number").cast("string"))).alias("source_anchor"),
         F.coalesce(F.max(F.when(first, F.col("section"))), F.lit("")).alias("section_header"),
         F.coalesce(F.max(F.when(first, F.col("page_before"))), F.min_by("marked", F.when(F.col("marked").isNotNull(), F.col("place")))).alias("page_number"),
-        F.array_join(_in_order(F.col("text"), (F.col("kind") == "text") & kept, "place"), " ").alias("spoken"),
+        F.array_join(_in_order(F.col("text"), (F.col("kind") == "text") & kept, "place"), " ").alias("body_text"),
         _in_order(F.col("text"), (F.col("text") != "") & ((F.col("kind") == "rubric") | (F.col("kind") == "note") & kept), "place").alias("rubrics"),
     )
-    body = strip(F.regexp_replace("spoken", r"(?U)\s+", " "))
-    made = units.withColumn("genre", genre).withColumn("body_text", body).filter("title <> '' AND body_text <> ''")
+    made = units.withColumn("genre", genre).filter("title <> '' AND body_text <> ''")
     made = made.withColumn("body_text", F.when((F.col("genre") == "thanksgiving") & (F.col("prayer_number") == 1), F.regexp_replace("body_text", r"^\(1979 Version\)\s*", "")).otherwise(F.col("body_text")))
     made = made.withColumn("slug", liturgy.prayer_slug(F.col("title"), F.col("genre"), F.col("prayer_number")))
     fields = ["prayer_number", "section_header", "source_anchor", F.col("book").alias("source_file"), "page_number", "genre", F.lit("devotional_manual").alias("category"), F.lit(TRADITION).alias("tradition"), F.lit("bcp_1979").alias("source")]
@@ -310,7 +300,7 @@ def units(pages: DataFrame, parsers: list[str] | None = None) -> DataFrame:
             made = prayers(rows, liturgy.looked_up(_file("book"), PRAYER_PAGES))
             out.append(_unit(made, parser, source_id="slug", source_uri=F.concat(text("bcp1979://prayers_and_thanksgivings/"), "slug"), title="title", body="body_text", category=text("devotional_manual"), genre="genre", canonical_id="slug", raw_metadata="raw_metadata", embed_text=liturgy.prayer_text(F.col("title"), F.col("genre"), F.col("section_header"), F.col("body_text"))))
         else:
-            rows = elements(own)
+            rows = checkpointed(elements(own))
             if parser == "collects":
                 made = collects(rows)
                 out.append(_unit(made, parser, source_id=F.concat_ws("__", "feast_slug", "rite"), source_uri=F.concat(text("bcp1979://collects/"), "section", text("/"), "feast_slug"), title="feast_name", body="body_text", category=text("liturgical_proper"), genre=text("collect"), language_register=liturgy.register(F.col("rite")), canonical_id="canonical_id", raw_metadata="raw_metadata", embed_text=liturgy.collect_text(F.col("feast_name"), F.col("rite"), F.col("section"), F.col("body_text"))))
@@ -339,7 +329,9 @@ def ingested(stored: DataFrame, pages: DataFrame, parsers: list[str] | None = No
     parser, page and place, unless it is stored; the others are skipped. A content hash that a stored document or an earlier
     unit has is null. The rows are in the shared folder, and counted while they are written.
     """
-    every = units(pages, parsers)
+    # every unit is met with the stored ones and with all others: written once, parsing is no part of those plans
+    every = checkpointed(units(pages, parsers))
+    stored = checkpointed(stored.select("source_id", "content_hash"))
     rank = F.array_position(F.array(*map(F.lit, parsers or list(FOLDERS))), F.col("parser"))
     order = F.struct(rank.alias("parser"), "page", "at", "part")
     told = every.withColumn("order", order).withColumn("content_hash", F.when(F.col("error").isNull(), content_hash(F.col("body"))))

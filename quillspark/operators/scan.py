@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 CHUNK = 256
 
 
-def carried(rows: DataFrame, key: str, at: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, chunk: int = CHUNK) -> DataFrame:
+def carried_within(rows: DataFrame, key: str, at: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None) -> DataFrame:
+    """What carried gives, for keys that each fit a task: one window, which a following one or a group by the key shares."""
+    upto = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = {n: F.last(c, ignorenulls=True).over(upto) for n, c in (last or {}).items()}
+    return rows.withColumns(told | {n: F.sum(F.coalesce(c, F.lit(0))).over(upto) for n, c in (total or {}).items()})
+
+
+def carried(rows: DataFrame, key: str, at: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, chunk: int | Column = CHUNK) -> DataFrame:
     """rows with, for each name in `last`, the expression's last value that isn't null up to and with the row, and for each
     name in `total` the sum of the expression up to and with the row (nulls count as 0).
 
-    A null key is a key of its own. Without rows the result is empty.
+    A null key is a key of its own. Without rows the result is empty. chunk: places of a chunk, or else the row's chunk, where
+    the rows of a chunk come together and `at` is their order in it.
     """
     last, total = last or {}, total or {}
-    made = rows.withColumn("_chunk", F.floor(F.col(at) / chunk))
+    made = rows.withColumn("_chunk", chunk if isinstance(chunk, Column) else F.floor(F.col(at) / chunk))
     made = made.withColumns({f"_own_{n}": c for n, c in {**last, **{n: F.coalesce(c, F.lit(0)) for n, c in total.items()}}.items()})
     own = lambda n: F.col(f"_own_{n}")
     sums = [F.max_by(own(n), F.when(own(n).isNotNull(), F.col(at))).alias(f"_of_{n}") for n in last] + [F.sum(own(n)).alias(f"_of_{n}") for n in total]

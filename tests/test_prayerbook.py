@@ -289,3 +289,25 @@ def test_headings_and_kinds(spark):
     assert all(r.w == r.g for r in got), got
     got = spark.createDataFrame([(n, b, w) for (n, b), w in kinds.items()], "n string, b string, w string").select("n", "b", "w", liturgy.unit_kind(F.col("n"), F.col("b")).alias("g")).collect()
     assert all(r.w == r.g for r in got), [r for r in got if r.w != r.g]
+
+
+# Plans
+
+
+def test_ingest_plans_hold_no_parsing(spark, monkeypatch):
+    """What is met with the stored units is a table, not the parsers' plan over and over."""
+    collect = "<body><p><strong>Advent</strong></p><p>Give us grace. Amen.</p></body>" + " " * 1100
+    landed = spark.createDataFrame([("a/collects/seasonst.html", collect)], "path string, html string")
+    stored = spark.createDataFrame([], "source_id string, content_hash string")
+    plans, write = [], prayerbook.checkpointed
+    monkeypatch.setattr(prayerbook, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or write(df))
+    prayerbook.ingested(stored, landed, ["collects"])
+    assert "MapInArrow" not in plans[-1] and "Window" not in plans[-1]
+
+
+def test_scans_of_pages_shuffle_once(spark):
+    """A page's elements are dealt by their page once, for all that is carried over them and for its units."""
+    rows = prayerbook.elements(pages(spark, {"a/collects/x.html": "<p><strong>A</strong></p><p>B</p>"}))
+    for made in (prayerbook.collects(rows), prayerbook.offices(rows), prayerbook.proper_liturgies(rows)):
+        assert made._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
