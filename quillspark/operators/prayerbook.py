@@ -110,7 +110,7 @@ def _titled(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)")), lambda x: F.initcap(x)), "")
 
 
-def offices(rows: DataFrame) -> DataFrame:
+def offices(rows: DataFrame, marked: str | None = None) -> DataFrame:
     """Units of offices' elements: page, at, slug, name, rite, office, kind, body_text, rubrics, season, source_anchor,
     page_number, raw_metadata.
 
@@ -118,7 +118,11 @@ def offices(rows: DataFrame) -> DataFrame:
     short lines that name a collect where a paragraph of some length comes within the next seven elements. An opening
     sentence is a unit of its own: a season's name with the sentence behind it, or with the next paragraph of the three
     elements after it, which then says nothing else. What follows such a unit belongs to none.
+
+    marked: a class, for books that mark their opening sentences and names of collects; paragraphs without it are text then,
+    whatever they begin with.
     """
+    own_mark = F.lit(True) if marked is None else _has(marked)
     office = liturgy.page_office(F.col("page"))
     spaced = F.col("spaced")
     p, table = _is("p"), _is("table")
@@ -128,13 +132,13 @@ def offices(rows: DataFrame) -> DataFrame:
     told = rows.filter("at IS NOT NULL").withColumn("o", office).select("*", "o.office", "o.rite").drop("o")
     kind = F.when(mark, "page").when(skipped, None).when(_is("h1"), F.when((spaced != "") & F.col("office").isin(TITLED_OFFICES), "title")).when(_is("h2", "h3", "h4"), F.when((spaced != "") & (F.col("office") == "great_litany"), "title"))
     kind = kind.when(p & _has("rubric"), F.when(spaced != "", "rubric")).when(table & named_id, "table").when(table & _has("gentable") & F.col("strong").isNotNull(), "headed").when(table, F.when(spaced != "", "text"))
-    kind = kind.when(p & F.col("strong").isNotNull(), "strong").when(p & named_id, F.when(spaced != "", "anchor")).when(p & (spaced != ""), F.when(liturgy.season_named(spaced).isNotNull(), "season").otherwise("text"))
+    kind = kind.when(p & F.col("strong").isNotNull(), "strong").when(p & named_id, F.when(spaced != "", "anchor")).when(p & (spaced != ""), F.when(own_mark & liturgy.season_named(spaced).isNotNull(), "season").otherwise("text"))
     # a page's elements come from one row, so that a page is bounded
     ahead = lambda n: Window.partitionBy("page").orderBy("at").rowsBetween(1, n)
     sentence = F.when(~silent, F.struct(F.when(p, 1).otherwise(2).alias("code"), "at", "spaced"))
     passage = F.when(~silent & ~(p & (F.length("spaced") < SHORTEST_BODY)), F.when(p, 1).otherwise(2))
     told = told.withColumns({"kind": kind, "next": F.first(sentence, ignorenulls=True).over(ahead(SENTENCE_AHEAD)), "passage": F.first(passage, ignorenulls=True).over(ahead(LOOKED_AHEAD))})
-    heading = (F.length("spaced") <= LONGEST_HEADING) & (F.regexp_like("spaced", F.lit(COLLECT_HEADING)) | F.regexp_like("spaced", F.lit(KNOWN_HEADING))) & (F.col("passage") == 1)
+    heading = own_mark & (F.length("spaced") <= LONGEST_HEADING) & (F.regexp_like("spaced", F.lit(COLLECT_HEADING)) | F.regexp_like("spaced", F.lit(KNOWN_HEADING))) & (F.col("passage") == 1)
     told = told.withColumn("kind", F.when((F.col("kind") == "text") & p & F.coalesce(heading, F.lit(False)), "collect").otherwise(F.col("kind")))
     season = liturgy.season_named(spaced)
     told = told.withColumn("season", F.when(F.col("kind") == "season", season)).withColumn("said", F.when(F.col("kind") == "season", strip(F.substring(spaced, F.length(season) + 1, F.length(spaced)))))

@@ -4,12 +4,16 @@ import json
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import blocks, liturgy
 from quillspark.functions import tree as trees
 from quillspark.operators import prayerbook, scan
+from quillspark.plans import catalog, pages as page_queries  # noqa: F401
+
+from .parity import duck_rows, spark_rows
 
 BROKEN = "<div>" * 2000 + "deep"
 
@@ -311,3 +315,13 @@ def test_scans_of_pages_shuffle_once(spark):
     for made in (prayerbook.collects(rows), prayerbook.offices(rows), prayerbook.proper_liturgies(rows)):
         assert made._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
         assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+
+
+def test_a_line_that_begins_like_a_season_is_text(spark, tmp_path):
+    """Invented prose begins with Easter now and then; the office's SQL takes it for text."""
+    lines = ["Heading no", "Easter, atenti ononanre then", "x" * 60, "Advent and anthndly the", "A Collect for y", "y" * 58, "The Collect of the Day abcde", "z" * 58]
+    lines = [t + "." * ((want - len(t)) % 10) for t, want in zip(lines, (10, 8, 8, 9, 5, 8, 9, 8))]
+    spark.createDataFrame([(1, "\n".join(lines), "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert spark_rows(catalog.QUERIES["office_units"](spark, str(tmp_path))) == duck_rows(con, catalog.ORACLE_SQL["office_units"])
