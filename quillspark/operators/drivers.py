@@ -288,7 +288,7 @@ def notebooks(log: Commits, library: DataFrame, pages: DataFrame, embed: Embed,
     last = taken.agg(F.max(at).alias("at"), F.count("*").alias("n")).first()
     place = (last["at"]["asin"], last["at"]["page"]) if last["at"] else after
     more = cap is not None and last["n"] == cap and not left.filter((F.col("asin") > place[0]) | (F.col("asin") == place[0]) & (F.col("page") > place[1])).isEmpty()
-    named = library.select(F.explode(tree.notebook_books(F.col("html"))).alias("b")).groupBy("b.asin").agg(F.min(F.struct("b.title", "b.authors")).alias("n")).select("asin", "n.title", "n.authors")
+    named = tree.rows_of_books(library, []).groupBy("asin").agg(F.min(F.struct("title", "authors")).alias("n")).select("asin", "n.title", "n.authors")
     found = taken.select("asin", "page", F.posexplode("f.highlights").alias("i", "h")).select("asin", "page", "i", "h.text", "h.note", "h.location")
     key = F.coalesce("location", F.substring(F.sha2("text", 256), 1, 12))
     marks = found.withColumn("source_id", F.concat_ws("#", "asin", key)).groupBy("source_id").agg(F.min_by(F.struct("asin", "text", "note"), F.struct("page", "i")).alias("h")).select("source_id", "h.*")

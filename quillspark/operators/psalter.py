@@ -1,13 +1,15 @@
-"""Psalms from the rows of psalter pages: rows as data, sorted into starts, days, headings and verses by windows."""
+"""Psalms from the rows of psalter pages: rows as data, sorted into starts, days, headings and verses by scans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import liturgy
 from ..functions.dates import psalm_book
-from ..functions.tree import table_rows
+from ..functions.tree import rows_of_tables
+from ..session import checkpointed
+from .scan import carried
 
 # Pages without psalms, and headings that aren't a psalm's.
 NO_PSALMS = ["psalter.html", "concerning_the_psalter.html", "psalter_30day.html"]
@@ -18,9 +20,11 @@ def psalms(pages: DataFrame) -> DataFrame:
     """Psalms of pages (page: its file name, html): page, number, slug, title, latin_incipit, book, verses (array of
     struct<number, text>), headings (verse number to the heading before it), days (verse number to the day's mark).
 
-    A page fits a task; a psalm without verses is left out.
+    A page may come in parts (part: their order), cut between rows of its tables; a part fits a task, and so does a psalm. A
+    psalm without verses is left out.
     """
-    rows = pages.filter(~F.col("page").isin(NO_PSALMS)).select("page", F.posexplode(table_rows("html")).alias("at", "row")).select("page", "at", "row.cells")
+    parts = pages if "part" in pages.columns else pages.withColumn("part", F.lit(0))
+    rows = rows_of_tables(parts.filter(~F.col("page").isin(NO_PSALMS)), ["page", "part"])
     cell = lambda name: F.get(F.filter("cells", lambda c: F.array_contains(c["classes"], name)), F.lit(0))["text"]
     content = F.get(F.filter("cells", lambda c: ~F.array_contains(c["classes"], "vsnum")), F.lit(0))
     mark = lambda name: F.get(F.filter(F.transform("cells", lambda c: F.element_at(c["marks"], name)), lambda t: t.isNotNull()), F.lit(0))
@@ -29,13 +33,13 @@ def psalms(pages: DataFrame) -> DataFrame:
     day = liturgy.given(cell("psday"))
     heading = F.when(verse.isNull() & mark("psnum").isNull() & ~strong.isin(BOOKS), liturgy.given(strong))
     kinds = F.when(start.isNotNull(), "start").when(day.isNotNull(), "day").when(heading.isNotNull(), "heading").when(verse.isNotNull() & (content["text"] != ""), "verse")
-    told = rows.select("page", "at", kinds.alias("kind"), start.alias("start"), verse.alias("verse"), day.alias("day"), heading.alias("heading"), content["text"].alias("text"), F.when(start.isNotNull(), liturgy.given(mark("pslatin"))).alias("latin")).filter("kind IS NOT NULL")
-    order = Window.partitionBy("page").orderBy("at")
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    n = F.sum(F.when(F.col("kind") == "start", 1).otherwise(0))
-    # a day's mark before the first psalm is that psalm's
-    of = told.withColumn("psalm", F.greatest(F.lit(1), n.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))).withColumn("next", F.first(F.when(F.col("kind") == "verse", F.col("verse")), ignorenulls=True).over(ahead))
-    pick = lambda kind, *fields: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", *fields)))), lambda x: x.dropFields("at"))
+    told = rows.select("page", "part", "at", kinds.alias("kind"), start.alias("start"), verse.alias("verse"), day.alias("day"), heading.alias("heading"), content["text"].alias("text"), F.when(start.isNotNull(), liturgy.given(mark("pslatin"))).alias("latin")).filter("kind IS NOT NULL")
+    told = checkpointed(told)  # met four times by what follows
+    # a day's mark before the first psalm is that psalm's; a part is a chunk of its page
+    of = carried(told, "page", "at", chunk=F.col("part"), total={"starts": (F.col("kind") == "start").cast("int")})
+    back = of.withColumn("psalm", F.greatest(F.lit(1), F.col("starts"))).withColumn("back", -F.col("at"))
+    of = carried(back, "page", "back", chunk=-F.col("part"), last={"next": F.when(F.col("kind") == "verse", F.col("verse"))})
+    pick = lambda kind, *fields: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("part", "at", *fields)))), lambda x: x.dropFields("part", "at"))
     by = of.groupBy("page", "psalm").agg(F.max("start").alias("number"), F.max("latin").alias("latin_incipit"), pick("verse", F.col("verse").alias("number"), "text").alias("verses"), pick("heading", F.col("next").alias("key"), F.col("heading").alias("value")).alias("h"), pick("day", F.col("next").alias("key"), F.col("day").alias("value")).alias("d"))
     # of several marks before one verse the last counts
     last = lambda c: F.map_from_entries(F.filter(c, lambda x, i: x["key"].isNotNull() & ~F.exists(F.slice(c, i + 2, F.size(c)), lambda y: y["key"] == x["key"])))
