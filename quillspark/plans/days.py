@@ -47,10 +47,15 @@ fd AS (SELECT f.*, v.year, v.easter, CASE WHEN calendar_type <> 'movable' THEN t
   ELSE make_date(v.year, 1, 6) + CAST(7 - dayofweek(make_date(v.year, 1, 6)) AS INT) END AS day FROM f JOIN v USING (tradition) JOIN adv ON adv.year = v.year)"""
 
 
-@query(f"WITH {_EASTER_SQL} SELECT year, western, orthodox FROM e")
+# the years of orders and all those of the two centuries; the calendars part by a day more in 2100
+_ALL_EASTERS_SQL = _EASTER_SQL.replace("FROM orders)", "FROM orders UNION SELECT CAST(unnest(range(1900, 2101)) AS INT))").replace("+ 13 AS orthodox", "+ CAST(b - b // 4 - 2 AS INT) AS orthodox")
+
+
+@query(f"WITH {_ALL_EASTERS_SQL} SELECT year, western, orthodox FROM e")
 def easter_dates(spark, folder):
-    """Both Easters of every year with an order."""
-    return _years(spark, folder).select("year", dates.western_easter(F.col("year")).alias("western"), dates.orthodox_easter(F.col("year")).alias("orthodox"))
+    """Both Easters of every year from 1900 to 2100 and of every year with an order."""
+    years = _years(spark, folder).union(spark.range(1900, 2101).select(F.col("id").cast("int").alias("year"))).distinct()
+    return years.select("year", dates.western_easter(F.col("year")).alias("western"), dates.orthodox_easter(F.col("year")).alias("orthodox"))
 
 
 @query(f"WITH {_DATED_SQL} SELECT id, date_rule AS rule, tradition, year, day FROM fd WHERE calendar_type = 'movable'")
