@@ -98,26 +98,28 @@ def fuzzy_best(wanted: DataFrame, stored: DataFrame, threshold: float = 0.7) ->
     Two titles that similar share one of a title's rarest words: of n words, all but ceil(threshold * n) - 1. Only these
     words are joined, so that common words make no pairs.
     """
-    toks = lambda c: F.array_distinct(words(match_key(c)))
+    toks = lambda c: F.array_sort(F.array_distinct(words(match_key(c))))
     w = wanted.select("wanted_id", toks(F.col("title")).alias("w_title"), toks(F.col("author")).alias("w_author"))
-    s = stored.select("id", toks(F.col("title")).alias("s_title"), toks(F.col("author")).alias("s_author"))
-    every = s.select(F.explode("s_title").alias("word")).unionAll(w.select(F.explode("w_title").alias("word")))
-    frequency = every.groupBy("word").agg(F.count("*").alias("df"))
+    # of stored rows with the same words only the smallest id can be the best; titles with the same words are one
+    s = stored.select("id", toks(F.col("title")).alias("s_title"), toks(F.col("author")).alias("s_author")).groupBy("s_title", "s_author").agg(F.min("id").alias("id"))
+    titles = [frame.select(F.col(c).alias("title")).distinct() for frame, c in ((w, "w_title"), (s, "s_title"))]
+    frequency = titles[0].unionAll(titles[1]).select(F.explode("title").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
-    def rarest(frame: DataFrame, key: str, title: str) -> DataFrame:
-        of = frame.select(key, F.size(title).alias("n"), F.explode(title).alias("word")).join(frequency, "word")
-        order = Window.partitionBy(key).orderBy("df", "word")
-        return of.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(key, "word", "n")
+    def rarest(frame: DataFrame) -> DataFrame:
+        of = frame.select("title", F.size("title").alias("n"), F.explode("title").alias("word")).join(frequency, "word")
+        order = Window.partitionBy("title").orderBy("df", "word")
+        return of.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("title", "word", "n")
 
-    a, b = rarest(w, "wanted_id", "w_title"), rarest(s, "id", "s_title").withColumnRenamed("n", "m")
+    a, b = rarest(titles[0]).withColumnRenamed("title", "w_title"), rarest(titles[1]).withColumnsRenamed({"title": "s_title", "n": "m"})
     alike = (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold - 1e-9))
-    pairs = a.join(b, "word").filter(alike).select("wanted_id", "id").distinct()
-    met = pairs.join(w, "wanted_id").join(s, "id")
     t, au = jaccard(F.col("w_title"), F.col("s_title")), jaccard(F.col("w_author"), F.col("s_author"))
-    score = F.when((F.size("w_author") > 0) & (F.size("s_author") > 0), 0.7 * t + 0.3 * au).otherwise(t)
-    scored = met.withColumn("title_score", t).filter(F.col("title_score") >= threshold).withColumn("score", score)
-    order = Window.partitionBy("wanted_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("wanted_id", "id", "score")
+    pairs = a.join(b, "word").filter(alike).select("w_title", "s_title").distinct().withColumn("title_score", t).filter(F.col("title_score") >= threshold)
+    # authors meet under their titles, each pair of them once
+    authors = w.select("w_title", "w_author").distinct().join(pairs, "w_title").join(s, "s_title")
+    score = F.when((F.size("w_author") > 0) & (F.size("s_author") > 0), 0.7 * F.col("title_score") + 0.3 * au).otherwise(F.col("title_score"))
+    best = authors.withColumn("score", score).groupBy("w_title", "w_author").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("best"))
+    found = w.join(best, ["w_title", "w_author"]).groupBy("wanted_id").agg(F.min("best").alias("best"))
+    return found.select("wanted_id", "best.id", (-F.col("best.less")).alias("score"))
 
 
 def greedy_distinct(rows: DataFrame, group: str, order: str, text: str, threshold: float = 0.85) -> DataFrame:
