@@ -395,7 +395,7 @@ _LINKS_SQL = """l AS (SELECT page_id, url, unnest(range(len(h))) AS position, re
 @query(f"WITH {_LINKS_SQL} SELECT page_id, url, CAST(position AS INT) AS position, target FROM l")
 def page_links(spark, folder):
     """Every link of every page, absolute."""
-    return table(spark, folder, "pages").select("page_id", "url", F.posexplode(html.links("html", "url")).alias("position", "target"))
+    return html.rows_of_links(table(spark, folder, "pages"), ["page_id", "url"])
 
 
 @query(f"""WITH {_LINKS_SQL} SELECT DISTINCT url, CAST(0 AS INT) AS round FROM pages UNION ALL
@@ -403,7 +403,7 @@ SELECT DISTINCT target, 1 FROM l WHERE lower(regexp_extract(url, '//([^/:?#]+)',
 def crawl_frontier(spark, folder):
     """Pages and targets by the round in which a crawl from all pages reaches them, within the pages' hosts."""
     pages = table(spark, folder, "pages")
-    links = pages.select("url", F.explode(html.links("html", "url")).alias("target"))
+    links = html.rows_of_links(pages, ["url"])
     return threads.reached(pages.select("url"), links, text.hostname(F.col("url")) == text.hostname(F.col("target")))
 
 
