@@ -46,11 +46,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             start = stop
 
 
-def rows_of(df: DataFrame, columns: list[str], keep: list[str], make: Callable, schema: str) -> DataFrame:
+def rows_of(df: DataFrame, columns: list[str], keep: list[str], make: Callable, schema: str | StructType) -> DataFrame:
     """For each row of df the rows (dicts of the schema's columns) that make(*values of columns) gives, beside the row's columns
     `keep`. The first of the columns is a text; a worker holds what comes of about SLICE_BYTES of it at once, however large the
     batches are that Spark sends."""
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = StructType([df.schema[c] for c in keep] + kind.fields)
     made = to_arrow_schema(kind)
     names = [*keep, *kind.names]

@@ -31,6 +31,9 @@ COLLECT_HEADING = r"(?i)^(A Collect\b|The Collect\b|The General Thanksgiving|A P
 KNOWN_HEADING = r"^(Festivals of Saints|The Collect of the Day)\b"
 LONGEST_HEADING, SHORTEST_BODY, LOOKED_AHEAD, SENTENCE_AHEAD = 80, 50, 7, 3
 
+#: What a parser reads of elements.
+READ = {"collects": ["tag", "id", "classes", "text", "raw", "apart", "strong"], "daily_office": ["tag", "id", "classes", "spaced", "raw", "apart", "strong"]}
+
 #: The columns of all units, in order. at and part: where a unit stands in its page.
 UNIT = ["parser", "page", "at", "part", "source_id", "source_uri", "title", "body", "category", "genre", "language_register", "office", "office_position", "canonical_id", "raw_metadata", "embed_text", "error"]
 
@@ -60,10 +63,10 @@ def _file(c: str) -> Column:
     return F.regexp_extract(c, r"([^/]*)$", 1)
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """page, at, the element's fields, error: a row for each element of pages (page, html), one with an error for each page
-    that can't be read."""
-    return page_elements(pages, ["page"])
+def elements(pages: DataFrame, parser: str | None = None) -> DataFrame:
+    """page, at, the element's fields (of a parser, those that it reads), error: a row for each element of pages (page, html),
+    one with an error for each page that can't be read."""
+    return page_elements(pages, ["page"], parser and READ[parser])
 
 
 def collects(rows: DataFrame) -> DataFrame:
@@ -304,7 +307,7 @@ def units(pages: DataFrame, parsers: list[str] | None = None) -> DataFrame:
             made = prayers(rows, liturgy.looked_up(_file("book"), PRAYER_PAGES))
             out.append(_unit(made, parser, source_id="slug", source_uri=F.concat(text("bcp1979://prayers_and_thanksgivings/"), "slug"), title="title", body="body_text", category=text("devotional_manual"), genre="genre", canonical_id="slug", raw_metadata="raw_metadata", embed_text=liturgy.prayer_text(F.col("title"), F.col("genre"), F.col("section_header"), F.col("body_text"))))
         else:
-            rows = checkpointed(elements(own))
+            rows = checkpointed(elements(own, parser if parser in READ else None))
             if parser == "collects":
                 made = collects(rows)
                 out.append(_unit(made, parser, source_id=F.concat_ws("__", "feast_slug", "rite"), source_uri=F.concat(text("bcp1979://collects/"), "section", text("/"), "feast_slug"), title="feast_name", body="body_text", category=text("liturgical_proper"), genre=text("collect"), language_register=liturgy.register(F.col("rite")), canonical_id="canonical_id", raw_metadata="raw_metadata", embed_text=liturgy.collect_text(F.col("feast_name"), F.col("rite"), F.col("section"), F.col("body_text"))))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import lazy, tree
-from quillspark.operators import dedupe, psalter
+from quillspark.operators import dedupe, prayerbook, psalter
 from quillspark.plans import catalog, days, library  # noqa: F401  the others add their queries to the catalog
 
 
@@ -51,3 +51,29 @@ def test_batches_are_read_in_slices(n):
     batch = pa.RecordBatch.from_pydict({"t": ["x" * (lazy.SLICE_BYTES // n)] * 12 + [None]})
     sizes = [b.num_rows for b in lazy.slices(iter([batch]), "t")]
     assert sum(sizes) == 13 and max(sizes) <= n + 1
+
+
+def test_plain_pages_are_read_without_the_standard_parser(monkeypatch):
+    plain = ['<html><body>\n<p id="l0" class="a b">1 &amp; 2<br/>x</p><table><tr><td>c</td></table></body></html><!--  -->', "", "no tag", "</p><p>a<p>b", "a &notit; b &"]
+    other = ["a < b", "<P>a</P>", "<p class='q'>a", "<title>a<b></title>c", "<script>1<2</script>x", "<!DOCTYPE html><p>a", "<p class='a&amp;b'>", "<p"]
+    read = tree._Builder.feed
+
+    def standard(page):
+        builder = tree._Builder()
+        read(builder, page)
+        builder.close()
+        return builder.open[0]
+
+    assert [tree.tree(p) for p in other] == [standard(p) for p in other]
+    monkeypatch.setattr(tree._Builder, "feed", lambda *_: pytest.fail("left to the standard parser"))
+    assert [tree.tree(p) for p in plain] == [standard(p) for p in plain]
+    with pytest.raises(tree.Malformed):
+        tree.tree("<div>" * 600)
+
+
+def test_a_parser_makes_only_what_it_reads(spark):
+    page = spark.createDataFrame([("a/collects/xt.html", '<p><strong>1.  A</strong></p><p>B <i>c</i><br/>d Amen.</p><p class="rubric">E</p><p class="leftfoot">Page <b>21</b></p>')], "page string, html string")
+    some = prayerbook.elements(page, "collects")
+    assert "rows" not in some.columns and "spaced" not in some.columns
+    one, every = (prayerbook.collects(rows).collect() for rows in (some, prayerbook.elements(page)))
+    assert one == every and [(r.feast_name, r.body_text, r.rubrics, r.page_number) for r in one] == [("A", "B c d Amen.", ["E"], 21)]
