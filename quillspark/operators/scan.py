@@ -28,18 +28,19 @@ def carried(rows: DataFrame, key: str, at: str, last: dict[str, Column] | None =
     the rows of a chunk come together and `at` is their order in it.
     """
     last, total = last or {}, total or {}
-    made = rows.withColumn("_chunk", chunk if isinstance(chunk, Column) else F.floor(F.col(at) / chunk))
+    # in a struct a null key equals a null key, so that the rows that a window has put in order meet their chunks where they are
+    made = rows.withColumn("_chunk", chunk if isinstance(chunk, Column) else F.floor(F.col(at) / chunk)).withColumn("_key", F.struct(F.col(key).alias("key")))
     made = made.withColumns({f"_own_{n}": c for n, c in {**last, **{n: F.coalesce(c, F.lit(0)) for n, c in total.items()}}.items()})
     own = lambda n: F.col(f"_own_{n}")
     sums = [F.max_by(own(n), F.when(own(n).isNotNull(), F.col(at))).alias(f"_of_{n}") for n in last] + [F.sum(own(n)).alias(f"_of_{n}") for n in total]
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     of = lambda n: F.col(f"_of_{n}")
     ahead = [F.last(of(n), ignorenulls=True).over(before).alias(f"_before_{n}") for n in last] + [F.coalesce(F.sum(of(n)).over(before), F.lit(0)).alias(f"_before_{n}") for n in total]
-    chunks = made.groupBy(key, "_chunk").agg(*sums).select(F.col(key).alias("_key"), F.col("_chunk").alias("_c"), *ahead)
-    met = made.join(chunks, made[key].eqNullSafe(chunks["_key"]) & (made["_chunk"] == chunks["_c"]))
-    inside = Window.partitionBy(key, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = {n: F.coalesce(F.last(own(n), ignorenulls=True).over(inside), F.col(f"_before_{n}")) for n in last}
-    told |= {n: F.sum(own(n)).over(inside) + F.col(f"_before_{n}") for n in total}
+    chunks = made.groupBy("_key", "_chunk").agg(*sums).select("_key", "_chunk", *ahead)
+    inside = Window.partitionBy("_key", "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = {f"_own_{n}": F.last(own(n), ignorenulls=True).over(inside) for n in last} | {f"_own_{n}": F.sum(own(n)).over(inside) for n in total}
+    met = made.withColumns(upto).join(chunks, ["_key", "_chunk"])
+    told = {n: F.coalesce(own(n), F.col(f"_before_{n}")) for n in last} | {n: own(n) + F.col(f"_before_{n}") for n in total}
     return met.withColumns(told).select(*[c for c in rows.columns if c not in told], *told)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import lazy, tree
-from quillspark.operators import dedupe, prayerbook, psalter
+from quillspark.operators import dedupe, prayerbook, psalter, scan
 from quillspark.plans import catalog, days, library  # noqa: F401  the others add their queries to the catalog
 
 
@@ -77,3 +77,17 @@ def test_a_parser_makes_only_what_it_reads(spark):
     assert "rows" not in some.columns and "spaced" not in some.columns
     one, every = (prayerbook.collects(rows).collect() for rows in (some, prayerbook.elements(page)))
     assert one == every and [(r.feast_name, r.body_text, r.rubrics, r.page_number) for r in one] == [("A", "B c d Amen.", ["E"], 21)]
+
+
+def test_a_scan_moves_its_rows_once(spark):
+    """A chunk's rows are put in order where they meet what came before: two shuffles for the chunks' sums, one each for rows and
+    chunks."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(k, i, i % 3 or None) for k in ("a", None) for i in range(9)], "k string, i int, v int")
+        found = scan.carried(rows, "k", "i", last={"last": F.col("v")}, total={"sum": F.col("v")}, chunk=2)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        assert [(r["last"], r["sum"]) for r in found.filter("k IS NULL").orderBy("i").collect()] == [(None, 0), (1, 1), (2, 3), (2, 3), (1, 4), (2, 6), (2, 6), (1, 7), (2, 9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
