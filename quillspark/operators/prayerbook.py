@@ -32,7 +32,7 @@ KNOWN_HEADING = r"^(Festivals of Saints|The Collect of the Day)\b"
 LONGEST_HEADING, SHORTEST_BODY, LOOKED_AHEAD, SENTENCE_AHEAD = 80, 50, 7, 3
 
 #: What a parser reads of elements.
-READ = {"collects": ["tag", "id", "classes", "text", "raw", "apart", "strong"], "daily_office": ["tag", "id", "classes", "spaced", "raw", "apart", "strong"]}
+READ = {"collects": ["tag", "id", "classes", "text", "raw", "apart", "strong"], "daily_office": ["tag", "id", "classes", "spaced", "raw", "apart", "strong"], "proper_liturgies": ["tag", "id", "classes", "style", "spaced", "raw", "apart", "strong", "psalm", "rows"]}
 
 #: The columns of all units, in order. at and part: where a unit stands in its page.
 UNIT = ["parser", "page", "at", "part", "source_id", "source_uri", "title", "body", "category", "genre", "language_register", "office", "office_position", "canonical_id", "raw_metadata", "embed_text", "error"]

@@ -91,3 +91,12 @@ def test_a_scan_moves_its_rows_once(spark):
         assert [(r["last"], r["sum"]) for r in found.filter("k IS NULL").orderBy("i").collect()] == [(None, 0), (1, 1), (2, 3), (2, 3), (1, 4), (2, 6), (2, 6), (1, 7), (2, 9)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_liturgies_read_no_more_than_they_need(spark):
+    html = '<h2 id="x">S</h2><p><strong>T</strong></p><table><tr><td><span class="psnum">Psalm 3</span></td></tr><tr><td class="vsnum">1</td><td>v</td></tr></table><p style="border-left: 1px">o</p><p>a <i>b</i></p>'
+    page = spark.createDataFrame([("x/friday.html", html)], "page string, html string")
+    some = prayerbook.elements(page, "proper_liturgies")
+    assert "text" not in some.columns
+    one, every = (sorted(map(str, prayerbook.proper_liturgies(rows).collect())) for rows in (some, prayerbook.elements(page)))
+    assert one == every and len(one) == 5
